@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from . import bloom_langid, decontam, jump_shards, parity_join
+from . import bloom_langid, decontam, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, secret_forest, string_kernel
 from .common import table
 
 QUERIES = {
+    "op1_toxicity": lambda s, d: string_kernel.document_toxicity(table(s, d, "documents"), table(s, d, "labels")),
+    "op2_embedding_neardup": lambda s, d: pq_neardup.near_duplicates(table(s, d, "embeddings")),
     "op3_language_id": lambda s, d: bloom_langid.document_languages(table(s, d, "documents")),
     "op4_jump_shards": lambda s, d: jump_shards.document_shards(table(s, d, "documents")),
+    "op5_license_scan": lambda s, d: license_scan.document_licenses(table(s, d, "documents")),
     "op6_benchmark_leaks": lambda s, d: decontam.contamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_jaccard_join": lambda s, d: parity_join.similar_groups(table(s, d, "documents"), 3, Fraction(9, 10)),
+    "op9_secret_scan": lambda s, d: secret_forest.document_secrets(table(s, d, "documents")),
+    "op10_piece_codec": lambda s, d: piece_codec.document_tokens(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {}
