@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from . import bloom_langid, decontam, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, secret_forest, string_kernel
+from . import bloom_langid, decontam, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, secret_forest, string_kernel, suffix_dedup
 from .common import table
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_jump_shards": lambda s, d: jump_shards.document_shards(table(s, d, "documents")),
     "op5_license_scan": lambda s, d: license_scan.document_licenses(table(s, d, "documents")),
     "op6_benchmark_leaks": lambda s, d: decontam.contamination(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op7_suffix_dedup": lambda s, d: suffix_dedup.deduplicated(table(s, d, "documents")),
     "op8_jaccard_join": lambda s, d: parity_join.similar_groups(table(s, d, "documents"), 3, Fraction(9, 10)),
     "op9_secret_scan": lambda s, d: secret_forest.document_secrets(table(s, d, "documents")),
     "op10_piece_codec": lambda s, d: piece_codec.document_tokens(table(s, d, "documents")),
