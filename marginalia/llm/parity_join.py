@@ -3,8 +3,8 @@
 The shingles of a document are dealt by hash to blocks, and each block keeps the XOR of its shingles' hashes: a
 shingle in one document only changes one block. At a Jaccard similarity of t two sets of a and b shingles, a <= b,
 differ in at most (1 - t) / t * a shingles, so of more blocks than that one at least is equal (pigeonhole). Blocks
-are therefore numbered by size band and joined on their value; Hamming distance of short bit sketches, a lower bound
-of the difference, and then the sets themselves decide. Nothing is dropped: see _emit for empty blocks.
+are therefore numbered by size band and joined on their value; in the join the Hamming distance of short bit
+sketches, a lower bound of the difference, and then the sets themselves decide. Nothing is dropped: see _emit for empty blocks.
 """
 
 from __future__ import annotations
@@ -143,23 +143,18 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
     return documents.select("node", "text").mapInArrow(of, "node long, h array<long>")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """Those of pairs(a, b) whose sets have a Jaccard similarity of t or more."""
-    p, q = t.numerator, t.denominator
-    side = lambda df, c: df.select(*[F.col(x).alias(f"{c}_{x}" if x != "node" else c) for x in df.columns])
-    # |A ^ B| <= (1 - t) * |A | B| and |A | B| = (a + b + |A ^ B|) / 2, so |A ^ B| <= (1 - t) / (1 + t) * (a + b)
-    far = sum((F.bit_count(F.get("a_sketch", F.lit(k)).bitwiseXOR(F.get("b_sketch", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
-    close = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where((F.least("a_n", "b_n") * q >= F.greatest("a_n", "b_n") * p) & (far * (q + p) <= (F.col("a_n") + F.col("b_n")) * (q - p)))
-    both = close.select("a", "b", "a_n", "b_n").join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("a_h")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("b_h")), "b")
     common = F.size(F.array_intersect("a_h", "b_h"))
-    return both.withColumn("common", common).where(F.col("common") * q >= (F.col("a_n") + F.col("b_n") - F.col("common")) * p).select("a", "b")
+    return both.withColumn("common", common).where(F.col("common") * t.denominator >= (F.size("a_h") + F.size("b_h") - F.col("common")) * t.numerator).select("a", "b")
 
 
 def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included) for each row.
 
     Links are exact: every pair of different sets in a shared block is either verified or already in one component.
-    Copies count as one set. In each round the next members of a block, four times as many as before, are compared
+    Copies count as one set. In each round the next members of a block, sixteen times as many as before, are compared
     with all later ones of other components, so a large group of near copies is joined through few of its members.
     Null, empty and wordless texts link with nothing. Rows that share a doc_id are one node.
     """
@@ -175,25 +170,29 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     wanted = live.select("node").distinct()
     # an array of shingles is made only for documents that share a block
     sets = staged(_sets(docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi"), width), "parity-sets")
-    sketches = firsts.select(F.col("doc_id").alias("node"), "n", "sketch")
-    links, groups, width_now, done = None, None, 1, 0
+    bits = [f"w{k}" for k in range(SKETCH)]
+    live = staged(live.join(firsts.select(F.col("doc_id").alias("node"), "n", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)]), "node"), "parity-sketches")
+    # |A ^ B| <= (1 - t) * |A | B| and |A | B| = (a + b + |A ^ B|) / 2, so |A ^ B| <= (1 - t) / (1 + t) * (a + b)
+    p, q = t.numerator, t.denominator
+    far = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in bits), F.lit(0))
+    close = (F.least("a.n", "b.n") * q >= F.greatest("a.n", "b.n") * p) & (far * (q + p) <= (F.col("a.n") + F.col("b.n")) * (q - p))
+    links, groups, step, done = None, None, 1, 0
     while True:
         if groups is None:
             rows = live.withColumn("comp", F.col("node"))
         else:
             rows = live.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        ranked = rows.withColumns({"k": F.row_number().over(own.orderBy("node")), "lo": F.min("comp").over(own), "hi": F.max("comp").over(own)}).where("lo < hi")
-        heads = ranked.where((F.col("k") > done) & (F.col("k") <= done + width_now)).select("key", F.col("node").alias("a"), F.col("k").alias("ka"), F.col("comp").alias("ca"))
-        rest = ranked.where(F.col("k") > done + 1).select("key", F.col("node").alias("b"), F.col("k").alias("kb"), F.col("comp").alias("cb"))
-        pairs = staged(rest.join(heads, "key").where("kb > ka and ca <> cb").select("a", "b").distinct(), "parity-pairs")
-        if pairs.isEmpty():
-            if ranked.where(F.col("k") > done + width_now + 1).isEmpty():
-                break
-        else:
-            found = staged(_verified(pairs, sketches, sets, t), "parity-links")
+        ranked = rows.withColumns({"k": F.row_number().over(own.orderBy("node")), "lo": F.min("comp").over(own), "hi": F.max("comp").over(own), "size": F.count("*").over(own)}).where((F.col("lo") < F.col("hi")) & (F.col("k") > done) & (F.col("size") > done + 1))
+        ranked = staged(ranked.drop("lo", "hi", "size"), "parity-ranked")
+        if ranked.isEmpty():
+            break
+        heads, met = ranked.where(F.col("k") <= done + step).alias("a"), (F.col("b.k") > F.col("a.k")) & (F.col("a.comp") != F.col("b.comp"))
+        pairs = ranked.alias("b").join(heads, (F.col("a.key") == F.col("b.key")) & met & close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        found = staged(_verified(pairs, sets, t), "parity-links")
+        if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             groups = staged(components(links, "parity-components"), "parity-groups")
-        done, width_now = done + width_now, width_now * 4
+        done, step = done + step, step * 16
     if groups is None:
         return members.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
     return members.join(groups, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
