@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import hash_sample, held_out
 from .hashing import batches, mix
 
 GRAMS = (2, 3, 4)
@@ -89,15 +89,14 @@ class BloomFilters:
         return np.maximum(0, (hits - total[:, None] * self.chance) / (1 - self.chance))
 
 
-def train(labelled: DataFrame, sample: int = 1500, grams: int = 30_000, ratio: float = 0.6, bits: int = 20) -> BloomFilters | None:
+def train(labelled: DataFrame, sample: int = 1000, grams: int = 30_000, ratio: float = 0.6, bits: int = 20) -> BloomFilters | None:
     """Filters from rows (text, lang) with a lang: at most sample rows of each language, chosen by hash of the text.
 
     A language's filter holds its most frequent n-grams, at most grams, whose share in that language is at least
     ratio times the largest share in any. Texts of the sample are counted in tasks; the driver gets counts of
     at most the most frequent grams * 4 n-grams of each language. None without labelled rows.
     """
-    rows = labelled.where("lang is not null and text is not null")
-    some = rows.withColumn("_h", F.xxhash64("text")).withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_k") <= sample).select("lang", "text").repartition(12)
+    some = hash_sample(labelled.where("lang is not null and text is not null"), "lang", "text", sample).select("lang", "text").repartition(12)
 
     def count(it):
         totals: dict[str, pd.Series] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32(doc_id as text) mod 3 is 1; such rows never teach a model. A null id is held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
+
+
+def hash_sample(df: DataFrame, by: str, hashed: str, n: int) -> DataFrame:
+    """At most n rows (n <= 1000 keeps Spark's early group limit) of each value of by, those with the least hash of column hashed.
+
+    Counts of the values come first, so that only about four times as many rows as are wanted are shuffled; at most
+    64 values, the most frequent ones, are sampled.
+    """
+    sizes = df.groupBy(by).count().where(F.col(by).isNotNull()).orderBy(F.desc("count"), by).limit(64).collect()
+    if not sizes:
+        return df.limit(0)
+    h = F.xxhash64(hashed, F.lit("sample"))
+    share = F.pmod(h, F.lit(1 << 30)) / F.lit(1 << 30)
+    near = None
+    for value, count in sizes:
+        ok = (F.col(by) == value) & (share <= min(1.0, (4 * n + 100) / count))
+        near = ok if near is None else near | ok
+    order = Window.partitionBy(by).orderBy("_h")
+    return df.where(near).withColumn("_h", h).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_h", "_k")

@@ -114,8 +114,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, margin: float = 0.15
     """vec_id, n_links, component_id, kept for each row of vectors(vec_id, embedding).
 
     Copies of a vector are one indexed class with a count. lists, by default the square root of the number of
-    classes and at most 16384, bounds the model that is broadcast; it is fitted on at most 40 vectors a list, chosen
-    by hash. A class is sent to its home list and asks all lists whose border is within margin: a neighbour at the
+    classes and at most 16384, bounds the model that is broadcast; it is fitted on at most 40 vectors a list and
+    100,000 in all, chosen by hash. A class is sent to its home list and asks all lists whose border is within margin: a neighbour at the
     threshold lies on the other side of a border farther away than that only if it is moved mostly across it, so
     recall depends on margin alone and is measured in the tests. Lists are cut into blocks and their queries into
     chunks, so a task never holds a whole list. Vectors that are null, zero or have null or non-finite components
@@ -132,7 +132,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, margin: float = 0.15
     classes = staged(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "pq-classes")
     total = classes.count()
     lists = lists or max(1, min(16384, int(math.sqrt(total))))
-    sample = classes.orderBy(F.xxhash64("v"), "node").limit(40 * lists).select("v").toPandas()["v"]
+    sample = classes.orderBy(F.xxhash64("v"), "node").limit(min(40 * lists, 100_000)).select("v").toPandas()["v"]
     model = Quantiser(unit([np.asarray(x, np.float64).tobytes() for x in sample]), lists)
     shared = spark.sparkContext.broadcast(model)
 

@@ -14,11 +14,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import hash_sample, held_out
 from .hashing import batches, prefix_sums, span_hashes
 
 DECAY, SPAN = 0.35, 6
@@ -260,7 +260,7 @@ def train(documents: DataFrame, labels: DataFrame, per_label: int = 2500) -> Mod
     A document with several labels is toxic if one is; null labels and ids and null texts don't count.
     """
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = known.withColumn("_k", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_k") <= per_label).select("doc_id", "toxic")
+    some = hash_sample(known, "toxic", "doc_id", per_label).select("doc_id", "toxic")
     rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").orderBy("doc_id").select("text", "toxic").toPandas()
     return fit(list(rows["text"]), rows["toxic"].to_numpy() == 1) if len(rows) else None
 
