@@ -116,8 +116,10 @@ class Model:
 
     def margins(self, code: np.ndarray, begin: np.ndarray) -> np.ndarray:
         total = np.zeros(len(begin) - 1)
-        for word, key, w in subsequences(code, begin):
-            total += np.bincount(word, self.weight[key] * w, len(total))
+        for lo in range(0, len(total), 50_000):
+            hi = min(lo + 50_000, len(total))
+            for word, key, w in subsequences(code[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo]):
+                total[lo:hi] += np.bincount(word, self.weight[key] * w, hi - lo)
         return total / _size(np.diff(begin)) + self.bias
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -171,10 +173,18 @@ def fit(texts: list[str | None], toxic: np.ndarray, landmarks: int = 500, negati
     check = np.arange(len(toxic)) % 4 == 3  # these set the border between the scores, the others the model
     if len(toxic) < 40 or not toxic[~check].any() or not toxic[check].any():
         check = np.zeros(len(toxic), bool)
-    raw, at, owner = fold(texts)
-    code, begin, word = unique_words(raw, at)
-    pair = np.unique(owner.astype(np.int64) * len(begin) + word)
-    owner, word = pair // len(begin), pair % len(begin)
+    parts, sizes, pairs, words = [], [], [], 0
+    for lo in range(0, len(texts), 200):  # distinct words of a few texts at a time
+        raw, at, owner = fold(texts[lo : lo + 200])
+        code, begin, word = unique_words(raw, at)
+        pair = np.unique(owner.astype(np.int64) * len(begin) + word)
+        pairs.append(np.stack((pair // len(begin) + lo, pair % len(begin) + words)))
+        parts.append(code)
+        sizes.append(np.diff(begin))
+        words += len(begin) - 1
+    owner, word = np.concatenate(pairs, 1)
+    code, begin, same = unique_words(np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))
+    word = same[word]
     words, bad, taught = len(begin) - 1, toxic[owner], ~check[owner]
     n_bad, n_fine = np.bincount(word[bad & taught], minlength=words), np.bincount(word[~bad & taught], minlength=words)
     rate = toxic.mean()
@@ -240,7 +250,7 @@ def score_texts(df: DataFrame, model: Model | None) -> DataFrame:
 
     def of(it):
         m = shared.value
-        for b in batches(it, 4 << 20):
+        for b in batches(it, 1 << 20):
             out = np.zeros(b.num_rows)
             if m is not None:
                 raw, at, owner = fold(b.column(place).to_pylist())
@@ -254,7 +264,7 @@ def score_texts(df: DataFrame, model: Model | None) -> DataFrame:
     return kept.mapInArrow(of, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def train(documents: DataFrame, labels: DataFrame, per_label: int = 2500) -> Model | None:
+def train(documents: DataFrame, labels: DataFrame, per_label: int = 1000) -> Model | None:
     """A model from at most per_label labelled rows of each kind, chosen by hash of the id, held-out ids never.
 
     A document with several labels is toxic if one is; null labels and ids and null texts don't count.
