@@ -56,27 +56,30 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(np.array(usable, np.int32), text, rank, byte, m.unk_id(), out)
 
 
-def suffix_array(code: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of code sorted by their next depth symbols: several symbols packed in a key, then doubling."""
-    symbols, rank = np.unique(code, return_inverse=True)
-    bits = max(1, int(len(symbols)).bit_length())
+def suffix_array(rank: np.ndarray, bits: int, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions of rank (symbols from 1, bits wide) sorted by their next depth symbols, their sorted first keys, and the symbols in a key.
+
+    Several symbols are packed in a key; ranks of keys are doubled until they cover depth.
+    """
     per = min(depth, 63 // bits)
-    padded = np.concatenate((rank + 1, np.zeros(depth, rank.dtype)))
-    key = np.zeros(len(code), np.int64)
+    padded = np.concatenate((rank, np.zeros(depth, rank.dtype)))
+    first = np.zeros(len(rank), np.int64)
     for k in range(per):
-        key = key << bits | padded[k : k + len(code)]
-    while per < depth:
-        rank = np.unique(key, return_inverse=True)[1]
-        after = np.zeros(len(code), np.int64)
-        after[: len(code) - per] = rank[per:] + 1
-        key, per = rank * (len(code) + 2) + after, per * 2
-    return np.argsort(key, kind="stable")
+        first = first << bits | padded[k : k + len(rank)]
+    key, have = first, per
+    while have < depth:
+        name = np.unique(key, return_inverse=True)[1]
+        after = np.zeros(len(rank), np.int64)
+        after[: max(0, len(rank) - have)] = name[have:] + 1
+        key, have = name * (len(rank) + 2) + after, have * 2
+    order = np.argsort(key, kind="stable")
+    return order, first[order], per
 
 
 class Encoder:
     """Encodes texts of one task; remembers at most memory words, so that its size is bounded."""
 
-    def __init__(self, pieces: Pieces, memory: int = 400_000):
+    def __init__(self, pieces: Pieces, memory: int = 300_000):
         self.p, self.memory = pieces, memory
         self.depth = max(map(len, pieces.text))
         self.size = np.array([len(t) for t in pieces.text])
@@ -92,24 +95,40 @@ class Encoder:
 
     def _edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys position * 32 + length, sorted, and the piece of each occurrence in code."""
-        order = suffix_array(code, self.depth)
-        padded = np.concatenate((code, np.zeros(self.depth, np.int64)))
-        cols = np.arange(self.depth)
-
-        def bound(right: bool) -> np.ndarray:
-            lo, hi = np.zeros(len(self.size), np.int64), np.full(len(self.size), len(order))
-            while (open_ := np.flatnonzero(lo < hi)).size:
-                mid = (lo[open_] + hi[open_]) // 2
-                seen = np.where(cols < self.size[open_, None], padded[order[mid][:, None] + cols], 0)
-                differs = seen != self.codes[open_]
-                at = differs.argmax(1)
-                rows = np.arange(len(open_))
-                less = np.where(differs[rows, at], seen[rows, at] < self.codes[open_][rows, at], right)
-                lo[open_] = np.where(less, mid + 1, lo[open_])
-                hi[open_] = np.where(less, hi[open_], mid)
-            return lo
-
-        lo, hi = bound(False), bound(True)
+        symbols, rank = np.unique(code, return_inverse=True)
+        bits = int(len(symbols) + 1).bit_length()  # one more than needed, so that no key overflows
+        order, keys, per = suffix_array(rank + 1, bits, self.depth)
+        at = np.searchsorted(symbols, self.codes).clip(max=len(symbols) - 1)
+        body = np.arange(self.depth) < self.size[:, None]
+        mine = np.where(body, at + 1, 0)
+        short = np.minimum(self.size, per)
+        low = np.zeros(len(self.size), np.int64)
+        for k in range(per):
+            low = low << bits | mine[:, k]
+        known = ((symbols[at] == self.codes) | ~body).all(1)
+        lo = np.searchsorted(keys, low)
+        hi = np.searchsorted(keys, low + (np.int64(1) << (bits * (per - short)).astype(np.int64)))
+        hi = np.where(known, hi, lo)
+        long_ = np.flatnonzero((self.size > per) & (lo < hi))  # the key has their beginning only
+        padded = np.concatenate((rank + 1, np.zeros(self.depth, rank.dtype)))
+        cols = np.arange(per, self.depth)
+
+        def bound(low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
+            low, high = low.copy(), high.copy()
+            while (open_ := np.flatnonzero(low < high)).size:
+                mid, p = (low[open_] + high[open_]) // 2, long_[open_]
+                seen = np.where(cols < self.size[p, None], padded[order[mid][:, None] + cols], 0)
+                differs = seen != mine[p, per:]
+                rows, j = np.arange(len(p)), differs.argmax(1)
+                less = np.where(differs[rows, j], seen[rows, j] < mine[p, per:][rows, j], right)
+                low[open_] = np.where(less, mid + 1, low[open_])
+                high[open_] = np.where(less, high[open_], mid)
+            return low
+
+        if len(long_):
+            start = bound(lo[long_], hi[long_], False)
+            hi[long_] = bound(start, hi[long_], True)
+            lo[long_] = start
         n = hi - lo
         piece = np.repeat(np.arange(len(n)), n)
         at = order[np.repeat(lo, n) + np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)]
@@ -256,7 +275,7 @@ def encode(df: DataFrame, pieces: Pieces, text: str = "text", to: str = "ids") -
 
     def of(it):
         enc = Encoder(shared.value)
-        for b in batches(it):
+        for b in batches(it, 1 << 20):
             tokens, begin = enc.encode(b.column(place))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(tokens))], [*names, to])
 
@@ -274,8 +293,8 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", to: str = "decoded")
         size = np.array([len(x) for x in out])
         data, at = np.frombuffer(b"".join(out), np.uint8), np.cumsum(size) - size
         for b in it:
-            for low in range(0, b.num_rows, 1000):
-                part = b.slice(low, 1000)
+            for low in range(0, b.num_rows, 250):
+                part = b.slice(low, 250)
                 lists = part.column(place)
                 n = np.array(lists.value_lengths().fill_null(0))
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
