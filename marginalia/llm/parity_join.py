@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 from .components import components
 from .hashing import batches, byte_batch, mix, prefix_sums, span_hashes, words_in
 
@@ -102,7 +102,8 @@ def _emit(h: np.ndarray, begin: np.ndarray, t: Fraction) -> tuple[np.ndarray, np
         empty = value == 0
         out = ~empty | (np.bincount(row, empty, len(rows)) > spare)[row]
         tag = (band[rows] + plus)[row].astype(np.uint64) << np.uint64(40) | block.astype(np.uint64)
-        keys.append(mix(value + mix(tag + np.uint64(1)))[out])
+        # 48 bits: a quarter less to shuffle, and the few chance meetings don't get past the sketches
+        keys.append((mix(value + mix(tag + np.uint64(1))) >> np.uint64(16))[out])
         owners.append(rows[row[out]])
     keys, owners = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
@@ -168,8 +169,10 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     held = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     live = staged(held.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where("lo < hi").select("key", "node").distinct(), "parity-live")
     wanted = live.select("node").distinct()
+    release(documents.sparkSession)
     # an array of shingles is made only for documents that share a block
     sets = staged(_sets(docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi"), width), "parity-sets")
+    release(documents.sparkSession)
     bits = [f"w{k}" for k in range(SKETCH)]
     live = staged(live.join(firsts.select(F.col("doc_id").alias("node"), "n", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)]), "node"), "parity-sketches")
     # |A ^ B| <= (1 - t) * |A | B| and |A | B| = (a + b + |A ^ B|) / 2, so |A ^ B| <= (1 - t) / (1 + t) * (a + b)
