@@ -200,7 +200,7 @@ def _apply(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def repeats(documents: DataFrame, length: int = 100, shard: int = 24 << 20) -> tuple[DataFrame, DataFrame]:
+def repeats(documents: DataFrame, length: int = 100, shard: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
     """The documents dealt by doc_id, and (doc_id, places) of windows of length bytes that also start earlier.
 
     A place is first window * 4096 + number of windows. The texts are dealt once; Spark reuses that exchange.
