@@ -21,3 +21,32 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {}
+
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+ORACLES["op6_benchmark_leaks"] = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark), docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+wins AS (SELECT DISTINCT item_id, least(len(w), 10) AS len, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win FROM items, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT len FROM wins),
+places AS (SELECT doc_id, lens.len, i, array_to_string(w[i : i + lens.len - 1], ' ') AS win FROM docs, lens, LATERAL (SELECT unnest(range(1, len(w) - lens.len + 2)) AS i) WHERE len(w) >= lens.len),
+found AS (SELECT doc_id, item_id, i, places.len FROM places JOIN wins ON places.win = wins.win AND places.len = wins.len),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + len)) AS p FROM found) GROUP BY 1),
+ids AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY 1)
+SELECT docs.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items, sha256(coalesce(ids.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+ORACLES["op8_jaccard_join"] = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM docs, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a)
+SELECT docs.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = docs.doc_id) AS component_id FROM docs LEFT JOIN n USING (doc_id)"""
+
+ORACLES["op2_embedding_neardup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, (SELECT min(b) FROM reach WHERE a = vec_id) AS component_id, (SELECT min(b) FROM reach WHERE a = vec_id) = vec_id AS kept FROM embeddings"""
