@@ -122,7 +122,7 @@ class Forest:
 
 
 def train(documents: DataFrame, sample: int = 20_000) -> Forest | None:
-    """A forest from at most sample rule-labelled findings of documents(text, source), chosen by hash; None without both labels."""
+    """A forest from at most sample rule-labelled findings of documents(text, source), chosen by hash; None with fewer than five of a label."""
 
     def of(it):
         for b in batches(it):
@@ -133,7 +133,7 @@ def train(documents: DataFrame, sample: int = 20_000) -> Forest | None:
 
     rows = documents.select("text", F.col("source").cast("string")).mapInArrow(of, "value string, x array<double>, y int")
     got = rows.orderBy(F.xxhash64("value", "x")).limit(sample).select("x", "y").toPandas()
-    if got["y"].nunique() < 2:
+    if min((got["y"] == 0).sum(), (got["y"] == 1).sum()) < 5:
         return None
     return Forest(np.stack(got["x"]), got["y"].to_numpy())
 

@@ -1,0 +1,107 @@
+"""Nulls, empty and long texts, repeated rows, empty tables and clashing columns: a defined result for each operator."""
+
+from fractions import Fraction
+
+import pytest
+
+from marginalia.llm import bloom_langid, decontam, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, secret_forest, string_kernel, suffix_dedup
+
+ITEMS = [(1, "gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "brown fox"), (3, None), (4, ""), (None, "lazy dog")]
+
+
+def by_id(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    return out
+
+
+@pytest.fixture
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (2, None, None), (3, 0, 1), (None, 1, 1), (7, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture
+def items(spark):
+    return spark.createDataFrame(ITEMS, "item_id long, text string")
+
+
+def test_toxicity(spark, odd_documents, no_documents, labels):
+    got = string_kernel.document_toxicity(odd_documents, labels)
+    assert got.count() == 12 and got.where("score is null or score < 0 or score > 1 or predicted is null").count() == 0
+    assert string_kernel.document_toxicity(no_documents, labels.limit(0)).count() == 0
+    assert {r["score"] for r in string_kernel.score_texts(odd_documents, None).collect()} == {0.0}
+
+
+def test_language(spark, odd_documents, no_documents):
+    got = by_id(bloom_langid.document_languages(odd_documents))
+    assert sum(map(len, got.values())) == 12
+    assert all(got[k][0]["lang_pred"] == "und" and got[k][0]["score"] == 0 for k in (3, 4, 5, 6))
+    assert got[None][0]["held_out"] is True
+    assert bloom_langid.document_languages(no_documents).count() == 0
+
+
+def test_shards(spark, odd_documents, no_documents):
+    rows = jump_shards.document_shards(odd_documents).collect()
+    assert len(rows) == 12
+    for shard in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+    assert all(r["grown_shard"] in (r["shard"], 16) for r in rows)
+    assert {(r["size"], r["text_crc32"]) for r in rows if r["doc_id"] in (3, 4)} == {(1, 0)}
+    assert jump_shards.document_shards(no_documents).count() == 0
+
+
+def test_leaks(spark, odd_documents, no_documents, items):
+    got = by_id(decontam.contamination(odd_documents, items))
+    assert got[1][0]["n_hit"] == 10 and got[1][0]["n_items"] == 1 and got[1][0]["contaminated"]
+    assert got[7][0]["n_words"] == 40000 and got[7][0]["n_hit"] == 16000 and got[7][0]["n_items"] == 1
+    assert all(got[k][0]["n_hit"] == 0 for k in (3, 4, 5, 6))
+    assert decontam.contamination(no_documents, items).count() == 0
+    assert by_id(decontam.contamination(odd_documents, items.limit(0)))[1][0]["contaminated"] is False
+
+
+def test_jaccard(spark, odd_documents, no_documents):
+    got = by_id(parity_join.similar_groups(odd_documents, 3, Fraction(9, 10)))
+    assert got[2][0]["component_id"] == 1 and got[8][0]["component_id"] == 7
+    assert all(got[k][0]["component_id"] == k and got[k][0]["n_shingles"] == 0 for k in (3, 4, 5))
+    assert got[6][0]["n_shingles"] == 1 and len(got[2]) == 2
+    assert parity_join.similar_groups(no_documents).count() == 0
+
+
+def test_suffixes(spark, odd_documents, no_documents):
+    got = by_id(suffix_dedup.deduplicated(odd_documents))
+    assert sum(map(len, got.values())) == 12
+    assert got[8][0]["n_removed"] == got[8][0]["n_bytes"] and got[7][0]["n_removed"] > 0.9 * got[7][0]["n_bytes"]
+    assert got[3][0]["n_bytes"] == got[4][0]["n_bytes"] == 0 and got[1][0]["n_removed"] == 0
+    assert suffix_dedup.deduplicated(no_documents).count() == 0
+
+
+def test_secrets(spark, odd_documents, no_documents):
+    forest = secret_forest.train(odd_documents)
+    got = {r["doc_id"]: r for r in secret_forest.scan(odd_documents, forest).collect()}
+    assert got[9]["redacted"] == 'token = "[SECRET]" and 4785380592391140 ok' and got[9]["n_candidates"] == 2
+    assert got[4]["redacted"] is None and got[7]["secrets"] == []
+    assert secret_forest.document_secrets(no_documents).count() == 0
+
+
+def test_licenses(spark, odd_documents, no_documents):
+    assert license_scan.document_licenses(odd_documents).where("n_matches > 0").count() == 0
+    assert license_scan.document_licenses(no_documents).count() == 0
+
+
+def test_pieces(spark, odd_documents, no_documents):
+    got = by_id(piece_codec.document_tokens(odd_documents))
+    assert all(r["round_trip"] for rows in got.values() for r in rows)
+    assert got[3][0]["n_tokens"] == got[4][0]["n_tokens"] == 0
+    assert piece_codec.document_tokens(no_documents).count() == 0
+
+
+def test_vectors(spark):
+    one, two = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0]
+    rows = [(1, one, 0), (2, one, 1), (2, one, 1), (3, two, 2), (4, None, None), (5, [0.0, 0.0, 0.0], 1), (6, [None, 1.0, 0.0], 1), (7, [float("nan"), 1.0, 0.0], 1), (8, [1.0], 1), (9, [], 1), (10, [-1.0, 0.0, 0.0], 1), (11, [2.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in pq_neardup.near_duplicates(df).collect()}
+    assert got[1] == (4, 1, True) and got[2] == (4, 1, False) and got[3] == (4, 1, False) and got[11] == (4, 1, False)
+    assert all(got[k] == (0, k, True) for k in (4, 5, 6, 7, 8, 9, 10))
+    assert pq_neardup.near_duplicates(df.limit(0)).count() == 0
+    assert pq_neardup.near_duplicates(df.where("vec_id in (4, 5)")).count() == 2
