@@ -42,7 +42,7 @@ def marked_pages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, page, text of text with [Page N] marks on lines of their own; text before the first mark is page 1 where no mark has it."""
     parts = documents.select(key, F.posexplode_outer(F.split("text", r"(?=\[Page\s+[0-9]+\]\n)")).alias("k", "part"))
     number = F.regexp_extract("part", r"^\[Page\s+([0-9]+)\]\n", 1)
-    body = F.trim(F.regexp_replace("part", r"^\[Page\s+[0-9]+\]\n", ""))
+    body = F.regexp_replace(F.regexp_replace("part", r"^\[Page\s+[0-9]+\]\n", ""), r"^\s+|\s+$", "")
     return parts.select(key, "k", F.coalesce(number.try_cast("int"), F.lit(1)).alias("page"), body.alias("text"), (number == "").alias("_none")).where("not _none or text <> ''").drop("_none", "k")
 
 
