@@ -3,7 +3,8 @@
 Every window of LENGTH bytes is owned by its least hashed gram (the leftmost of equals), which depends on its content
 alone, so equal windows have equal owners. Consecutive windows with one owner are a run. Runs that share the owner
 but not the whole content are cut by the content that all their windows share, and what then still shares a key goes
-to shards whose suffixes are put in order by induced sorting; equal neighbours there are repeats. All other
+to shards whose suffixes are put in order by induced sorting; windows that share LENGTH bytes with the one in front
+there, by the common-prefix values that the sort carries, are repeats. All other
 decisions need no text: a lone owner is unique, and the later ones of equal runs are repeats.
 """
 
@@ -135,12 +136,18 @@ def _sorted_repeats(parts: DataFrame, length: int, shard: int) -> DataFrame:
         n = place % 4096
         at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         row[at] = np.repeat(np.arange(len(n)), n)
-        wins = np.concatenate([blk[row[blk] >= 0] for blk in suffix_blocks(symbols, length)])
-        joined = np.zeros(len(wins), bool)  # shares length bytes with the one in front
-        cols = np.arange(length)
-        for s in range(1, len(wins), 1 << 16):
-            e = wins[s : s + (1 << 16)]
-            joined[s : s + len(e)] = (text[e[:, None] + cols] == text[wins[s - 1 : s - 1 + len(e)][:, None] + cols]).all(1)
+        wins, joined, least = [], [], 0  # least: of the values since the last window
+        for order, values in suffix_blocks(symbols, length):
+            at = np.flatnonzero(row[order] >= 0)
+            if not len(at):
+                least = min(least, int(values.min()))
+                continue
+            low = np.minimum.reduceat(values[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
+            low[0] = min(low[0], least)
+            least = int(values[at[-1] + 1 :].min(initial=length))
+            wins.append(order[at])
+            joined.append(low >= length)  # shares length bytes with the window in front
+        wins, joined = np.concatenate(wins), np.concatenate(joined)
         cls = np.cumsum(~joined)
         who = row[wins]
         pos = place[who] // 4096 + wins - begin[who]

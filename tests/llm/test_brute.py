@@ -17,12 +17,16 @@ SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
-def test_induced_order_is_the_suffix_order():
+def test_induced_order_and_common_prefixes():
     rng = np.random.default_rng(1)
-    for _ in range(150):
+    for _ in range(200):
         t = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(1, 60))).astype(np.uint8)
-        order = [int(x) for x in np.concatenate(list(suffix_blocks(t, 100, budget=int(rng.integers(1, 50))))) if x < len(t)]
-        assert order == sorted(range(len(t)), key=lambda i: t[i:].tobytes())
+        order, value = np.concatenate(list(suffix_blocks(t, 12, budget=int(rng.integers(1, 50)))), 1)
+        order, value = order[order < len(t)].tolist(), value[order < len(t)].tolist()
+        b = t.tobytes()
+        assert sorted(order) == list(range(len(b))) and [b[i : i + 12] for i in order] == sorted(b[i : i + 12] for i in order)
+        shared = lambda x, y: len(os.path.commonprefix([b[x : x + 12], b[y : y + 12]]))
+        assert value == [0] + [shared(x, y) for x, y in zip(order, order[1:], strict=False)]
 
 
 def removed(docs, n):
