@@ -20,7 +20,7 @@ from .common import release, staged
 from .components import components
 from .hashing import batches, byte_batch, mix, prefix_sums, span_hashes, words_in
 
-SKETCH = 8  # longs of 64 bits
+SKETCH = 4  # longs of 64 bits
 BAND = 1.5
 
 
@@ -159,7 +159,7 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     with all later ones of other components, so a large group of near copies is joined through few of its members.
     Null, empty and wordless texts link with nothing. Rows that share a doc_id are one node.
     """
-    t = Fraction(threshold).limit_denominator(1000)
+    t, spark = Fraction(threshold).limit_denominator(1000), documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = staged(features(docs, width, t), "parity")
     nodes = staged(feats.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "parity-nodes")
@@ -168,13 +168,9 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     own = Window.partitionBy("key")
     held = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     live = staged(held.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where("lo < hi").select("key", "node").distinct(), "parity-live")
-    wanted = live.select("node").distinct()
-    release(documents.sparkSession)
-    # an array of shingles is made only for documents that share a block
-    sets = staged(_sets(docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi"), width), "parity-sets")
-    release(documents.sparkSession)
+    release(spark)
     bits = [f"w{k}" for k in range(SKETCH)]
-    live = staged(live.join(firsts.select(F.col("doc_id").alias("node"), "n", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)]), "node"), "parity-sketches")
+    sketches = firsts.select(F.col("doc_id").alias("node"), "n", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)])
     # |A ^ B| <= (1 - t) * |A | B| and |A | B| = (a + b + |A ^ B|) / 2, so |A ^ B| <= (1 - t) / (1 + t) * (a + b)
     p, q = t.numerator, t.denominator
     far = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in bits), F.lit(0))
@@ -186,12 +182,20 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
         else:
             rows = live.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         ranked = rows.withColumns({"k": F.row_number().over(own.orderBy("node")), "lo": F.min("comp").over(own), "hi": F.max("comp").over(own), "size": F.count("*").over(own)}).where((F.col("lo") < F.col("hi")) & (F.col("k") > done) & (F.col("size") > done + 1))
-        ranked = staged(ranked.drop("lo", "hi", "size"), "parity-ranked")
+        ranked = staged(ranked.drop("lo", "hi", "size").join(sketches, "node"), "parity-ranked")
+        release(spark)
         if ranked.isEmpty():
             break
         heads, met = ranked.where(F.col("k") <= done + step).alias("a"), (F.col("b.k") > F.col("a.k")) & (F.col("a.comp") != F.col("b.comp"))
         pairs = ranked.alias("b").join(heads, (F.col("a.key") == F.col("b.key")) & met & close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        found = staged(_verified(pairs, sets, t), "parity-links")
+        pairs = staged(pairs, "parity-pairs")
+        release(spark)
+        found = pairs
+        if not pairs.isEmpty():  # arrays of shingles are made for the documents of close pairs only
+            wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            sets = staged(_sets(docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi"), width), "parity-sets")
+            release(spark)
+            found = staged(_verified(pairs, sets, t), "parity-links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             groups = staged(components(links, "parity-components"), "parity-groups")
