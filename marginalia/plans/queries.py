@@ -414,3 +414,66 @@ def review_state_stream(spark, d):
     source = _t(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     return review_state.run_to_table(review_state.live_state(stream), name, f"{own}/{name}")
+
+
+FLAGS = ["paper", "sheet", "guidance", "solutions"]
+SCORED = f"""{EVIDENCE}, flags AS (SELECT phrase, bool_or(role = 'past_paper') AS paper, bool_or(role = 'problem_sheet') AS sheet, bool_or(role = 'exam_guidance') AS guidance, bool_or(role = 'solution_sheet') AS solutions FROM evidence GROUP BY 1),
+ scored AS (SELECT phrase, greatest(0, least(100, paper::INT * 30 + sheet::INT * 20 + guidance::INT * 20 + solutions::INT * 15))::BIGINT AS score FROM flags)"""
+
+
+def _scores(spark, d) -> DataFrame:
+    has = lambda r: F.bool_or(F.col("role") == r)
+    flags = _evidence(spark, d).groupBy("phrase").agg(has("past_paper").alias("paper"), has("problem_sheet").alias("sheet"), has("exam_guidance").alias("guidance"), has("solution_sheet").alias("solutions"))
+    return flags.select("phrase", priority.topic_score({n: F.col(n) for n in FLAGS}).cast("long").alias("score"))
+
+
+@query(f"WITH {SCORED} SELECT phrase, score, CASE WHEN score >= 85 THEN 'very_high' WHEN score >= 65 THEN 'high' WHEN score >= 40 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'unknown' END AS label FROM scored")
+def topic_scores(spark, d):
+    return _scores(spark, d).withColumn("label", priority.score_label(F.col("score")))
+
+
+@query(f"WITH {SCORED}, u AS (SELECT phrase AS name, score, 0 AS part FROM scored UNION ALL SELECT upper(phrase), CASE WHEN hits >= 100 THEN 70 WHEN hits >= 20 THEN 50 ELSE 25 END, 1 FROM bigrams) SELECT name, score FROM u QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY score DESC, part, name) = 1")
+def merged_priorities(spark, d):
+    first = _scores(spark, d).select(F.col("phrase").alias("name"), "score", F.lit("low").alias("label"))
+    second = bigram_topics(spark, d).select(F.upper("phrase").alias("name"), F.lit(None).cast("long").alias("score"), F.when(F.col("hits") >= 100, "high").when(F.col("hits") >= 20, "medium").otherwise("low").alias("label"))
+    return priority.merged(first, second).select("name", "score")
+
+
+@query(f"WITH {EVIDENCE} SELECT count(DISTINCT t.phrase) AS topics, count(DISTINCT e.phrase) AS assessed, count(DISTINCT e.role) AS roles FROM topics t LEFT JOIN (SELECT * FROM evidence WHERE role IN ('past_paper', 'problem_sheet', 'exam_guidance')) e USING (phrase)")
+def assessed_coverage(spark, d):
+    e = _evidence(spark, d).where(F.col("role").isin("past_paper", "problem_sheet", "exam_guidance"))
+    topics = bigram_topics(spark, d).orderBy(F.desc("hits"), "phrase").limit(80).select(F.col("phrase").alias("topic"))
+    return topics.join(e, F.col("topic") == F.col("phrase"), "left").agg(F.count_distinct("topic").alias("topics"), F.count_distinct("phrase").alias("assessed"), F.count_distinct("role").alias("roles"))
+
+
+@query(f"WITH {REVIEWS} SELECT item_id, event_id, rating, k AS newest FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, event_id DESC) AS k FROM reviews)")
+def review_history(spark, d):
+    w = Window.partitionBy("item_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return _reviews(spark, d).withColumn("newest", F.row_number().over(w).cast("long")).select("item_id", "event_id", "rating", "newest")
+
+
+@query(f"WITH {REVIEWS}, w AS (SELECT rating, date_trunc('day', ts) - to_days(unnest(range(0, 7))::INT) AS start FROM reviews) SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS reviews, count(*) FILTER (rating = 'again') AS again FROM w GROUP BY 1")
+def review_weeks(spark, d):
+    """Sliding weeks that begin each day."""
+    return _plain(review.windows(_reviews(spark, d), "7 days", "1 day"), "start")
+
+
+@query(f"WITH {PAGES}, t AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page) AS t, count(*) AS pages FROM pages GROUP BY 1) SELECT d.doc_id, coalesce(pages, 0) AS pages, md5(coalesce(t, d.text, '')) AS text_md5, length(substring(d.text, 1, 1000)) AS preview FROM documents d LEFT JOIN t USING (doc_id)")
+def hydrate_documents(spark, d):
+    """Stored documents (a preview) and pages put together again."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda s: s["text"]), "\n")
+    pages = _pages(spark, d).groupBy("doc_id").agg(text.alias("t"), F.count("*").alias("n"))
+    stored = _docs(spark, d).select("doc_id", F.substring("text", 1, 1000).alias("preview"))
+    return stored.join(pages, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("pages"), F.md5(F.coalesce("t", "preview", F.lit("")).cast("binary")).alias("text_md5"), F.length("preview").cast("long").alias("preview"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) FILTER (regexp_matches(line, '[=+*/<>]')) AS formula_like, count(*) FILTER (regexp_matches(line, '\\b(MIT|Apache|GNU|BY-NC)\\b')) AS notices FROM lines GROUP BY 1")
+def cue_counts(spark, d):
+    got = lines.lines(_docs(spark, d)).withColumn("a", X.ascii_fold(F.col("line")))
+    return got.groupBy("doc_id").agg(F.count_if(F.col("line").rlike("[=+*/<>]")).alias("formula_like"), F.count_if(F.col("a").rlike(r"\b(MIT|Apache|GNU|BY-NC)\b")).alias("notices"))
+
+
+@query("SELECT doc_id, n_words, n FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n_words, length(text) AS n FROM documents) WHERE n_words > 1200 OR n > 95000")
+def over_long(spark, d):
+    w = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).cast("long")
+    return _docs(spark, d).select("doc_id", w.alias("n_words"), F.length("text").cast("long").alias("n")).where("n_words > 1200 or n > 95000")
