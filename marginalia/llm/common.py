@@ -32,6 +32,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more: what was derived from it must have been staged itself."""
+    files, spark = df.inputFiles(), df.sparkSession
+    if files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of what has been staged and isn't referenced any more."""
     gc.collect()

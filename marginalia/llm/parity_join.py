@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, staged
+from .common import discard, release, staged
 from .components import components
 from .hashing import batches, byte_batch, mix, prefix_sums, span_hashes, words_in
 
@@ -161,16 +161,18 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     """
     t, spark = Fraction(threshold).limit_denominator(1000), documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feats = staged(features(docs, width, t), "parity")
+    keyed = staged(features(docs, width, t), "parity-keys")
+    feats = staged(keyed.drop("keys"), "parity")
     nodes = staged(feats.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "parity-nodes")
     members = feats.select("doc_id", "n", "s1", "s2").join(nodes, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("node"))
-    firsts = feats.join(nodes.select("n", "s1", "s2", F.col("node").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi")
+    first = lambda df: df.join(nodes.select("n", "s1", "s2", F.col("node").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi")
     own = Window.partitionBy("key")
-    held = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    held = first(keyed).select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     live = staged(held.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where("lo < hi").select("key", "node").distinct(), "parity-live")
+    discard(keyed)
     release(spark)
     bits = [f"w{k}" for k in range(SKETCH)]
-    sketches = firsts.select(F.col("doc_id").alias("node"), "n", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)])
+    sketches = first(feats).select(F.col("doc_id").alias("node"), "n", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)])
     # |A ^ B| <= (1 - t) * |A | B| and |A | B| = (a + b + |A ^ B|) / 2, so |A ^ B| <= (1 - t) / (1 + t) * (a + b)
     p, q = t.numerator, t.denominator
     far = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in bits), F.lit(0))
@@ -196,9 +198,12 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
             sets = staged(_sets(docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi"), width), "parity-sets")
             release(spark)
             found = staged(_verified(pairs, sets, t), "parity-links")
+            discard(sets)
+            release(spark)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             groups = staged(components(links, "parity-components"), "parity-groups")
+        discard(ranked)
         done, step = done + step, step * 16
     if groups is None:
         return members.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
