@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import hash_sample, held_out
-from .hashing import batches, prefix_sums, span_hashes
+from .hashing import batches, mix, prefix_sums, span_hashes
 
 DECAY, SPAN = 0.35, 6
 GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -148,6 +148,22 @@ def _pick(code, begin, rows):
     return code[np.repeat(begin[:-1][rows] - to[:-1], n) + np.arange(to[-1])], to
 
 
+def _near_copies(owner: np.ndarray, word: np.ndarray, texts: int) -> np.ndarray:
+    """Texts whose words are nearly those of an earlier one, by three bands of three least hashes: their words would count as often."""
+    out = np.zeros(texts, bool)
+    for band in range(3):
+        key = np.zeros(texts, np.uint64)
+        for k in range(3):
+            least = np.full(texts, np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(least, owner, mix(word.astype(np.uint64) + np.uint64(1_000_003 * (3 * band + k + 1))))
+            key = mix(key + least)
+        first = np.unique(key, return_index=True)[1]
+        again = np.ones(texts, bool)
+        again[first] = False
+        out |= again
+    return out
+
+
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0) -> tuple[np.ndarray, float]:
     """A linear SVM with squared hinge loss by Newton steps over the rows inside the margin."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -185,13 +201,24 @@ def fit(texts: list[str | None], toxic: np.ndarray, landmarks: int = 500, negati
     owner, word = np.concatenate(pairs, 1)
     code, begin, same = unique_words(np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))
     word = same[word]
-    words, bad, taught = len(begin) - 1, toxic[owner], ~check[owner]
+    words, bad, taught = len(begin) - 1, toxic[owner], ~check[owner] & ~_near_copies(owner, word, len(toxic))[owner]
     n_bad, n_fine = np.bincount(word[bad & taught], minlength=words), np.bincount(word[~bad & taught], minlength=words)
     rate = toxic.mean()
     usable = np.diff(begin) >= 5
-    # bits against chance that a word seen n_bad times stands in toxic texts only, less those for each clean text
-    evidence = np.where(usable, n_bad * -np.log(max(rate, 0.05)) - 3.0 * n_fine, -np.inf)
-    seed = evidence >= min(np.log(words) + 2, np.sort(evidence)[-min(3, words)])
+    # words that stand in toxic texts more than chance explains: for each number of texts with a word and of clean ones
+    # among these, how many words chance would bring there against how many there are
+    n, share = n_bad + n_fine, max(rate, 0.02)
+    cell = n.clip(max=400) * 8 + n_fine.clip(max=7)
+    there = np.bincount(cell[usable], minlength=3208)
+    any_ = np.bincount(n[usable].clip(max=400), minlength=401)
+    size, clean = np.divmod(np.arange(3208), 8)
+    log = np.cumsum(np.log(np.maximum(1, np.arange(402))))
+    chance = any_[size] * np.exp(log[size] - log[clean] - log[np.maximum(0, size - clean)] + np.maximum(0, size - clean) * np.log(share) + clean * np.log1p(-share))
+    good = (there > 0) & (chance <= 0.05 * there) & (clean < 7) & (clean <= 0.2 * size) & (size > 1)
+    seed = usable & good[cell]
+    if not seed.any():
+        evidence = np.where(usable, n_bad * -np.log(share) - 3.0 * n_fine, -np.inf)
+        seed = evidence >= np.sort(evidence)[-min(3, words)]
     rng = np.random.default_rng(7)
     fine = np.flatnonzero((n_fine > 0) & (np.diff(begin) > 2))
     base = rng.permutation(fine)[: negatives // 2]
@@ -231,10 +258,11 @@ def fit(texts: list[str | None], toxic: np.ndarray, landmarks: int = 500, negati
     np.maximum.at(top, owner, score[word])
     if check.any():
         top, toxic = top[check], toxic[check]
-    # the logistic curve has the clean texts' highest margins below one half: its middle is the border that errs least
+    # the logistic curve has the clean texts' highest margins below one half: its middle is the border that costs least
     order = np.sort(top)
     cuts = (order[1:] + order[:-1]) / 2
-    wrong = np.searchsorted(np.sort(top[~toxic]), cuts, "right") * -1 + (~toxic).sum() + np.searchsorted(np.sort(top[toxic]), cuts, "right")
+    clean_above = (~toxic).sum() - np.searchsorted(np.sort(top[~toxic]), cuts, "right")
+    wrong = 1.5 * clean_above + np.searchsorted(np.sort(top[toxic]), cuts, "right")  # a clean text above costs more than one missed
     best = cuts[wrong == wrong.min()]
     middle = float(np.median(best))
     model.slope = 6.0
