@@ -155,8 +155,8 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     """doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included) for each row.
 
     Links are exact: every pair of different sets in a shared block is either verified or already in one component.
-    Copies count as one set. In each round the next members of a block, sixteen times as many as before, are compared
-    with all later ones of other components, so a large group of near copies is joined through few of its members.
+    Copies count as one set. In the first round each set is compared with the least one in its blocks; in each round after it the next
+    members of a block, sixteen times as many as before, are compared with all later ones of other components, so a large group of near copies is joined through few of its members.
     Null, empty and wordless texts link with nothing. Rows that share a doc_id are one node.
     """
     t, spark = Fraction(threshold).limit_denominator(1000), documents.sparkSession
@@ -177,7 +177,7 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     p, q = t.numerator, t.denominator
     far = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in bits), F.lit(0))
     close = (F.least("a.n", "b.n") * q >= F.greatest("a.n", "b.n") * p) & (far * (q + p) <= (F.col("a.n") + F.col("b.n")) * (q - p))
-    links, groups, step, done = None, None, 1, 0
+    links, groups, step, done, first_pass = None, None, 1, 0, True
     while True:
         if groups is None:
             rows = live.withColumn("comp", F.col("node"))
@@ -190,6 +190,9 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
             break
         heads, met = ranked.where(F.col("k") <= done + step).alias("a"), (F.col("b.k") > F.col("a.k")) & (F.col("a.comp") != F.col("b.comp"))
         pairs = ranked.alias("b").join(heads, (F.col("a.key") == F.col("b.key")) & met & close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        if first_pass:
+            # most near copies of a group are joined by one link each, so that few arrays are moved
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         pairs = staged(pairs, "parity-pairs")
         release(spark)
         found = pairs
@@ -204,7 +207,10 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
             links = found if links is None else links.unionByName(found)
             groups = staged(components(links, "parity-components"), "parity-groups")
         discard(ranked)
-        done, step = done + step, step * 16
+        if first_pass:
+            first_pass = False  # not all pairs of these heads are compared
+        else:
+            done, step = done + step, step * 16
     if groups is None:
         return members.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
     return members.join(groups, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
