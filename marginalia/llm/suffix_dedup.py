@@ -4,8 +4,10 @@ Every window of LENGTH bytes is owned by its least hashed gram (the leftmost of
 alone, so equal windows have equal owners. Consecutive windows with one owner are a run. Runs that share the owner
 but not the whole content are cut by the content that all their windows share, and what then still shares a key goes
 to shards whose suffixes are put in order by induced sorting; windows that share LENGTH bytes with the one in front
-there, by the common-prefix values that the sort carries, are repeats. All other
-decisions need no text: a lone owner is unique, and the later ones of equal runs are repeats.
+there, by the common-prefix values that the sort carries, are repeats. Owners with more runs than a shard has room
+for (a passage in very many documents, whose neighbours differ) aren't sorted: each of their windows is compared by
+the hash of its content. All other decisions need no text: a lone owner is unique, and the later ones of equal runs
+are repeats.
 """
 
 from __future__ import annotations
@@ -123,6 +125,47 @@ def _cut(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(of, "key long, doc_id long, place long, part binary")
 
 
+def _windows(joined: DataFrame, length: int) -> DataFrame:
+    """Rows (doc_id, text, places) to the single windows of the runs: h1 and h2 (two hashes of the content), doc_id, place, known as in _runs.
+
+    A window that is met in many documents has a row for each batch only; known ones in a row are one place.
+    """
+
+    def of(it):
+        for b in batches(it):
+            raw, off = byte_batch(b.column(1))
+            lists = b.column(2).to_pylist()
+            own = [p for p in lists if p]
+            if not own:
+                continue
+            text = np.repeat(np.arange(len(lists)), [len(p or ()) for p in lists])
+            place = np.concatenate([np.asarray(p, np.int64) for p in own])
+            n = place % 4096
+            row = np.repeat(np.arange(len(n)), n)
+            start = (off[text] + place // 4096)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            sums = prefix_sums(raw)
+            h2 = span_hashes(sums, start, start + length)
+            h1 = mix(span_hashes(sums, start + 1, start + length - 1))
+            doc = b.column(0).to_numpy(zero_copy_only=False)[text[row]]
+            pos = start - off[text[row]]
+            order = np.lexsort((pos, doc, h2, h1))
+            same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+            # repeated rows of one document aren't repeats of each other
+            twin = (doc[order][1:] == doc[order][:-1]) & (pos[order][1:] == pos[order][:-1])
+            known = np.zeros(len(order), bool)
+            known[order[1:]] = same & ~twin
+            heads = np.flatnonzero(np.concatenate(([True], ~(known[1:] & known[:-1] & (row[1:] == row[:-1])))))
+            count = np.diff(np.append(heads, len(row)))
+            h1, h2, doc, pos, known = h1[heads], h2[heads], doc[heads], pos[heads], known[heads]
+            h1 = np.where(known, mix(h1 ^ mix(doc.astype(np.uint64)) ^ mix(pos.astype(np.uint64))), h1)
+            places = pos * 4096 + count
+            for s in range(0, len(heads), 50_000):
+                e = slice(s, s + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(h1[e].view(np.int64)), pa.array(h2[e].view(np.int64)), pa.array(doc[e]), pa.array(places[e]), pa.array(known[e])], ["h1", "h2", "doc_id", "place", "known"])
+
+    return joined.mapInArrow(of, "h1 long, h2 long, doc_id long, place long, known boolean")
+
+
 def _sorted_repeats(parts: DataFrame, length: int, shard: int) -> DataFrame:
     """Repeats among parts that share a key: (doc_id, place) of the windows, by the suffix order of shards of whole keys."""
 
@@ -207,6 +250,13 @@ def _apply(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def shared_parts(dealt: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """The parts of open runs that share their key with another one, in the order of the keys within each partition."""
+    open_ = runs.where("open and not many and not again").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    parts = _cut(dealt.join(open_, "doc_id", "left"), length)
+    return parts.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").sortWithinPartitions("key")
+
+
 def repeats(documents: DataFrame, length: int = 100, shard: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
     """The documents dealt by doc_id, and (doc_id, places) of windows of length bytes that also start earlier.
 
@@ -217,22 +267,24 @@ def repeats(documents: DataFrame, length: int = 100, shard: int = 4 << 20) -> tu
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
     dealt = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     own, order = Window.partitionBy("h1"), Window.partitionBy("h1", "h2").orderBy("doc_id", "place")
-    seen = _runs(docs, length).withColumns({"rank": F.rank().over(order), "lo": F.min("h2").over(own), "hi": F.max("h2").over(own)})
-    runs = staged(seen.select("doc_id", "place", (F.col("known") | (F.col("rank") > 1)).alias("again"), (F.col("lo") < F.col("hi")).alias("open")).where("again or open"), "suffix-runs")
-    open_ = runs.where("open and not again").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    parts = _cut(dealt.join(open_, "doc_id", "left"), length)
-    together = parts.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").sortWithinPartitions("key")
-    found = runs.where("again").select("doc_id", "place").unionByName(_sorted_repeats(together, length, shard))
+    seen = _runs(docs, length).withColumns({"rank": F.rank().over(order), "lo": F.min("h2").over(own), "hi": F.max("h2").over(own), "n": F.count("*").over(own)})
+    again, open_ = F.col("known") | (F.col("rank") > 1), F.col("lo") < F.col("hi")
+    # a key's parts are of one owner, one from a run: without the owners of many runs, no key exceeds a shard
+    runs = staged(seen.select("doc_id", "place", again.alias("again"), open_.alias("open"), (F.col("n") > shard // (length + STEP + 64)).alias("many")).where("again or open"), "suffix-runs")
+    together = shared_parts(dealt, runs, length)
+    many = runs.where("open and many and not again").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    windows = _windows(dealt.join(many, "doc_id").select("doc_id", "text", "places"), length).withColumn("rank", F.rank().over(order))
+    found = runs.where("again").select("doc_id", "place").unionByName(_sorted_repeats(together, length, shard)).unionByName(windows.where("known or rank > 1").select("doc_id", "place"))
     return dealt, found.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
 
-def deduplicated(documents: DataFrame, length: int = 100) -> DataFrame:
+def deduplicated(documents: DataFrame, length: int = 100, shard: int = 4 << 20) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 after removing every byte of a window that also starts earlier.
 
     Earlier: smaller doc_id, or the same one and an earlier start. Null and empty texts have no bytes; rows that
     repeat a doc_id with its text are one document; texts that share a doc_id count by their places alone; a null
     doc_id is the least.
     """
-    dealt, found = repeats(documents, length)
+    dealt, found = repeats(documents, length, shard)
     out = _apply(dealt.join(found, "doc_id", "left").select("doc_id", "text", "places"), length)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import bloom_langid, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, secret_forest, string_kernel, suffix_dedup
 from marginalia.llm.common import held_out
@@ -53,6 +54,26 @@ def test_suffix_dedup_is_exact(spark):
     assert {r[0]: tuple(r[1:]) for r in got} == removed(docs, 100)
 
 
+def test_a_passage_of_very_many_documents_is_not_sorted_whole(spark, monkeypatch):
+    rnd = random.Random(6)
+    some = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage, docs = some(400), []
+    for i in range(300):
+        docs.append((i, some(rnd.randrange(60, 140)) + passage + some(rnd.randrange(60, 140))))
+    docs += [docs[7], (300, docs[8][1][:250]), (301, docs[9][1][30:])]
+    sizes, whole = [], suffix_dedup._sorted_repeats
+
+    def watched(parts, *more):
+        sizes.extend(r["n"] for r in parts.groupBy("key").agg(F.sum(F.length("part")).alias("n")).collect())
+        return whole(parts, *more)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_repeats", watched)
+    dealt, found = suffix_dedup.repeats(spark.createDataFrame(docs, "doc_id long, text string"), 100, 10_000)
+    got = suffix_dedup._apply(dealt.join(found, "doc_id", "left").select("doc_id", "text", "places"), 100).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == removed(set(docs), 100) and len(got) == 303
+    assert max(sizes, default=0) <= 10_000
+
+
 def test_jaccard_groups_are_exact(spark):
     rnd = random.Random(5)
     base = [[f"w{rnd.randrange(60)}" for _ in range(rnd.choice((6, 40, 150)))] for _ in range(12)]
