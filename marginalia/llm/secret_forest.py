@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Set
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 
 from .hashing import batches
 
-SHAPE = re.compile(r"[A-Za-z0-9_\-+/=.@:~%$#]{12,}")
+SHAPE = re.compile(r"[A-Za-z0-9_\-+/=.@:~%$#]{8,}")
 NAME = re.compile(r"([A-Za-z][\w\-.]{0,40})[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}[\"'`]?$")
 INSIDE = re.compile(r"^([A-Za-z][\w\-.]{1,40}?)[=:](?=[^=/])")
 WORD = re.compile(r"[^\W\d_]{3,}")
@@ -21,8 +23,11 @@ WORD = re.compile(r"[^\W\d_]{3,}")
 CREDENTIAL = re.compile(r"(?i)(secret|token|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth|credential|bearer)")
 EXAMPLE = re.compile(r"(?i)(example|sample|dummy|placeholder|changeme|your[_\-]|test|mock|fixture|spec)")
 KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|AIza[0-9A-Za-z_\-]{35}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk-[A-Za-z0-9_\-]{20,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*)$")
+#: Values without digits: their words, and what no word has.
+CHUNK = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+ROUGH = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{5}")
 HARMLESS = re.compile(r"^(?:\d[\d.\-:/]*|[^@\s]+@[^@\s]+\.\w+|https?:.*|[A-Za-z]+|(?:[A-Za-z]+[.\-_/:]+)+[A-Za-z]*|[=\-_.#~+*/:%$@]+)$")
-FEATURES = ("length", "digits", "uppers", "symbols", "switches", "distinct", "entropy", "hex", "covered", "named", "near", "example", "path")
+FEATURES = ("length", "digits", "uppers", "symbols", "switches", "distinct", "entropy", "hex", "covered", "named", "near", "example", "path", "literal", "rough")
 
 
 @dataclass
@@ -41,19 +46,23 @@ def findings(text: str | None, path: str | None = None) -> list[Finding]:
         start, value, name = m.start(), m.group(), ""
         if inner := INSIDE.match(value):
             name, start, value = inner[1], start + inner.end(), value[inner.end() :]
-        elif front := NAME.search(text[max(0, start - 50) : start]):
+        elif text[max(0, start - 5) : start].rstrip("\"'`").rstrip()[-1:] in (*"=:>", "") and (front := NAME.search(text[max(0, start - 50) : start])):
             name = front[1]
         value = value.rstrip(".:=") if not re.search(r"[A-Za-z0-9]==?$", value) else value.rstrip(".:")
-        if len(value) < 12 or not any(c.isdigit() for c in value):
+        named = bool(CREDENTIAL.search(name))
+        if not (KNOWN.match(value) or len(value) >= 8 and named or len(value) >= 12 and any(c.isdigit() for c in value)):
             continue
         if known is None:  # the dictionary: the words of the text
-            known = {w.lower() for w in WORD.findall(text)}
+            known = Counter(w.lower() for w in WORD.findall(text))
+        own = Counter(w.lower() for w in WORD.findall(value))
+        words = {w for w in {*own, *(c.lower() for c in CHUNK.findall(value))} if known[w] > own[w]} if named and not any(c.isdigit() for c in value) else known.keys()
         around = text[max(0, start - 60) : start] + " " + text[start + len(value) : start + len(value) + 40]
-        out.append(Finding(start, start + len(value), value, _features(value, name, around, path or "", known), _rule(value, name, around)))
+        literal = text[start - 1 : start] in ("=", '"', "'", "`") if start else False
+        out.append(Finding(start, start + len(value), value, _features(value, name, around, path or "", words, literal), _rule(value, name, around, words, literal)))
     return out
 
 
-def _features(value: str, name: str, around: str, path: str, known: set[str]) -> list[float]:
+def _features(value: str, name: str, around: str, path: str, known: Set[str], literal: bool) -> list[float]:
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value]
     counts = np.unique(list(value), return_counts=True)[1] / n
@@ -62,14 +71,34 @@ def _features(value: str, name: str, around: str, path: str, known: set[str]) ->
         n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("s") / n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
         len(counts) / n, float(-(counts * np.log2(counts)).sum()), float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))), covered / n,
         float(bool(CREDENTIAL.search(name))), float(bool(CREDENTIAL.search(around))), float(bool(EXAMPLE.search(around) or EXAMPLE.search(value))), float(bool(EXAMPLE.search(path))),
+        float(literal), float(_rough(value)),
     ]
 
 
-def _rule(value: str, name: str, around: str) -> int | None:
-    """The labelling rules: keys of known shapes and long mixed values given to a credential's name are secrets; numbers, addresses and words aren't."""
-    if EXAMPLE.search(value) or HARMLESS.match(value):
+def _rough(value: str) -> bool:
+    """Letters that aren't words: five consonants in a row, or case that changes all the time."""
+    chunks = CHUNK.findall(value)
+    return bool(ROUGH.search(value)) or sum(map(len, chunks)) < 3 * len(chunks)
+
+
+def _rule(value: str, name: str, around: str, known: Set[str], literal: bool) -> int | None:
+    """The labelling rules: keys of known shapes and values given to a credential's name are secrets; numbers, addresses and words aren't.
+
+    Such a value is mixed and of 16 characters, or a literal (in quotes, or next to the equals sign) of 8; one without digits
+    isn't made of words that the text has elsewhere, and is a literal or rough.
+    """
+    if EXAMPLE.search(value):
+        return 0
+    if KNOWN.match(value):
+        return 1
+    named = bool(CREDENTIAL.search(name))
+    if named and not any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and "@" not in value and "://" not in value:
+        if all(w.lower() in known or CREDENTIAL.fullmatch(w) for w in CHUNK.findall(value) if len(w) > 2) and not _rough(value):
+            return 0
+        return 1 if literal or _rough(value) else 0
+    if HARMLESS.match(value):
         return 0
-    if KNOWN.match(value) or (CREDENTIAL.search(name) and len(value) >= 16):
+    if named and (len(value) >= 16 or literal):
         return 1
     return None
 
