@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Set
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import staged
 from .hashing import batches
 
 SHAPE = re.compile(r"[A-Za-z0-9_\-+/=.@:~%$#]{8,}")
@@ -151,20 +153,34 @@ class Forest:
 
 
 def train(documents: DataFrame, sample: int = 20_000) -> Forest | None:
-    """A forest from at most sample rule-labelled findings of documents(text, source), chosen by hash; None with fewer than five of a label."""
+    """A forest from rule-labelled findings of documents(text, source): of each label at most sample / 2 distinct ones, those of the least hash; None with fewer than five of a label."""
+    each = sample // 2
 
     def of(it):
+        least: dict[int, dict[int, list[float]]] = {0: {}, 1: {}}  # by label: hash to features
+        bound = {0: 1 << 63, 1: 1 << 63}
         for b in batches(it):
-            texts, paths = b.column(0).to_pylist(), b.column(1).to_pylist()
-            found = [f for t, p in zip(texts, paths, strict=True) for f in findings(t, p) if f.label is not None]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f.value for f in found]), pa.array([f.features for f in found], pa.list_(pa.float64())), pa.array([f.label for f in found], pa.int32())], ["value", "x", "y"])
-
-    rows = documents.select("text", F.col("source").cast("string")).mapInArrow(of, "value string, x array<double>, y int")
-    got = rows.orderBy(F.xxhash64("value", "x")).limit(sample).select("x", "y").toPandas()
-    if min((got["y"] == 0).sum(), (got["y"] == 1).sum()) < 5:
+            for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for f in findings(t, p):
+                    if f.label is None:
+                        continue
+                    h = int.from_bytes(hashlib.blake2b(repr((f.value, f.features)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+                    own = least[f.label]
+                    if h < bound[f.label]:
+                        own[h] = f.features
+                        if len(own) >= 2 * each:
+                            least[f.label] = dict(sorted(own.items())[:each])
+                            bound[f.label] = max(least[f.label])
+        for y, own in least.items():
+            for k in range(0, min(each, len(own)), 2000):
+                part = sorted(own.items())[:each][k : k + 2000]
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in part], pa.int64()), pa.array([x for _, x in part], pa.list_(pa.float64())), pa.array([y] * len(part), pa.int32())], ["h", "x", "y"])
+
+    rows = staged(documents.select("text", F.col("source").cast("string")).mapInArrow(of, "h long, x array<double>, y int"), "findings")
+    got = [rows.where(F.col("y") == y).groupBy("h").agg(F.min("x").alias("x")).orderBy("h").limit(each).toPandas() for y in (0, 1)]
+    if min(map(len, got)) < 5:
         return None
-    return Forest(np.stack(got["x"]), got["y"].to_numpy())
+    return Forest(np.stack([*got[0]["x"], *got[1]["x"]]), np.repeat((0, 1), [len(g) for g in got]))
 
 
 def judged(found: list[Finding], forest: Forest | None) -> np.ndarray:

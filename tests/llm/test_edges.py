@@ -97,6 +97,13 @@ def test_secrets_without_digits_and_short_ones(spark):
         assert [got[i] for i in range(len(texts), len(got))] == plain
 
 
+def test_a_forest_whatever_the_ratio_of_the_labels(spark):
+    lines = [f'secret = "{k * 7919 % 10007:05d}ab{k:04d}cdefgh"' for k in range(12)] + [f"at 2024.{k:06d}.000" for k in range(3000)] + ["https://one.example.org/1234/page"] * 3000
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(lines)], "doc_id long, text string, source string")
+    assert secret_forest.train(docs, sample=100) is not None
+    assert secret_forest.train(docs.where("doc_id >= 8"), sample=100) is None
+
+
 def test_licenses(spark, odd_documents, no_documents):
     assert license_scan.document_licenses(odd_documents).where("n_matches > 0").count() == 0
     assert license_scan.document_licenses(no_documents).count() == 0
