@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, held_out
+from .common import distinct_sample, held_out
 from .hashing import batches, mix
 
 GRAMS = (2, 3, 4)
@@ -56,18 +56,16 @@ def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class BloomFilters:
-    """Slots with a bit for each language; at most 64 languages."""
+    """Slots with a bit for each language, in one word or, beyond 64 languages, in several."""
 
     def __init__(self, members: dict[str, np.ndarray], probes: int = 3, bits: int = 20):
-        if len(members) > 64:
-            raise ValueError("at most 64 languages")
         self.langs, self.probes, self.mask = sorted(members), probes, (1 << bits) - 1
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(members))
-        self.slots = np.zeros(1 << bits, kind)
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if np.iinfo(k).bits >= len(members)), np.uint64)
+        self.slots = np.zeros((-(-len(members) // 64), 1 << bits), kind)
         for i, lang in enumerate(self.langs):
             for at in self._places(members[lang]):
-                self.slots[at] |= kind(1 << i)
-        filled = np.array([np.mean(self.slots >> kind(i) & kind(1)) for i in range(len(self.langs))])
+                self.slots[i // 64, at] |= kind(1 << i % 64)
+        filled = np.array([np.mean(self.slots[i // 64] >> kind(i % 64) & kind(1)) for i in range(len(self.langs))])
         self.chance = filled**probes  # false positives of each language
 
     def _places(self, h: np.ndarray):
@@ -75,28 +73,28 @@ class BloomFilters:
             yield ((h >> np.uint64(21 * k)) & np.uint64(self.mask)).astype(np.int64)
 
     def languages(self, h: np.ndarray) -> np.ndarray:
-        """Bit mask of the languages of each n-gram."""
+        """Bit masks of the languages of each n-gram, words x n-grams."""
         out = None
         for at in self._places(h):
-            out = self.slots[at] if out is None else out & self.slots[at]
+            out = self.slots[:, at] if out is None else out & self.slots[:, at]
         return out
 
     def scores(self, h: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
         """Corrected member counts, texts x languages."""
         mask, total = self.languages(h), np.bincount(owner, minlength=texts)
         kind = self.slots.dtype.type
-        hits = np.stack([np.bincount(owner, mask >> kind(i) & kind(1), texts) for i in range(len(self.langs))], 1)
+        hits = np.stack([np.bincount(owner, mask[i // 64] >> kind(i % 64) & kind(1), texts) for i in range(len(self.langs))], 1)
         return np.maximum(0, (hits - total[:, None] * self.chance) / (1 - self.chance))
 
 
 def train(labelled: DataFrame, sample: int = 1000, grams: int = 30_000, ratio: float = 0.6, bits: int = 20) -> BloomFilters | None:
-    """Filters from rows (text, lang) with a lang: at most sample rows of each language, chosen by hash of the text.
+    """Filters from rows (text, lang) with a lang: at most sample distinct texts of each language, chosen by hash.
 
     A language's filter holds its most frequent n-grams, at most grams, whose share in that language is at least
-    ratio times the largest share in any. Texts of the sample are counted in tasks; the driver gets counts of
-    at most the most frequent grams * 4 n-grams of each language. None without labelled rows.
+    ratio times the largest share in any. Texts of the sample are counted in tasks; the driver gets
+    the filters' n-grams. None without labelled rows.
     """
-    some = hash_sample(labelled.where("lang is not null and text is not null"), "lang", "text", sample).select("lang", "text").repartition(12)
+    some = distinct_sample(labelled.where("lang is not null and text is not null"), "lang", "text", sample).repartition(12)
 
     def count(it):
         totals: dict[str, pd.Series] = {}
@@ -113,12 +111,11 @@ def train(labelled: DataFrame, sample: int = 1000, grams: int = 30_000, ratio: f
     counts = some.mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang")
     top = counts.withColumns({"p": F.col("n") / F.sum("n").over(by), "k": F.row_number().over(by.orderBy(F.desc("n"), "h"))}).where(F.col("k") <= 4 * grams)
-    got = top.select("lang", "h", "p", "k").toPandas()
+    own = top.withColumn("best", F.max("p").over(Window.partitionBy("h"))).where(F.col("p") >= ratio * F.col("best"))
+    got = own.withColumn("r", F.row_number().over(by.orderBy("k"))).where(F.col("r") <= grams).select("lang", "h").toPandas()
     if got.empty:
         return None
-    got["best"] = got.groupby("h")["p"].transform("max")
-    got = got[got["p"] >= ratio * got["best"]].sort_values(["lang", "k"])
-    return BloomFilters({lang: g["h"].to_numpy()[:grams].view(np.uint64) for lang, g in got.groupby("lang")}, bits=bits)
+    return BloomFilters({lang: g["h"].to_numpy().view(np.uint64) for lang, g in got.groupby("lang")}, bits=bits)
 
 
 def identify(documents: DataFrame, filters: BloomFilters | None) -> DataFrame:

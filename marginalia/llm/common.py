@@ -68,3 +68,18 @@ def hash_sample(df: DataFrame, by: str, hashed: str, n: int) -> DataFrame:
         near = ok if near is None else near | ok
     order = Window.partitionBy(by).orderBy("_h")
     return df.where(near).withColumn("_h", h).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_h", "_k")
+
+
+def distinct_sample(df: DataFrame, by: str, hashed: str, n: int) -> DataFrame:
+    """(by, hashed) for at most n distinct values (n <= 1000 as in hash_sample) of column hashed in each value of by, those with the least hash.
+
+    Only hashes are shuffled for the choice; the values that are broadcast are one row for each value of by.
+    """
+    keyed = df.where(F.col(by).isNotNull()).select(by, hashed, F.xxhash64(hashed, F.lit("sample")).alias("_h"))
+    ids = keyed.select(by, "_h").distinct()
+    least = Window.partitionBy(by).orderBy("_s", "_h")
+    place = F.pmod("_h", F.lit(1 << 30))
+    near = ids.join(F.broadcast(ids.groupBy(by).count()), by).withColumn("_s", place).where(F.col("_s") <= F.lit(float((1 << 30) * (4 * n + 100))) / F.col("count"))
+    last = near.withColumn("_k", F.row_number().over(least)).where(F.col("_k") <= n).groupBy(by).agg(F.max(F.struct("_s", "_h")).alias("_last"))
+    chosen = keyed.join(F.broadcast(last), by).where(F.struct(place.alias("_s"), "_h") <= F.col("_last"))
+    return chosen.groupBy(by, "_h").agg(F.min(hashed).alias(hashed)).select(by, hashed)

@@ -41,6 +41,14 @@ def test_language(spark, odd_documents, no_documents):
     assert bloom_langid.document_languages(no_documents).count() == 0
 
 
+def test_more_than_64_languages_and_many_copies(spark):
+    texts = [("".join(chr(0x4E00 + 40 * k + j) for j in range(20)), f"l{k:02d}") for k in range(70)]
+    docs = spark.createDataFrame(texts, "text string, lang string")
+    copies = docs.unionByName(docs.where("lang < 'l08'").crossJoin(spark.range(6000)).select("text", "lang"))
+    got = bloom_langid.identify(docs, bloom_langid.train(copies)).collect()
+    assert len(got) == 70 and all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_shards(spark, odd_documents, no_documents):
     rows = jump_shards.document_shards(odd_documents).collect()
     assert len(rows) == 12
