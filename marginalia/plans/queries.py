@@ -413,7 +413,7 @@ def review_state_stream(spark, d):
     name = f"review_state_{uuid.uuid4().hex}"
     source = _t(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    return review_state.run_to_table(review_state.live_state(stream), name, f"{own}/{name}")
+    return review_state.run_to_files(review_state.live_state(stream), f"{own}/{name}-state", f"{own}/{name}")
 
 
 FLAGS = ["paper", "sheet", "guidance", "solutions"]

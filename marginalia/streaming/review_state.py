@@ -27,7 +27,19 @@ def live_windows(events: DataFrame, length: str = "1 day", late: str = "1 day")
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Everything available now into an in-memory table, for small results and tests."""
+    """Everything available now into an in-memory table of the driver, for small results and tests."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Everything available now, output mode complete: each batch writes the whole state as Parquet in place of the one before; nothing passes through the driver."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(path)  # no batch runs on an empty source
+
+    def write(state: DataFrame, batch: int) -> None:
+        state.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

@@ -45,3 +45,7 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stream_state_is_in_files(spark):
+    assert QUERIES["review_state_stream"](spark, SF).inputFiles()
