@@ -1,10 +1,11 @@
 """N-gram Jaccard join by parity sketches.
 
 The shingles of a document are dealt by hash to blocks, and each block keeps the XOR of its shingles' hashes: a
-shingle in one document only changes one block. At a Jaccard similarity of t two sets of a and b shingles, a <= b,
-differ in at most (1 - t) / t * a shingles, so of more blocks than that one at least is equal (pigeonhole). Blocks
+shingle in one document only changes one block. At a Jaccard similarity of t two sets of a and b shingles differ in
+at most (1 - t) / (1 + t) * (a + b) shingles, so of more blocks than that one at least is equal (pigeonhole). Blocks
 are therefore numbered by size band and joined on their value; in the join the Hamming distance of short bit
-sketches, a lower bound of the difference, and then the sets themselves decide. Nothing is dropped: see _emit for empty blocks.
+sketches, a lower bound of the difference, decides first, that of sketches as wide as the sets are large next, and
+then the sets themselves. Nothing is dropped: see _emit for empty blocks.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, release, staged
+from .common import discard, staged
 from .components import components
 from .hashing import batches, byte_batch, mix, prefix_sums, span_hashes, words_in
 
 SKETCH = 4  # longs of 64 bits
-BAND = 1.5
+BAND = 1.75  # about the fewest keys a document: a wider band has more blocks, a narrower one sends more documents to two
+SHARE = 20_000  # a block key with more than this part of all keys is dealt to several tasks; there can't be more such keys
 
 
 def _is_word() -> np.ndarray:
@@ -75,7 +78,7 @@ def _blocks(band: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     edges = [1]
     while len(edges) <= top + 1:
         edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
-    most = np.array([int((1 - t) / t * (e - 1)) for e in edges[1:]])  # the smaller set has fewer than the band's upper edge
+    most = np.array([int((1 - t) / (1 + t) * 2 * (e - 1)) for e in edges[1:]])  # both sets have fewer than the band's upper edge
     lower = np.maximum(1, np.array([int(t * e) for e in edges[:-1]]))
     spare = np.where(most == 0, 0, np.ceil(2 + 2 * (most + 1) * np.exp(-lower / (most + 1)))).astype(int)
     return (most + 1 + spare)[band], spare[band]
@@ -114,103 +117,144 @@ def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _parity(h: np.ndarray, own: np.ndarray, longs: np.ndarray) -> np.ndarray:
+    """Bit sketches of longs[d] words of 64 bits for each text d, one after the other: a shingle flips one bit."""
+    at = np.cumsum(longs) - longs
+    bit = mix(h + np.uint64(99)) & (np.uint64(64) * longs[own].astype(np.uint64) - np.uint64(1))
+    return _xor_by(at[own] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)), int(longs.sum()))
+
+
 def features(documents: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """doc_id, n, s1, s2 (identity of the set), sketch, keys for each document."""
 
     def of(it):
         for b in batches(it):
-            raw, off = byte_batch(b.column(1))
+            raw, off = byte_batch(b.column(0))
             h, begin = shingle_sets(raw, off, width)
             n = np.diff(begin)
             own = np.repeat(np.arange(len(n)), n)
             s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             np.add.at(s1, own, mix(h))
             np.add.at(s2, own, mix(h ^ np.uint64(0x5555555555555555)))
-            bit = mix(h + np.uint64(99)) % np.uint64(64 * SKETCH)
-            flat = own * SKETCH + (bit >> np.uint64(6)).astype(np.int64)
-            sketch = _xor_by(flat, np.uint64(1) << (bit & np.uint64(63)), len(n) * SKETCH)
+            sketch = _parity(h, own, np.full(len(n), SKETCH))
             keys, at = _emit(h, begin, threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(sketch, np.arange(len(n) + 1) * SKETCH), _lists(keys, at)], ["doc_id", "n", "s1", "s2", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(sketch, np.arange(len(n) + 1) * SKETCH), _lists(keys, at)], ["doc_id", "n", "s1", "s2", "sketch", "keys"])
 
-    return documents.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, s1 long, s2 long, sketch array<long>, keys array<long>")
+    long_, longs = T.LongType(), T.ArrayType(T.LongType())
+    made = [("n", long_), ("s1", long_), ("s2", long_), ("sketch", longs), ("keys", longs)]
+    return documents.select("text", "doc_id").mapInArrow(of, T.StructType([documents.schema["doc_id"], *[T.StructField(*f) for f in made]]))
 
 
 def _sets(documents: DataFrame, width: int) -> DataFrame:
+    """node, h (its shingles' hashes) and wide, a sketch of four to eight bits for each shingle, its length a power of two."""
+
     def of(it):
         for b in batches(it):
-            h, begin = shingle_sets(*byte_batch(b.column(1)), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(h, begin)], ["node", "h"])
+            h, begin = shingle_sets(*byte_batch(b.column(0)), width)
+            n = np.diff(begin)
+            longs = 1 << np.ceil(np.log2(np.maximum(1, n / 16))).astype(np.int64)
+            wide = _parity(h, np.repeat(np.arange(len(n)), n), longs)
+            yield pa.RecordBatch.from_arrays([b.column(1), _lists(h, begin), _lists(wide, np.concatenate(([0], np.cumsum(longs))))], ["node", "h", "wide"])
+
+    longs = T.ArrayType(T.LongType())
+    return documents.select("text", "node").mapInArrow(of, T.StructType([documents.schema["node"], T.StructField("h", longs), T.StructField("wide", longs)]))
 
-    return documents.select("node", "text").mapInArrow(of, "node long, h array<long>")
+
+def _distance(a: Column, b: Column) -> Column:
+    """Hamming distance of two sketches; one of twice the other's length is folded first, of others nothing is known: 0."""
+    bits = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda c, v: c + v)
+    half = lambda x, m: F.zip_with(F.slice(x, 1, m), F.slice(x, m + 1, m), lambda p, q: p.bitwiseXOR(q))
+    m, n = F.size(a), F.size(b)
+    return F.when(m == n, bits(a, b)).when(m == 2 * n, bits(half(a, n), b)).when(n == 2 * m, bits(a, half(b, m))).otherwise(0)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Those of pairs(a, b) whose sets have a Jaccard similarity of t or more."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("a_h")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("b_h")), "b")
-    common = F.size(F.array_intersect("a_h", "b_h"))
-    return both.withColumn("common", common).where(F.col("common") * t.denominator >= (F.size("a_h") + F.size("b_h") - F.col("common")) * t.numerator).select("a", "b")
+    """Those of pairs(a, b) whose sets have a Jaccard similarity of t or more. Only pairs with close wide sketches move shingles."""
+    p, q = t.numerator, t.denominator
+
+    def with_(pairs: DataFrame, what: Column) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("node").alias(side), what.alias(f"{side}_x"), F.size("h").alias(f"{side}_n")), side)
+        return pairs
+
+    near = with_(pairs, F.col("wide")).where(_distance(F.col("a_x"), F.col("b_x")) * (q + p) <= (F.col("a_n") + F.col("b_n")) * (q - p)).select("a", "b").distinct()
+    both = with_(near, F.col("h")).withColumn("common", F.size(F.array_intersect("a_x", "b_x")))
+    return both.where(F.col("common") * q >= (F.col("a_n") + F.col("b_n") - F.col("common")) * p).select("a", "b").distinct()
+
+
+def _shared_blocks(held: DataFrame) -> DataFrame:
+    """held(key, node) of the keys with more than one node, with lo, the least node of the key or, where a key is dealt to several tasks, of its part.
+
+    Keys that hold more than one SHARE-th of all rows, by a sixteenth of the nodes, are cut into parts by the node's
+    hash, so that no task gets a hot block; which keys those are changes nothing but the load.
+    """
+    some = held.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0)
+    total = some.count()
+    hot = some.groupBy("key").agg(F.count("*").alias("c")).where((F.col("c") * SHARE > total) & (F.col("c") > 64)).select("key", F.ceil(F.col("c") * SHARE / F.lit(max(1, total))).cast("int").alias("parts"))
+    dealt = held.join(F.broadcast(hot), "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("parts")), F.lit(0)))
+    own = Window.partitionBy("key", "part")
+    return dealt.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where((F.col("lo") < F.col("hi")) | F.col("parts").isNotNull()).select("key", "node", "lo").distinct()
 
 
 def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included) for each row.
 
-    Links are exact: every pair of different sets in a shared block is either verified or already in one component.
-    Copies count as one set. In the first round each set is compared with the least one in its blocks; in each round after it the next
-    members of a block, sixteen times as many as before, are compared with all later ones of other components, so a large group of near copies is joined through few of its members.
-    Null, empty and wordless texts link with nothing. Rows that share a doc_id are one node.
+    doc_id may have any type that has an order. Links are exact: every pair of different sets in a shared block is
+    either verified or already in one component. Copies count as one set. Each set is first compared with that least
+    set of its blocks with which it shares most of them; in the rounds after it about four members of each block
+    (chosen by hash), then sixteen times as many and so on, are compared with the members of other components, so
+    a large group of near copies is joined through few of its members.
+    Null, empty and wordless texts link with nothing. Rows that share a doc_id are one node; a row without one has
+    the least doc_id of the others with its set as its component, or none.
     """
-    t, spark = Fraction(threshold).limit_denominator(1000), documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    t = Fraction(threshold).limit_denominator(1000)
+    docs = documents.select("doc_id", "text")
     keyed = staged(features(docs, width, t), "parity-keys")
-    feats = staged(keyed.drop("keys"), "parity")
-    nodes = staged(feats.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "parity-nodes")
-    members = feats.select("doc_id", "n", "s1", "s2").join(nodes, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("node"))
-    first = lambda df: df.join(nodes.select("n", "s1", "s2", F.col("node").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi")
-    own = Window.partitionBy("key")
-    held = first(keyed).select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    live = staged(held.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where("lo < hi").select("key", "node").distinct(), "parity-live")
-    discard(keyed)
-    release(spark)
+    nodes = staged(keyed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "parity-nodes")
+    members = staged(keyed.select("doc_id", "n", "s1", "s2").join(nodes, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node")), "parity-members")
+    first = keyed.join(nodes.select("n", "s1", "s2", F.col("node").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi")
     bits = [f"w{k}" for k in range(SKETCH)]
-    sketches = first(feats).select(F.col("doc_id").alias("node"), "n", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)])
-    # |A ^ B| <= (1 - t) * |A | B| and |A | B| = (a + b + |A ^ B|) / 2, so |A ^ B| <= (1 - t) / (1 + t) * (a + b)
+    sketches = staged(first.select(F.col("doc_id").alias("node"), "n", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)]), "parity-sketches")
+    live = staged(_shared_blocks(first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))), "parity-live")
+    discard(keyed)
     p, q = t.numerator, t.denominator
     far = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in bits), F.lit(0))
     close = (F.least("a.n", "b.n") * q >= F.greatest("a.n", "b.n") * p) & (far * (q + p) <= (F.col("a.n") + F.col("b.n")) * (q - p))
-    links, groups, step, done, first_pass = None, None, 1, 0, True
+    # the first round: one pair for each set, and for the parts of hot keys one from each part's least set to the least of all
+    votes = live.where("node <> lo").groupBy("node", "lo").count().groupBy("node").agg(F.max_by("lo", F.struct("count", "lo")).alias("lo"))
+    parts = live.groupBy("key").agg(F.min("lo").alias("least"), F.max("lo").alias("last")).where("least < last")
+    heads = live.join(parts, "key").where("node = lo and lo > least").select("node", F.col("least").alias("lo")).distinct()
+    ends = votes.unionByName(heads).join(sketches.alias("b"), "node").join(sketches.withColumnRenamed("node", "lo").alias("a"), "lo")
+    pairs = ends.where(close).select(F.col("lo").alias("a"), F.col("node").alias("b"))
+    links, groups, sized, done = None, None, None, 0
     while True:
-        if groups is None:
-            rows = live.withColumn("comp", F.col("node"))
-        else:
-            rows = live.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        ranked = rows.withColumns({"k": F.row_number().over(own.orderBy("node")), "lo": F.min("comp").over(own), "hi": F.max("comp").over(own), "size": F.count("*").over(own)}).where((F.col("lo") < F.col("hi")) & (F.col("k") > done) & (F.col("size") > done + 1))
-        ranked = staged(ranked.drop("lo", "hi", "size").join(sketches, "node"), "parity-ranked")
-        release(spark)
-        if ranked.isEmpty():
-            break
-        heads, met = ranked.where(F.col("k") <= done + step).alias("a"), (F.col("b.k") > F.col("a.k")) & (F.col("a.comp") != F.col("b.comp"))
-        pairs = ranked.alias("b").join(heads, (F.col("a.key") == F.col("b.key")) & met & close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        if first_pass:
-            # most near copies of a group are joined by one link each, so that few arrays are moved
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         pairs = staged(pairs, "parity-pairs")
-        release(spark)
-        found = pairs
         if not pairs.isEmpty():  # arrays of shingles are made for the documents of close pairs only
             wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
             sets = staged(_sets(docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi"), width), "parity-sets")
-            release(spark)
             found = staged(_verified(pairs, sets, t), "parity-links")
             discard(sets)
-            release(spark)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            groups = staged(components(links, "parity-components"), "parity-groups")
-        discard(ranked)
-        if first_pass:
-            first_pass = False  # not all pairs of these heads are compared
-        else:
-            done, step = done + step, step * 16
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                groups = staged(components(links, "parity-components"), "parity-groups")
+        discard(pairs)
+        if sized is None:
+            sizes = live.groupBy("key").agg(F.count("*").alias("size"))
+            # place / 2**30 * size < k for about k members of a key, and for all of them if it has no more than k
+            sized = live.join(sizes, "key").select("key", "node", "size", (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) * F.col("size")).alias("place"))
+        step = max(4, 16 * done)
+        rows = sized.where(F.col("size") > done)
+        rows = rows.withColumn("comp", F.col("node")) if groups is None else rows.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        left = staged(rows.join(mixed, "key", "left_semi").join(sketches, "node"), "parity-left")
+        if left.isEmpty():
+            break
+        sized = left.select("key", "node", "size", "place")
+        heads = left.where((F.col("place") >= done << 30) & (F.col("place") < step << 30))
+        later = (F.col("b.place") >= step << 30) | ((F.col("b.place") >= done << 30) & (F.col("a.node") < F.col("b.node")))
+        met = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & later
+        pairs = left.alias("b").join(heads.alias("a"), met & close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        done = step
     if groups is None:
         return members.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
     return members.join(groups, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
