@@ -21,6 +21,14 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED = r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{M}]]"
 
 
+#: What tells rows apart, since different texts may share a doc_id or have none.
+ROW = ["doc_id", "h1", "h2"]
+
+
+def text_hashes() -> list[Column]:
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+
+
 def words_of(text: Column) -> Column:
     """Words of a text after lower-casing A-Z alone; null has none."""
     low = F.when(text.rlike(CASED), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
@@ -44,7 +52,7 @@ def item_windows(items: DataFrame, window: int = 10, width: int = 3) -> DataFram
 
 
 def find_windows(documents: DataFrame, items: DataFrame, window: int = 10, width: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_words, start, len, item_id: one row with null start for each document, and one for each place where an item window occurs.
+    """doc_id, h1, h2 (hashes of the text), n_words, start, len, item_id: one row with null start for each document, and one for each place where an item window occurs.
 
     The items are the stated query set: they are broadcast in blocks of about block_bytes, each against all
     documents, so that what is broadcast has a bound whatever the number of items.
@@ -52,35 +60,45 @@ def find_windows(documents: DataFrame, items: DataFrame, window: int = 10, width
     wins = item_windows(items, window, width)
     size = wins.agg(F.sum(F.length(F.array_join("win", " ")) + 64), F.collect_set("width")).first()
     blocks, widths = max(1, math.ceil((size[0] or 0) / block_bytes)), sorted(size[1])
-    docs = documents.select("doc_id", words_of(F.col("text")).alias("words"))
+    docs = documents.select("doc_id", *text_hashes(), words_of(F.col("text")).alias("words"))
     parts = []
     for block in range(blocks):
         own = wins.where(F.pmod(F.xxhash64("item_id", "win"), F.lit(blocks)) == block)
         for w in sorted({*widths, *([width] if block == 0 else [])}, reverse=True):
             mine, first = own.where(F.col("width") == w), block == 0 and w == width
-            hashed = docs.select("doc_id", "words", _shingles(w).alias("hashes"))
+            hashed = docs.select(*ROW, "words", _shingles(w).alias("hashes"))
             seen = hashed.select(F.explode_outer("hashes").alias("shingle")).join(F.broadcast(mine.select("shingle").distinct()), "shingle").groupBy("shingle").agg(F.count("*").alias("n"))
             rare = mine.join(F.broadcast(seen), "shingle", "left").groupBy("item_id", "win", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "shingle")).alias("p"))
             prefix = rare.where("p.n > 0").select("p.shingle", "p.off", "win", "len", "item_id")
             if first:  # position 0 carries a mark that joins once in each document, so that all are in the result
                 mark = documents.sparkSession.range(1).select(F.lit(0).cast("long").alias("shingle"), F.lit(None).cast("int").alias("off"), F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"))
                 prefix = prefix.unionByName(mark)
-            at = hashed.select("doc_id", "words", F.posexplode_outer(F.concat(F.array(F.lit(0).cast("long")), "hashes")).alias("at", "shingle"))
+            at = hashed.select(*ROW, "words", F.posexplode_outer(F.concat(F.array(F.lit(0).cast("long")), "hashes")).alias("at", "shingle"))
             start = F.col("at") - F.col("off")  # from 1
             placed = F.when(F.col("at") == 0, F.col("off").isNull()).when(F.col("off").isNull() | (start < 1) | (start + F.col("len") - 1 > F.size("words")), False).otherwise(F.slice("words", F.greatest(start, F.lit(1)), F.greatest("len", F.lit(1))) == F.col("win"))
-            parts.append(at.join(F.broadcast(prefix), "shingle").where(placed).select("doc_id", F.size("words").cast("long").alias("n_words"), (start - 1).alias("start"), "len", "item_id"))
+            parts.append(at.join(F.broadcast(prefix), "shingle").where(placed).select(*ROW, F.size("words").cast("long").alias("n_words"), (start - 1).alias("start"), "len", "item_id"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def contamination(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A word inside any occurrence of an item window is hit. Null and empty texts have no words; rows that share a
-    doc_id are reported once with their places united; items with a null id mark words but aren't counted. What is
-    gathered for a document is bounded by its own words.
+    A word inside any occurrence of an item window is hit. Null and empty texts have no words; each row is judged by its
+    own text, whatever other rows share its doc_id, and repeated rows are all returned; items with a null id mark words
+    but aren't counted. What is gathered for a document is bounded by its own words.
     """
     found = find_windows(documents, items, window)
-    by = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", (F.col("start") + F.col("len")).alias("end"))))).alias("runs"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    place = F.struct("start", (F.col("start") + F.col("len")).alias("end"))
+    by = found.groupBy(*ROW).agg(F.max("n_words").alias("n_words"), F.count_if(F.col("start").isNull()).alias("rows"), F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), place))).alias("runs"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     step = lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(r["start"], a["end"]))).alias("n"), F.greatest(a["end"], r["end"]).alias("end"))
     hit = F.aggregate("runs", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda a: a["n"].cast("long"))
-    return by.select("doc_id", "n_words", hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("ids"), ",").cast("binary"), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
+    one = by.select("doc_id", "rows", "n_words", hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("ids"), ",").cast("binary"), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
+    return one.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("row", "rows")
+
+
+def without_leaks(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of documents in whose own text no item window occurs. Columns of documents stay as they are."""
+    bad = find_windows(documents, items, window).where("start is not null").select(*ROW).distinct()
+    d, b = documents.alias("d"), bad.alias("b")
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.h1")) & (F.xxhash64(F.lit(1), "d.text") == F.col("b.h2"))
+    return d.join(b, same, "left_anti")
