@@ -58,8 +58,10 @@ def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 class BloomFilters:
     """Slots with a bit for each language, in one word or, beyond 64 languages, in several."""
 
-    def __init__(self, members: dict[str, np.ndarray], probes: int = 3, bits: int = 20):
-        self.langs, self.probes, self.mask = sorted(members), probes, (1 << bits) - 1
+    def __init__(self, members: dict[str, np.ndarray], usual: str, probes: int = 3):
+        """Slots for the n-grams of each language, so many that an eighth of them at most is filled by one; usual is the language of texts without a known n-gram."""
+        bits = max(16, int(8 * probes * max(len(h) for h in members.values())).bit_length())
+        self.langs, self.usual, self.probes, self.mask = sorted(members), usual, probes, (1 << bits) - 1
         kind = next((k for k in (np.uint8, np.uint16, np.uint32) if np.iinfo(k).bits >= len(members)), np.uint64)
         self.slots = np.zeros((-(-len(members) // 64), 1 << bits), kind)
         for i, lang in enumerate(self.langs):
@@ -69,8 +71,9 @@ class BloomFilters:
         self.chance = filled**probes  # false positives of each language
 
     def _places(self, h: np.ndarray):
+        step = h >> np.uint64(32) | np.uint64(1)
         for k in range(self.probes):
-            yield ((h >> np.uint64(21 * k)) & np.uint64(self.mask)).astype(np.int64)
+            yield ((h + np.uint64(k) * step) & np.uint64(self.mask)).astype(np.int64)
 
     def languages(self, h: np.ndarray) -> np.ndarray:
         """Bit masks of the languages of each n-gram, words x n-grams."""
@@ -87,12 +90,13 @@ class BloomFilters:
         return np.maximum(0, (hits - total[:, None] * self.chance) / (1 - self.chance))
 
 
-def train(labelled: DataFrame, sample: int = 1000, grams: int = 30_000, ratio: float = 0.6, bits: int = 20) -> BloomFilters | None:
+def train(labelled: DataFrame, sample: int = 1000, cover: float = 0.99, ratio: float = 0.6) -> BloomFilters | None:
     """Filters from rows (text, lang) with a lang: at most sample distinct texts of each language, chosen by hash.
 
-    A language's filter holds its most frequent n-grams, at most grams, whose share in that language is at least
-    ratio times the largest share in any. Texts of the sample are counted in tasks; the driver gets
-    the filters' n-grams. None without labelled rows.
+    A language's filter holds the most frequent n-grams that make up the part cover of all its n-grams, of these the
+    ones whose share in that language is at least ratio times the largest share in any. Filters are as large as that
+    takes. Texts of the sample are counted in tasks; the driver gets the filters' n-grams, whose number the sample
+    bounds. The usual language is that of most n-grams, ties by name. None without labelled rows.
     """
     some = distinct_sample(labelled.where("lang is not null and text is not null"), "lang", "text", sample).repartition(12)
 
@@ -110,19 +114,22 @@ def train(labelled: DataFrame, sample: int = 1000, grams: int = 30_000, ratio: f
 
     counts = some.mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang")
-    top = counts.withColumns({"p": F.col("n") / F.sum("n").over(by), "k": F.row_number().over(by.orderBy(F.desc("n"), "h"))}).where(F.col("k") <= 4 * grams)
+    before = F.sum("n").over(by.orderBy(F.desc("n"), "h").rowsBetween(Window.unboundedPreceding, -1))
+    top = counts.withColumns({"total": F.sum("n").over(by), "before": F.coalesce(before, F.lit(0))}).where(F.col("before") < cover * F.col("total")).withColumn("p", F.col("n") / F.col("total"))
     own = top.withColumn("best", F.max("p").over(Window.partitionBy("h"))).where(F.col("p") >= ratio * F.col("best"))
-    got = own.withColumn("r", F.row_number().over(by.orderBy("k"))).where(F.col("r") <= grams).select("lang", "h").toPandas()
+    got = own.select("lang", "h", "total").toPandas()
     if got.empty:
         return None
-    return BloomFilters({lang: g["h"].to_numpy().view(np.uint64) for lang, g in got.groupby("lang")}, bits=bits)
+    totals = got.groupby("lang")["total"].max()
+    return BloomFilters({lang: g["h"].to_numpy().view(np.uint64) for lang, g in got.groupby("lang")}, totals[totals == totals.max()].index.min())
 
 
 def identify(documents: DataFrame, filters: BloomFilters | None) -> DataFrame:
     """documents (columns text and any others but lang_pred, score) with lang_pred and score.
 
     score is the winner's share of all languages' corrected counts. Text that is null or has no letter: und, 0.
-    Text whose n-grams are in no filter, and every text if there is no filter, is und too. Ties: first by name.
+    A text with letters whose n-grams are in no filter has the usual language and score 0; without filters all is und.
+    Ties: first by name. Repeated rows stay.
     """
     names = [c for c in documents.columns if c not in ("lang_pred", "score")]
     shared = documents.sparkSession.sparkContext.broadcast(filters)
@@ -136,6 +143,7 @@ def identify(documents: DataFrame, filters: BloomFilters | None) -> DataFrame:
                 h, owner, has = grams_of(texts)
                 s = model.scores(h, owner, len(texts))
                 total, best = s.sum(1), s.argmax(1)
+                lang[has] = model.usual
                 ok = has & (total > 0)
                 lang[ok] = np.array(model.langs, object)[best[ok]]
                 score[ok] = s.max(1)[ok] / total[ok]
