@@ -119,20 +119,39 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, margin: float = 0.15
     threshold lies on the other side of a border farther away than that only if it is moved mostly across it, so
     recall depends on margin alone and is measured in the tests. Lists are cut into blocks and their queries into
     chunks, so a task never holds a whole list. Vectors that are null, zero or have null or non-finite components
-    link with nothing, as do vectors of another length than the most frequent one's, the longer of equals.
+    link with nothing; a cosine is between vectors of one length, so each length is searched by itself. Repeated
+    rows are copies, 0.0 and -0.0 are equal.
     """
-    spark = vectors.sparkSession
-    v = F.col("embedding").cast("array<double>")
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 0.0)  # one zero
     fine = F.coalesce(F.size(v) > 0, F.lit(False)) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select("vec_id", F.when(fine, v).alias("v"))
-    width = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if width is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    rows = rows.withColumn("v", F.when(F.size("v") == width[0], F.col("v")))
-    classes = staged(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "pq-classes")
-    total = classes.count()
+    rows = vectors.select("vec_id", F.when(fine, v).alias("v")).withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    classes = staged(rows.where("v is not null").groupBy("h", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "pq-classes")
+    lengths = [r[0] for r in classes.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()]
+    links = None
+    for d in lengths:
+        found = _linked(classes.where(F.size("v") == d), least, margin, lists, block, chunk)
+        links = found if links is None else links.unionByName(found)
+    known = classes.select("h", "v", "node", "copies")
+    if links is None:
+        known = known.withColumns({"n": F.lit(0).cast("long"), "component": F.col("node")})
+    else:
+        links = staged(links, "pq-links")
+        groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "pq-components")
+        known = known.join(links.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(groups, "node", "left")
+    known = known.select("h", F.col("v").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    same = (rows["h"] == known["h"]) & (rows["v"] == known["_v"])  # the hash alone would do as a key, the vectors decide
+    out = rows.join(known, same, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _linked(classes: DataFrame, least: float, margin: float, lists: int | None, block: int, chunk: int) -> DataFrame:
+    """(node, n, root) of the links between classes (h, v, node, copies) of vectors of one length."""
+    spark, total = classes.sparkSession, classes.count()
     lists = lists or max(1, min(16384, int(math.sqrt(total))))
-    sample = classes.orderBy(F.xxhash64("v"), "node").limit(min(40 * lists, 100_000)).select("v").toPandas()["v"]
+    most = min(40 * lists, 100_000)
+    # a hash threshold first: the driver and the tasks sort about four times the sample at most
+    near = classes.where(F.pmod("h", F.lit(1 << 30)) <= int(min(1, (4 * most + 100) / max(1, total)) * (1 << 30)))
+    sample = near.orderBy("h", "node").limit(most).select("v").toPandas()["v"]
     model = Quantiser(unit([np.asarray(x, np.float64).tobytes() for x in sample]), lists)
     shared = spark.sparkContext.broadcast(model)
 
@@ -159,9 +178,4 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, margin: float = 0.15
             return pd.DataFrame({"node": [], "n": [], "root": []}).astype(np.int64)
         return _match(q.reset_index(drop=True), x.reset_index(drop=True), int(key[0]), shared.value, least)
 
-    found = staged(cells.groupBy("at", "b", "c").applyInPandas(cell, T.StructType([T.StructField(c, T.LongType()) for c in ("node", "n", "root")])), "pq-links")
-    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "pq-components")
-    links = found.groupBy("node").agg(F.sum("n").alias("n"))
-    known = classes.join(links, "node", "left").join(groups, "node", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return cells.groupBy("at", "b", "c").applyInPandas(cell, T.StructType([T.StructField(c, T.LongType()) for c in ("node", "n", "root")]))
