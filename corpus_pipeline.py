@@ -2,49 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bloom_langid, decontam, parity_join, piece_codec, secret_forest
 from marginalia.llm.common import staged, table
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """name, with underscores where documents have such a column already."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _beside(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], needed: list[str], wanted: dict[str, Column]) -> DataFrame:
+    """docs with the columns wanted from operator's rows, which sees only the columns needed: names of others can't clash."""
+    rest = [F.col(c) for c in docs.columns if c not in needed]
+    rows = operator(docs.select(*needed, F.struct(F.lit(0).alias("none"), *rest).alias("carried")))
+    own = [F.col(c) if c in needed else F.col("carried").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*own, *[value.alias(name) for name, value in wanted.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without an identified language; lang stays as given."""
     filters = bloom_langid.train(docs.where(~bloom_langid.held_out()).select("text", "lang"))
-    return bloom_langid.identify(docs, filters).where("lang_pred <> 'und'").select(docs.columns)
+    known = _unused(docs, "known")
+    judged = _beside(docs, lambda d: bloom_langid.identify(d, filters), ["text"], {known: F.col("lang_pred") != "und"})
+    return judged.where(known).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group of near copies (five-word shingles, Jaccard 0.8).
 
-    A repeated doc_id stays once; rows without one can't be grouped and stay.
+    Rows that share a doc_id with others or have none are judged by their own texts; they yield to near copies with a
+    doc_id of their own. Of rows that are alike in doc_id and text the least one, by all columns, stays.
     """
-    groups = parity_join.similar_groups(docs.where("doc_id is not null"), 5, Fraction(4, 5))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    row = _unused(docs, "row")
+    own, rest = F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 62)  # ids from 2**62 on: rows without a doc_id of their own
+    shared = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null or doc_id >= 1L << 62").select("doc_id", F.lit(True).alias("shared"))
+    if shared.isEmpty():
+        known = docs.withColumn(row, F.col("doc_id"))
+    else:
+        d, s = docs.alias("d"), staged(shared, "pipeline-shared").alias("s")
+        marked = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
+        known = marked.select("d.*", F.when(F.col("s.shared"), rest + F.pmod(own, rest)).otherwise(F.col("d.doc_id")).alias(row))
+    groups = parity_join.similar_groups(known.select(F.col(row).alias("doc_id"), "text"), 5, Fraction(4, 5))
+    first = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(row)).count()
+    stay = known.join(first.where("count = 1").select(row), row, "left_semi").select(docs.columns)
+    alike = known.join(first.where("count > 1").select(row), row, "left_semi")
+    order = F.struct(*[F.col(c) for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
+    one = alike.groupBy(row).agg(F.min_by(F.struct(*docs.columns), order).alias("r"))
+    return stay.unionByName(one.select("r.*"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of ten words of a benchmark item."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Drops documents that hold a window of ten words of a benchmark item, each row by its own text."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts [SECRET] in place of secrets; all documents stay."""
-    clean = secret_forest.scan(docs, secret_forest.train(docs))
-    return clean.withColumns({"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}).select(docs.columns)
+    forest, clean = secret_forest.train(docs), _unused(docs, "clean")
+    found = _beside(docs, lambda d: secret_forest.scan(d, forest), ["text", "source"], {clean: F.col("redacted")})
+    return found.withColumns({"text": F.col(clean), "n_chars": F.length(clean).cast("long")}).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the token ids, their number, and whether they decode to the text."""
+    """Adds the token ids, their number, and whether they decode to the text; an underscore follows a name that documents have already."""
     pieces = piece_codec.load()
-    coded = piece_codec.decode(piece_codec.encode(docs, pieces), pieces)
     same = F.col("decoded") == F.coalesce(F.replace("text", F.lit("▁"), F.lit(" ")), F.lit(""))
-    return coded.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": same}).drop("decoded")
+    added = {"ids": F.col("ids"), "n_tokens": F.size("ids").cast("long"), "round_trip": same}
+    return _beside(docs, lambda d: piece_codec.decode(piece_codec.encode(d, pieces), pieces), ["text"], {_unused(docs, k): v for k, v in added.items()})
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", leaks), ("secret scans", secrets), ("SentencePiece encoding and decoding", tokens)]
