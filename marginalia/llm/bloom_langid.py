@@ -102,7 +102,7 @@ def train(labelled: DataFrame, sample: int = 1000, cover: float = 0.99, ratio: f
 
     def count(it):
         totals: dict[str, pd.Series] = {}
-        for b in batches(it, 1 << 19):
+        for b in batches(it, 1 << 18):
             langs, texts = np.array(b.column(0).to_pylist()), b.column(1).to_pylist()
             h, owner, _ = grams_of(texts)
             for lang in np.unique(langs):
@@ -136,7 +136,7 @@ def identify(documents: DataFrame, filters: BloomFilters | None) -> DataFrame:
     place = names.index("text")
 
     def of(it):
-        for b in batches(it, 1 << 19):
+        for b in batches(it, 1 << 18):
             model, texts = shared.value, b.column(place).to_pylist()
             lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if model is not None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts: less memory on both sides
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # whole texts: less memory on both sides
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

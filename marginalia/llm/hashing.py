@@ -69,7 +69,7 @@ def words_in(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple
     return first, last, np.searchsorted(first, offsets)
 
 
-def batches(pieces, limit: int = 2 << 20):
+def batches(pieces, limit: int = 1 << 19):
     """Arrow record batches cut so that a slice has about limit bytes of its first string column, a longer row being alone."""
     for b in pieces:
         if not b.num_rows:
