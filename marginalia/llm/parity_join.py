@@ -22,7 +22,7 @@ from .common import discard, staged
 from .components import components
 from .hashing import batches, byte_batch, mix, prefix_sums, span_hashes, words_in
 
-SKETCH = 4  # longs of 64 bits
+SKETCH = 16  # longs of 64 bits: 1024 bits tell sets of up to about 2,400 shingles apart, the wide sketches larger ones
 BAND = 1.75  # about the fewest keys a document: a wider band has more blocks, a narrower one sends more documents to two
 SHARE = 20_000  # a block key with more than this part of all keys is dealt to several tasks; there can't be more such keys
 
@@ -72,20 +72,26 @@ def _bands(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     return band, n * t.denominator >= edges[band + 1] * t.numerator
 
 
-def _blocks(band: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Number of blocks of each band and how many of them are spare: at most blocks - spare - 1 differ in a linked pair."""
+def _blocks(band: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each band: the number of blocks, how many of them are spare, and how many more than one a linked pair shares at least.
+
+    A linked pair differs in at most blocks - spare - more - 1 of them. Bands where that is none have no blocks: their
+    links are between equal sets only.
+    """
     top = int(band.max()) + 1 if len(band) else 0
     edges = [1]
     while len(edges) <= top + 1:
         edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
     most = np.array([int((1 - t) / (1 + t) * 2 * (e - 1)) for e in edges[1:]])  # both sets have fewer than the band's upper edge
     lower = np.maximum(1, np.array([int(t * e) for e in edges[:-1]]))
-    spare = np.where(most == 0, 0, np.ceil(2 + 2 * (most + 1) * np.exp(-lower / (most + 1)))).astype(int)
-    return (most + 1 + spare)[band], spare[band]
+    more = np.where(most == 0, 0, most // 8 + 2)
+    base = most + 1 + more
+    spare = np.where(most == 0, 0, np.ceil(2 + 2 * base * np.exp(-lower / base))).astype(int)
+    return np.where(most == 0, 0, base + spare)[band], spare[band], more[band]
 
 
-def _emit(h: np.ndarray, begin: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of all texts and where each text's begin.
+def _emit(h: np.ndarray, begin: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join keys of all texts, where each text's begin, and how many of its keys may be left out: a linked pair shares more.
 
     An empty block says little and would join many documents, so there are spare blocks: a document with no more
     empty blocks than spare ones doesn't emit them (a linked pair shares more blocks than that, one of them filled);
@@ -95,7 +101,8 @@ def _emit(h: np.ndarray, begin: np.ndarray, t: Fraction) -> tuple[np.ndarray, np
     band, near = _bands(n, t)
     keys, owners = [], []
     for plus, rows in ((0, np.flatnonzero(n > 0)), (1, np.flatnonzero((n > 0) & near))):
-        m, spare = _blocks(band[rows] + plus, t)
+        m, spare, _ = _blocks(band[rows] + plus, t)
+        rows, m, spare = rows[m > 0], m[m > 0], spare[m > 0]
         at = np.concatenate(([0], np.cumsum(m)))
         take = np.concatenate([np.arange(begin[r], begin[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
         own = np.repeat(np.arange(len(rows)), n[rows])
@@ -110,7 +117,7 @@ def _emit(h: np.ndarray, begin: np.ndarray, t: Fraction) -> tuple[np.ndarray, np
         owners.append(rows[row[out]])
     keys, owners = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return keys[order], np.searchsorted(owners[order], np.arange(len(n) + 1))
+    return keys[order], np.searchsorted(owners[order], np.arange(len(n) + 1)), np.where(n > 0, _blocks(band, t)[2], 0)
 
 
 def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
@@ -125,7 +132,7 @@ def _parity(h: np.ndarray, own: np.ndarray, longs: np.ndarray) -> np.ndarray:
 
 
 def features(documents: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """doc_id, n, s1, s2 (identity of the set), sketch, keys for each document."""
+    """doc_id, n, s1, s2 (identity of the set), sketch, keys, spared (how many keys may be left out) for each document."""
 
     def of(it):
         for b in batches(it):
@@ -137,11 +144,11 @@ def features(documents: DataFrame, width: int, threshold: Fraction) -> DataFrame
             np.add.at(s1, own, mix(h))
             np.add.at(s2, own, mix(h ^ np.uint64(0x5555555555555555)))
             sketch = _parity(h, own, np.full(len(n), SKETCH))
-            keys, at = _emit(h, begin, threshold)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(sketch, np.arange(len(n) + 1) * SKETCH), _lists(keys, at)], ["doc_id", "n", "s1", "s2", "sketch", "keys"])
+            keys, at, spared = _emit(h, begin, threshold)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(sketch, np.arange(len(n) + 1) * SKETCH), _lists(keys, at), pa.array(spared.astype(np.int64))], ["doc_id", "n", "s1", "s2", "sketch", "keys", "spared"])
 
     long_, longs = T.LongType(), T.ArrayType(T.LongType())
-    made = [("n", long_), ("s1", long_), ("s2", long_), ("sketch", longs), ("keys", longs)]
+    made = [("n", long_), ("s1", long_), ("s2", long_), ("sketch", longs), ("keys", longs), ("spared", long_)]
     return documents.select("text", "doc_id").mapInArrow(of, T.StructType([documents.schema["doc_id"], *[T.StructField(*f) for f in made]]))
 
 
@@ -182,9 +189,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.where(F.col("common") * q >= (F.col("a_n") + F.col("b_n") - F.col("common")) * p).select("a", "b").distinct()
 
 
-def _shared_blocks(held: DataFrame) -> DataFrame:
-    """held(key, node) of the keys with more than one node, with lo, the least node of the key or, where a key is dealt to several tasks, of its part.
+def _shared_blocks(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """held(key, node) of the keys that decide: nodes(node, spared) leave out as many of their most frequent shared keys as they may.
 
+    Linked sets share more keys than either leaves out, and of those they share the rarest stays with both; sets with
+    no more shared keys than that link with nothing. So a passage in very many documents makes no pairs by itself.
     Keys that hold more than one SHARE-th of all rows, by a sixteenth of the nodes, are cut into parts by the node's
     hash, so that no task gets a hot block; which keys those are changes nothing but the load.
     """
@@ -193,7 +202,13 @@ def _shared_blocks(held: DataFrame) -> DataFrame:
     hot = some.groupBy("key").agg(F.count("*").alias("c")).where((F.col("c") * SHARE > total) & (F.col("c") > 64)).select("key", F.ceil(F.col("c") * SHARE / F.lit(max(1, total))).cast("int").alias("parts"))
     dealt = held.join(F.broadcast(hot), "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("parts")), F.lit(0)))
     own = Window.partitionBy("key", "part")
-    return dealt.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where((F.col("lo") < F.col("hi")) | F.col("parts").isNotNull()).select("key", "node", "lo").distinct()
+    shared = dealt.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where((F.col("lo") < F.col("hi")) | F.col("parts").isNotNull())
+    shared = staged(shared.select("key", "node").distinct(), "parity-shared")
+    sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("size")), "key").join(nodes, "node")
+    frequent = Window.partitionBy("node").orderBy(F.desc("size"), F.desc("key"))
+    left = staged(sized.withColumn("k", F.row_number().over(frequent)).where(F.col("k") > F.col("spared")).select("key", "node"), "parity-live")
+    discard(shared)
+    return left
 
 
 def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
@@ -214,17 +229,19 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     members = staged(keyed.select("doc_id", "n", "s1", "s2").join(nodes, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node")), "parity-members")
     first = keyed.join(nodes.select("n", "s1", "s2", F.col("node").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi")
     bits = [f"w{k}" for k in range(SKETCH)]
-    sketches = staged(first.select(F.col("doc_id").alias("node"), "n", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)]), "parity-sketches")
-    live = staged(_shared_blocks(first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))), "parity-live")
+    sketches = staged(first.select(F.col("doc_id").alias("node"), "n", "spared", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)]), "parity-sketches")
+    # rows that share a doc_id are one node: the least of what they spare holds for all
+    spared = sketches.groupBy("node").agg(F.min("spared").alias("spared"))
+    live = _shared_blocks(first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")), spared)
+    sketches = sketches.drop("spared")
     discard(keyed)
     p, q = t.numerator, t.denominator
     far = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in bits), F.lit(0))
     close = (F.least("a.n", "b.n") * q >= F.greatest("a.n", "b.n") * p) & (far * (q + p) <= (F.col("a.n") + F.col("b.n")) * (q - p))
-    # the first round: one pair for each set, and for the parts of hot keys one from each part's least set to the least of all
-    votes = live.where("node <> lo").groupBy("node", "lo").count().groupBy("node").agg(F.max_by("lo", F.struct("count", "lo")).alias("lo"))
-    parts = live.groupBy("key").agg(F.min("lo").alias("least"), F.max("lo").alias("last")).where("least < last")
-    heads = live.join(parts, "key").where("node = lo and lo > least").select("node", F.col("least").alias("lo")).distinct()
-    ends = votes.unionByName(heads).join(sketches.alias("b"), "node").join(sketches.withColumnRenamed("node", "lo").alias("a"), "lo")
+    # the first round: one pair for each set
+    least = live.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
+    votes = live.join(least, "key").where("node <> lo").groupBy("node", "lo").count().groupBy("node").agg(F.max_by("lo", F.struct("count", "lo")).alias("lo"))
+    ends = votes.join(sketches.alias("b"), "node").join(sketches.withColumnRenamed("node", "lo").alias("a"), "lo")
     pairs = ends.where(close).select(F.col("lo").alias("a"), F.col("node").alias("b"))
     links, groups, sized, done = None, None, None, 0
     while True:
