@@ -12,25 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import batches, byte_batch, mix, prefix_sums, span_hashes, words_in
+from .license_texts import TEMPLATES
 
 WIDTH = 5  # words in a shingle
 
-#: Short notices and the openings of public licence texts.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-]
-
 
 def _is_word() -> np.ndarray:
     ok = np.zeros(256, bool)
@@ -54,57 +39,93 @@ def _shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Templates:
     """Signatures of the templates by size, and the band settings of each size.
 
-    Windows of a size's length begin at every fourth of it, so one lies within an eighth of a template's place. At
-    containment 0.8 its Jaccard similarity with the template is then at least (0.8 - 1/8) / (1 + 1/8 + 0.2); with
-    bands of one row their number makes the chance of a miss less than miss.
+    A template of n shingles matches where a window of n shingles of a text holds the part least of its set. Windows that
+    begin at every fourth of n are looked up, so one lies within an eighth of n of the best: it shares at least
+    least - 1/8 of the template's shingles, a Jaccard similarity of (least - 1/8) / (1 + 1/8 + 1 - least) at least. Bands
+    have one row; there are so many that the chance that none is equal is below miss. Templates of up to five words are
+    one shingle: for these the look-up is exact. Windows end with their text.
     """
 
-    def __init__(self, templates=None, least: float = 0.8, miss: float = 1e-4):
+    def __init__(self, templates: list[tuple[str, str]] | None = None, least: float = 0.8, miss: float = 1e-4):
         templates = templates or TEMPLATES
         self.names, self.least = [n for n, _ in templates], least
         h, _, begin = _shingles(*byte_batch(pa.array([t for _, t in templates])))
         self.sets = [np.unique(h[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        self.length = np.diff(begin)
         self.sizes: dict[int, dict] = {}
-        for i, s in enumerate(self.sets):
-            n = int(begin[i + 1] - begin[i])
+        for i, n in enumerate(self.length.tolist()):
             if n:
                 self.sizes.setdefault(n, {"templates": []})["templates"].append(i)
         for n, entry in self.sizes.items():
             stride = max(1, n // 4)
             off = stride // 2
-            similar = (math.ceil(least * n) - off) / (n + off + n - math.ceil(least * n))
+            common = math.ceil(least * min(len(self.sets[i]) for i in entry["templates"])) - off
+            similar = common / (2 * n - common)
             bands = 1 if n == 1 else math.ceil(math.log(miss) / math.log(1 - max(0.05, min(similar, 0.999))))
             keys = [np.array([mix(self.sets[i] + np.uint64(1000003 * (k + 1))).min() for i in entry["templates"]]) for k in range(bands)]
             entry |= {"stride": stride, "bands": bands, "keys": keys}
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, float]]:
-        """(text, template, first word of the window, containment): the best window of each template in each text."""
+        """(text, template, first word of the window, containment): the best window of each template in each text, the first of equals."""
         h, owner, begin = _shingles(*byte_batch(texts))
         most = max((e["bands"] for e in self.sizes.values()), default=0)
-        seen: set[tuple[int, int, int]] = set()
+        end = begin[owner + 1] - np.arange(len(h)) if len(h) else np.zeros(0, np.int64)  # shingles left in the text
+        place = np.arange(len(h)) - begin[owner] if len(h) else end
+
+        def joined(low: np.ndarray, by: int) -> np.ndarray:
+            """Minima of low at each place and by places after it, where the text goes on as far."""
+            out, far = low.copy(), np.flatnonzero(end > by)
+            out[far] = np.minimum(low[far], low[far + by])
+            return out
+
+        seen: set[tuple[int, int]] = set()
         for k in range(most):
-            mixed = mix(h + np.uint64(1000003 * (k + 1)))
-            low, have = mixed, 1
+            low, have = mix(h + np.uint64(1000003 * (k + 1))), 1
             for n in sorted(self.sizes):
                 entry = self.sizes[n]
                 while have * 2 <= n:  # minima of have shingles from each place, doubled
-                    low = np.minimum(low, np.append(low[have:], np.full(min(have, len(low)), np.iinfo(np.uint64).max, np.uint64))[: len(low)])
+                    low = joined(low, have)
                     have *= 2
                 if k >= entry["bands"]:
                     continue
-                window = low if have == n else np.minimum(low, np.append(low[n - have :], np.full(min(n - have, len(low)), np.iinfo(np.uint64).max, np.uint64))[: len(low)])
+                begins = np.flatnonzero(place % entry["stride"] == 0)
+                window = low[begins]
+                if have < n:
+                    far = end[begins] > n - have
+                    window[far] = np.minimum(window[far], low[begins[far] + n - have])
                 for key, i in zip(entry["keys"][k], entry["templates"], strict=True):
-                    at = np.flatnonzero(window == key)
-                    at = at[((at - begin[owner[at]]) % entry["stride"] == 0) | (at == begin[owner[at]])]
-                    seen.update((int(owner[p]), i, int(p)) for p in at)
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for text, i, p in sorted(seen):
-            n = len(self.sets[i])
-            lo, hi = max(int(begin[text]), p - n), min(int(begin[text + 1]), p + 2 * n)
-            share = len(np.intersect1d(h[lo:hi], self.sets[i])) / n
-            if share >= self.least and share > best.get((text, i), (0, 0))[0]:
-                best[text, i] = (share, p - int(begin[text]))
-        return [(text, i, p, share) for (text, i), (share, p) in sorted(best.items())]
+                    seen.update((int(owner[p]), i) for p in begins[window == key])
+        out = []
+        for text, i in sorted(seen):
+            share, at = self._best(h[begin[text] : begin[text + 1]], i)
+            if share >= self.least:
+                out.append((text, i, at, share))
+        return out
+
+    def _best(self, own: np.ndarray, i: int) -> tuple[float, int]:
+        """The largest part of template i that a window of its length holds, and where the first such window's first hit is."""
+        places = np.flatnonzero(np.isin(own, self.sets[i]))
+        ids, n = own[places].tolist(), int(self.length[i])
+        inside: dict[int, int] = {}
+        best, at, lo = 0, 0, 0
+        for hi, (p, x) in enumerate(zip(places.tolist(), ids, strict=True)):
+            inside[x] = inside.get(x, 0) + 1
+            while places[lo] <= p - n:
+                inside[ids[lo]] -= 1
+                if not inside[ids[lo]]:
+                    del inside[ids[lo]]
+                lo += 1
+            if len(inside) > best:
+                best, at = len(inside), int(places[lo])
+        return best / len(self.sets[i]), at
+
+
+def read_templates(spark, path: str) -> list[tuple[str, str]]:
+    """(name, text) of the text files of a folder, such as a collection of whole licences: to be added to TEMPLATES. At most 1,000 files of 200,000 characters."""
+    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").limit(1001).collect()
+    if len(rows) > 1000 or any(len(r["value"]) > 200_000 for r in rows):
+        raise ValueError("too many or too large templates to broadcast")
+    return [(r["name"], r["value"]) for r in rows]
 
 
 @lru_cache(1)
@@ -115,7 +136,8 @@ def _templates() -> Templates:
 def scan(documents: DataFrame, templates: Templates | None = None) -> DataFrame:
     """documents with matches: an array of (license, template, word, containment), best window of each template, whole texts.
 
-    Null and empty texts have none. A column of that name is replaced. The templates, a short list, are broadcast.
+    Null and empty texts have none; repeated rows have the same; templates that match alike are all named. A column of
+    that name is replaced, others stay. The templates, a short list, are broadcast.
     """
     kept = documents.select(*[c for c in documents.columns if c != "matches"])
     names, shared = kept.columns, documents.sparkSession.sparkContext.broadcast(templates or _templates())

@@ -6,6 +6,7 @@ from fractions import Fraction
 
 from . import bloom_langid, decontam, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, secret_forest, string_kernel, suffix_dedup
 from .common import table
+from .license_texts import TEMPLATES
 
 QUERIES = {
     "op1_toxicity": lambda s, d: string_kernel.document_toxicity(table(s, d, "documents"), table(s, d, "labels")),
@@ -50,3 +51,14 @@ WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHE
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, (SELECT min(b) FROM reach WHERE a = vec_id) AS component_id, (SELECT min(b) FROM reach WHERE a = vec_id) = vec_id AS kept FROM embeddings"""
+
+_TEMPLATES = ", ".join(f"({k}, '{name}', '" + text.replace("'", "''") + "')" for k, (name, text) in enumerate(TEMPLATES))
+
+ORACLES["op5_license_scan"] = f"""
+WITH t AS (SELECT k, name, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(k, name, text)), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ts AS (SELECT k, name, greatest(1, len(w) - 4) AS n, array_to_string(w[i : i + 4], ' ') AS s FROM t, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i)), tn AS (SELECT k, name, n, count(DISTINCT s) AS size FROM ts GROUP BY ALL),
+ds AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i) WHERE len(w) > 0),
+hits AS (SELECT DISTINCT doc_id, k, i, s FROM ds JOIN (SELECT DISTINCT k, s FROM ts) USING (s)),
+wins AS (SELECT a.doc_id, a.k, a.i, count(DISTINCT b.s) AS c FROM hits a JOIN tn USING (k) JOIN hits b ON b.doc_id = a.doc_id AND b.k = a.k AND b.i >= a.i AND b.i < a.i + tn.n GROUP BY ALL),
+found AS (SELECT doc_id, name, max(c)::DOUBLE / any_value(size) AS share FROM wins JOIN tn USING (k) GROUP BY doc_id, k, name HAVING max(c)::DOUBLE / any_value(size) >= 0.8)
+SELECT d.doc_id, count(f.name) AS n_matches, coalesce(string_agg(DISTINCT f.name, ',' ORDER BY f.name), '') AS licenses, coalesce(max(share), 0) AS best FROM d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id"""

@@ -1,15 +1,22 @@
-"""Secret scans: candidate strings are found by shape, and a random forest removes the false positives."""
+"""Secret scans: candidate strings are found by shape, and a random forest removes the false positives.
+
+The forest sees a candidate's length and character kinds, how usual its letter transitions are, how much of it is
+dictionary words, the path and the words around it. Dictionary and transitions are counted over all documents. The
+labelled findings are made, since no table has any: secrets and look-alikes of known kinds are drawn and put into windows of
+a sample of the documents, so a label is known by construction and isn't derived from what the forest is given.
+"""
 
 from __future__ import annotations
 
-import hashlib
+import random
 import re
-from collections import Counter
-from collections.abc import Set
+import string
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,19 +24,42 @@ from pyspark.sql import types as T
 from .common import staged
 from .hashing import batches
 
+#: Words of credentials, words of examples, of identifiers that aren't secret, and the shapes of well-known keys.
+CREDENTIALS = r"secret|token|passw(?:or)?d|passphrase|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth|credential|bearer"
+CREDENTIAL = re.compile(rf"(?i)({CREDENTIALS})")
+EXAMPLE = re.compile(r"(?i)(example|sample|dummy|placeholder|changeme|your[_\-]|test|mock|fixture|spec)")
+IDENTIFIER = re.compile(r"(?i)(commit|checksum|sha-?\d*|md5|digest|uuid|revision|version|etag|build|hash|isbn|serial|order|ticket|phone|tel|card)")
+KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|AIza[0-9A-Za-z_\-]{35}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk-[A-Za-z0-9_\-]{20,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*|-----BEGIN [A-Z ]*PRIVATE KEY-----.*)$", re.S)
+#: Candidates: key blocks, values given to a credential's name, and runs of characters of keys.
+BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,10000}?-----END [A-Z ]{0,30}PRIVATE KEY-----")
+GIVEN = re.compile(rf"(?i)(?:{CREDENTIALS})[\w\-.]{{0,24}}[\"']?\s{{0,3}}(?::=|=>|[=:])\s{{0,3}}[\"'`]?([^\s\"'`<>;,]{{8,}})")
 SHAPE = re.compile(r"[A-Za-z0-9_\-+/=.@:~%$#]{8,}")
-NAME = re.compile(r"([A-Za-z][\w\-.]{0,40})[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}[\"'`]?$")
 INSIDE = re.compile(r"^([A-Za-z][\w\-.]{1,40}?)[=:](?=[^=/])")
-WORD = re.compile(r"[^\W\d_]{3,}")
-#: Words of credentials, words of examples, and the shapes of well-known keys.
-CREDENTIAL = re.compile(r"(?i)(secret|token|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth|credential|bearer)")
-EXAMPLE = re.compile(r"(?i)(example|sample|dummy|placeholder|changeme|your[_\-]|test|mock|fixture|spec)")
-KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|AIza[0-9A-Za-z_\-]{35}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk-[A-Za-z0-9_\-]{20,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*)$")
-#: Values without digits: their words, and what no word has.
-CHUNK = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-ROUGH = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{5}")
-HARMLESS = re.compile(r"^(?:\d[\d.\-:/]*|[^@\s]+@[^@\s]+\.\w+|https?:.*|[A-Za-z]+|(?:[A-Za-z]+[.\-_/:]+)+[A-Za-z]*|[=\-_.#~+*/:%$@]+)$")
-FEATURES = ("length", "digits", "uppers", "symbols", "switches", "distinct", "entropy", "hex", "covered", "named", "near", "example", "path", "literal", "rough")
+NAME = re.compile(r"([A-Za-z][\w\-.]{0,40})[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}[\"'`]?$")
+WORD, CHUNK = re.compile(r"[A-Za-z]{3,}"), re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Words of prose: lower-case letters between white space, a mark may follow.
+PROSE = r"(?<![^\s])([a-z]{3,24})(?=[.,;:!?]?(?:\s|$))"
+FEATURES = ("length", "digits", "uppers", "symbols", "switches", "distinct", "entropy", "hex", "digits only", "covered", "transitions", "vowels", "known", "named", "credential near", "identifier near", "example", "example path", "literal", "address", "call")
+LETTERS = {c: k for k, c in enumerate(string.ascii_lowercase)}
+
+
+@dataclass
+class Lexicon:
+    """Bits of the dictionary's words, and the logarithms of how often one letter follows another in them."""
+
+    bits: np.ndarray
+    logs: np.ndarray
+
+    def has(self, word: str) -> bool:
+        h = xxhash.xxh64_intdigest(word.encode(), 42)
+        n = len(self.bits) * 64 - 1
+        return all(int(self.bits[at >> 6]) >> (at & 63) & 1 for at in (h & n, h >> 32 & n))
+
+    def usual(self, value: str) -> float:
+        """Mean logarithm of the transitions between neighbouring letters; -3 where there are none."""
+        low = value.lower()
+        got = [self.logs[LETTERS[a], LETTERS[b]] for a, b in zip(low, low[1:], strict=False) if a in LETTERS and b in LETTERS]
+        return float(np.mean(got)) if got else -3.0
 
 
 @dataclass
@@ -38,77 +68,89 @@ class Finding:
     end: int
     value: str
     features: list[float]
-    label: int | None  # of the labelling rules: 1, 0 or not known
 
 
-def findings(text: str | None, path: str | None = None) -> list[Finding]:
-    """The candidates of a whole text with their features; offsets are in characters of the text."""
-    out, known = [], None
-    for m in SHAPE.finditer(text or ""):
+@dataclass
+class Model:
+    forest: Forest
+    lexicon: Lexicon
+
+
+def lexicon(documents: DataFrame, share: float = 1e-5) -> Lexicon:
+    """The words that stand in at least two documents and in the part share of all; at most (words a document) / share of them.
+
+    Its bits are put together in tasks, 16 for each word; the driver gets the bits and at most 26 x 26 counts.
+    """
+    total = documents.count()
+    each = documents.select(F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(PROSE)))).alias("w")).where("w is not null")
+    words = staged(each.groupBy("w").count().where(F.col("count") >= max(2, share * total)).select("w", F.xxhash64("w").alias("h")), "secret-words")
+    n = 1 << max(10, (16 * words.count()).bit_length())
+    places = words.select(F.explode(F.array(F.col("h").bitwiseAND(n - 1), F.shiftrightunsigned("h", 32).bitwiseAND(n - 1))).alias("at"))
+    bits = np.zeros(n // 64, np.uint64)
+    got = places.groupBy(F.shiftright("at", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v")).toPandas()
+    bits[got["k"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).view(np.uint64)
+    pairs = words.select(F.explode_outer(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("p")).groupBy("p").count().collect()
+    counts = np.ones((26, 26))
+    for p, c in pairs:
+        if p:
+            counts[LETTERS[p[0]], LETTERS[p[1]]] += c
+    return Lexicon(bits, np.log(counts / counts.sum(1, keepdims=True)))
+
+
+def findings(text: str | None, path: str | None, lex: Lexicon) -> list[Finding]:
+    """The candidates of a whole text with their features; offsets are in characters of the text.
+
+    Blocks and values given to a credential's name come first; a run of characters is one of its own where it meets
+    none of them, has a known shape, or 12 characters and a digit.
+    """
+    text, spans = text or "", []
+    for m in BLOCK.finditer(text):
+        spans.append((m.start(), m.end(), ""))
+    if CREDENTIAL.search(text):
+        for m in GIVEN.finditer(text):
+            value = m.group(1).rstrip(".:)]}")
+            if len(value) >= 8 and not any(s < m.end(1) and m.start(1) < e for s, e, _ in spans):
+                spans.append((m.start(1), m.start(1) + len(value), m.group(0)[: m.start(1) - m.start()]))
+    taken = sorted(spans)
+    at = 0
+    for m in SHAPE.finditer(text):
         start, value, name = m.start(), m.group(), ""
         if inner := INSIDE.match(value):
             name, start, value = inner[1], start + inner.end(), value[inner.end() :]
-        elif text[max(0, start - 5) : start].rstrip("\"'`").rstrip()[-1:] in (*"=:>", "") and (front := NAME.search(text[max(0, start - 50) : start])):
-            name = front[1]
         value = value.rstrip(".:=") if not re.search(r"[A-Za-z0-9]==?$", value) else value.rstrip(".:")
-        named = bool(CREDENTIAL.search(name))
-        if not (KNOWN.match(value) or len(value) >= 8 and named or len(value) >= 12 and any(c.isdigit() for c in value)):
+        if not (len(value) >= 12 and any(c.isdigit() for c in value) or KNOWN.match(value)):
             continue
-        if known is None:  # the dictionary: the words of the text
-            known = Counter(w.lower() for w in WORD.findall(text))
-        own = Counter(w.lower() for w in WORD.findall(value))
-        words = {w for w in {*own, *(c.lower() for c in CHUNK.findall(value))} if known[w] > own[w]} if named and not any(c.isdigit() for c in value) else known.keys()
-        around = text[max(0, start - 60) : start] + " " + text[start + len(value) : start + len(value) + 40]
-        literal = text[start - 1 : start] in ("=", '"', "'", "`") if start else False
-        out.append(Finding(start, start + len(value), value, _features(value, name, around, path or "", words, literal), _rule(value, name, around, words, literal)))
-    return out
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if at < len(taken) and taken[at][0] < start + len(value):
+            continue
+        if not name and (front := NAME.search(text[max(0, start - 50) : start])):
+            name = front[1]
+        spans.append((start, start + len(value), name))
+    return [Finding(s, e, text[s:e], _features(text, s, e, name, path or "", lex)) for s, e, name in sorted(spans)]
 
 
-def _features(value: str, name: str, around: str, path: str, known: Set[str], literal: bool) -> list[float]:
+def _features(text: str, start: int, end: int, name: str, path: str, lex: Lexicon) -> list[float]:
+    value = text[start:end]
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value]
     counts = np.unique(list(value), return_counts=True)[1] / n
-    covered = sum(len(w) for w in WORD.findall(value) if w.lower() in known)
+    chunks = [c for c in CHUNK.findall(value) if len(c) >= 3]
+    covered = sum(len(c) for c in chunks if lex.has(c.lower()))
+    letters = [c for c in value.lower() if c in LETTERS]
+    around = text[max(0, start - 60) : start] + " " + text[end : end + 40]
     return [
-        n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("s") / n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        len(counts) / n, float(-(counts * np.log2(counts)).sum()), float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))), covered / n,
-        float(bool(CREDENTIAL.search(name))), float(bool(CREDENTIAL.search(around))), float(bool(EXAMPLE.search(around) or EXAMPLE.search(value))), float(bool(EXAMPLE.search(path))),
-        float(literal), float(_rough(value)),
+        min(n, 200), kinds.count("d") / n, kinds.count("u") / n, kinds.count("s") / n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
+        len(counts) / n, float(-(counts * np.log2(counts)).sum()), float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))), float(bool(re.fullmatch(r"[\d.\-:/+]+", value))), covered / n,
+        lex.usual(value), sum(c in "aeiouy" for c in letters) / max(1, len(letters)), float(bool(KNOWN.match(value))), float(bool(CREDENTIAL.search(name))), float(bool(CREDENTIAL.search(around))), float(bool(IDENTIFIER.search(around))),
+        float(bool(EXAMPLE.search(around) or EXAMPLE.search(value))), float(bool(EXAMPLE.search(path))), float(start > 0 and text[start - 1] in "=\"'`"), float("@" in value or "//" in value or "/" in value[1:] and "." in value), float(text[end : end + 1] == "(" or value.endswith("(") or "()" in value),
     ]
 
 
-def _rough(value: str) -> bool:
-    """Letters that aren't words: five consonants in a row, or case that changes all the time."""
-    chunks = CHUNK.findall(value)
-    return bool(ROUGH.search(value)) or sum(map(len, chunks)) < 3 * len(chunks)
-
-
-def _rule(value: str, name: str, around: str, known: Set[str], literal: bool) -> int | None:
-    """The labelling rules: keys of known shapes and values given to a credential's name are secrets; numbers, addresses and words aren't.
-
-    Such a value is mixed and of 16 characters, or a literal (in quotes, or next to the equals sign) of 8; one without digits
-    isn't made of words that the text has elsewhere, and is a literal or rough.
-    """
-    if EXAMPLE.search(value):
-        return 0
-    if KNOWN.match(value):
-        return 1
-    named = bool(CREDENTIAL.search(name))
-    if named and not any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and "@" not in value and "://" not in value:
-        if all(w.lower() in known or CREDENTIAL.fullmatch(w) for w in CHUNK.findall(value) if len(w) > 2) and not _rough(value):
-            return 0
-        return 1 if literal or _rough(value) else 0
-    if HARMLESS.match(value):
-        return 0
-    if named and (len(value) >= 16 or literal):
-        return 1
-    return None
-
-
 class Forest:
     """Random forest of probability trees on bootstrap samples; a few features are tried at each split."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 7, seed: int = 11):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 10, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.trees = []
         for _ in range(trees):
@@ -152,58 +194,92 @@ class Forest:
         return total / len(self.trees)
 
 
-def train(documents: DataFrame, sample: int = 20_000) -> Forest | None:
-    """A forest from rule-labelled findings of documents(text, source): of each label at most sample / 2 distinct ones, those of the least hash; None with fewer than five of a label."""
-    each = sample // 2
+def drawn(label: int, rnd: random.Random, words: list[str]) -> tuple[str, str]:
+    """A labelled finding: a piece of text with {} for the value, and the value. words are some of the place it is put into.
 
-    def of(it):
-        least: dict[int, dict[int, list[float]]] = {0: {}, 1: {}}  # by label: hash to features
-        bound = {0: 1 << 63, 1: 1 << 63}
-        for b in batches(it):
-            for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f in findings(t, p):
-                    if f.label is None:
-                        continue
-                    h = int.from_bytes(hashlib.blake2b(repr((f.value, f.features)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
-                    own = least[f.label]
-                    if h < bound[f.label]:
-                        own[h] = f.features
-                        if len(own) >= 2 * each:
-                            least[f.label] = dict(sorted(own.items())[:each])
-                            bound[f.label] = max(least[f.label])
-        for y, own in least.items():
-            for k in range(0, min(each, len(own)), 2000):
-                part = sorted(own.items())[:each][k : k + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in part], pa.int64()), pa.array([x for _, x in part], pa.list_(pa.float64())), pa.array([y] * len(part), pa.int32())], ["h", "x", "y"])
-
-    rows = staged(documents.select("text", F.col("source").cast("string")).mapInArrow(of, "h long, x array<double>, y int"), "findings")
-    got = [rows.where(F.col("y") == y).groupBy("h").agg(F.min("x").alias("x")).orderBy("h").limit(each).toPandas() for y in (0, 1)]
-    if min(map(len, got)) < 5:
-        return None
-    return Forest(np.stack([*got[0]["x"], *got[1]["x"]]), np.repeat((0, 1), [len(g) for g in got]))
-
-
-def judged(found: list[Finding], forest: Forest | None) -> np.ndarray:
-    """Probability of each finding; without a forest the rules' label, 0 where there is none."""
-    if forest is None or not found:
-        return np.array([float(f.label or 0) for f in found])
-    return forest.probability(np.array([f.features for f in found]))
-
-
-def scan(documents: DataFrame, forest: Forest | None, least: float = 0.5) -> DataFrame:
+    Secrets are random strings of the usual alphabets and lengths, mostly given to a name, and pass phrases that
+    people make; look-alikes are check sums, identifiers, numbers, addresses, paths, code and words, some of them given to the
+    names of credentials, and placeholders.
+    """
+    some = lambda chars, *sizes: "".join(rnd.choice(chars) for _ in range(rnd.choice(sizes)))
+    alnum, hexa, lower, upper = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_lowercase, string.ascii_uppercase
+    name = rnd.choice(["token", "secret", "password", "passwd", "pwd", "api_key", "apiKey", "API-KEY", "access_key", "private_key", "auth_token", "client_secret", "db_password", "SECRET_KEY", "Bearer", "credentials"])
+    plain = rnd.choice(["id", "name", "value", "key", "ref", "url", "file", "label", "n", "data", "path", "state"])
+    given = rnd.choice(['%s = "{}"', "%s = '{}'", "%s={}", '%s: "{}"', '"%s": "{}"', "%s: {}", "%s := `{}`", "export %s={}"])
+    word = lambda: rnd.choice(words) if words else some(lower, 4, 6, 8)
+    if label:
+        value = rnd.choice([
+            lambda: some(hexa, 18, 24, 32, 40, 64), lambda: some(alnum, 12, 16, 20, 24, 32, 40), lambda: some(alnum + "+/", 40, 44) + rnd.choice(["", "="]), lambda: some(lower, 12, 16, 20), lambda: some(string.ascii_letters, 12, 16, 24), lambda: some(lower + string.digits, 10, 16, 24),
+            lambda: some(lower, 3, 4) + some(string.digits, 1, 2) + some(string.ascii_letters, 3, 4) + some(string.digits + "!*&", 1, 2), lambda: some(lower, 8, 9, 10), lambda: some(alnum + "!#$%&*?", 10, 14, 18), lambda: word().capitalize() + some(string.digits + "!*", 4, 5) + some(lower, 2, 3),
+        ])()
+        known = rnd.choice([lambda: "AKIA" + some(upper + string.digits, 16), lambda: "ASIA" + some(upper, 16), lambda: "ghp_" + some(alnum, 36), lambda: "AIza" + some(alnum + "_-", 35), lambda: "xoxb-" + some(alnum, 24), lambda: "sk-" + some(alnum, 32, 48), lambda: f"eyJ{some(alnum, 20)}.{some(alnum, 40)}.{some(alnum + '_-', 43)}"])()
+        block = f"-----BEGIN RSA PRIVATE KEY-----\n{some(alnum + '+/', 64, 200)}\n-----END RSA PRIVATE KEY-----"
+        return rnd.choice([(given % name, value)] * 7 + [(rnd.choice(["{}", "key {} here", f"{plain}={{}}", "use {} for it"]), known)] * 3 + [("{}", block)])
+    say = lambda: rnd.choice(["string", "required", "none", "optional", "undefined"]) + rnd.choice(["", "", " value"])
+    code = lambda: rnd.choice(["get", "read", "make", "load"]) + word().capitalize() + rnd.choice(["()", "(request)", "Value()", ""])
+    return rnd.choice([
+        lambda: (rnd.choice(["commit {}", "checksum: {}", "sha1={}", "md5 {}", "revision {}", "etag: \"{}\"", "build {}"]), some(hexa, 32, 40, 40, 64)), lambda: (rnd.choice(["id={}", "uuid: {}", "{}", f'{plain} = "{{}}"']), str(uuid.UUID(int=rnd.getrandbits(128)))),
+        lambda: (rnd.choice(["{}", "tel {}", "at {}", f"{plain}={{}}", "card {} ok"]), rnd.choice(["20%02d-%02d-%02dT%02d:00:00" % tuple(rnd.randrange(10, 28) for _ in range(4)), some(string.digits, 12, 13, 16), "+" + some(string.digits, 12), ".".join(some(string.digits, 1, 2, 3) for _ in range(5)), some(string.digits, 4) + "-" + some(string.digits, 4) + "-" + some(string.digits, 4)])),
+        lambda: (rnd.choice(["{}", "see {}", 'href="{}"', f"{plain}: {{}}"]), rnd.choice([f"https://{word()}.example.org/{word()}/{some(string.digits, 3, 4)}", f"{word()}.{word()}{some(string.digits, 1, 2)}@{word()}.org", f"/usr/lib/{word()}-{some(string.digits, 1)}.{some(string.digits, 1)}/{word()}.so", f"{word()}-{some(string.digits, 1)}.{some(string.digits, 1, 2)}.{some(string.digits, 1)}.tar.gz"])),
+        lambda: (rnd.choice(["{}", f"{plain} = {{}}"]), f"{word()}_{word()}_{some(string.digits, 1, 2, 4)}"), lambda: (rnd.choice([f"{name}: {{}}", f"{name} : {{}}", f"the {name}: {{}} of it"]), rnd.choice([word() + word()[:3], say().replace(" ", ""), "required", "as" + word()])),
+        lambda: (f"{name} = {{}}", code()), lambda: (given % name, rnd.choice(["YOUR_API_KEY", "your-token-here", "changeme123", "xxxxxxxxxxxx", "<placeholder1>", "example-secret-1", "dummy_password1", "${SECRET_NAME}", "********", "test-token-0001"])),
+        lambda: (f'{rnd.choice(["token_count", "tokenizer", "secretary", "authors", "author_email", "password_hint"])} = "{{}}"', rnd.choice([some(string.digits, 8, 12), word() + "-" + word() + "-" + word(), word() + " " + word()])),
+    ])()
+
+
+def labelled(windows: list[tuple[str, str | None]], lex: Lexicon, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of drawn findings, one of each label in each window (text, path) of the documents."""
+    rnd, x, y = random.Random(seed), [], []
+    for text, path in windows:
+        words = [w for w in WORD.findall(text) if w.islower()]
+        for label in (1, 0):
+            frame, value = drawn(label, rnd, words)
+            cut = rnd.randrange(len(text) + 1)
+            front = text[:cut] + rnd.choice([" ", "\n", "\n    "]) + frame[: frame.index("{}")]
+            where = rnd.choice([path] * 6 + ["src/config.py", ".env", "docs/guide.md"] + ["tests/fixtures/keys.txt"] * (1 if label else 3))
+            whole = front + value + frame[frame.index("{}") + 2 :] + rnd.choice([" ", "\n"]) + text[cut:]
+            got = [f for f in findings(whole, where, lex) if f.start < len(front) + len(value) and f.end > len(front)]
+            for f in got[:1]:
+                x.append(f.features)
+                y.append(label)
+    return np.array(x), np.array(y)
+
+
+def train(documents: DataFrame, sample: int = 3000, window: int = 400) -> Model:
+    """The lexicon of all documents(text, source), and a forest taught by findings put into windows of at most sample of them, chosen by hash.
+
+    The windows, of at most so many characters, are all that the driver gets of texts. Without documents the findings stand alone.
+    """
+    lex, total = lexicon(documents), documents.count()
+    h = F.xxhash64("text", F.lit("window"))
+    near = documents.where(F.col("text").isNotNull()).withColumn("_h", h).where(F.pmod("_h", F.lit(1 << 30)) <= int(min(1, (4 * sample + 100) / max(1, total)) * (1 << 30)))
+    at = F.pmod("_h", F.greatest(F.lit(1), F.length("text") - window)).cast("int") + 1
+    some = near.select("_h", F.substring(F.col("text"), at, F.lit(window)).alias("t"), F.col("source").cast("string").alias("s")).orderBy("_h", "t", "s").limit(sample).collect()
+    windows = [(r["t"], r["s"]) for r in some]
+    windows += [("", None)] * max(0, min(sample, 1000) - len(windows))
+    return Model(Forest(*labelled(windows, lex)), lex)
+
+
+def judged(found: list[Finding], model: Model) -> np.ndarray:
+    """Probability that each finding is a secret."""
+    return model.forest.probability(np.array([f.features for f in found])) if found else np.zeros(0)
+
+
+def scan(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """documents with columns text and source, plus n_candidates, secrets (start, end, score of those kept) and redacted: the text with each secret as [SECRET].
 
-    Columns of those names are replaced. Null text: no candidates, null redacted.
+    Columns of those names are replaced. Null and empty texts have no candidates, null stays null; repeated rows are
+    judged alike; a tie with least is a secret; other columns, nulls in them too, stay.
     """
     added = [T.StructField("n_candidates", T.LongType()), T.StructField("secrets", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))), T.StructField("redacted", T.StringType())]
     kept = documents.select(*[c for c in documents.columns if c not in [f.name for f in added]])
-    names, shared = kept.columns, documents.sparkSession.sparkContext.broadcast(forest)
+    names, shared = kept.columns, documents.sparkSession.sparkContext.broadcast(model)
     text_at, path_at = names.index("text"), names.index("source")
 
     def of(it):
         for b in batches(it):
             texts, paths = b.column(text_at).to_pylist(), b.column(path_at).to_pylist()
-            each = [findings(t, None if p is None else str(p)) for t, p in zip(texts, paths, strict=True)]
+            each = [findings(t, None if p is None else str(p), shared.value.lexicon) for t, p in zip(texts, paths, strict=True)]
             score = judged([f for fs in each for f in fs], shared.value)
             counts, spans, clean, at = [], [], [], 0
             for t, fs in zip(texts, each, strict=True):
@@ -220,7 +296,10 @@ def scan(documents: DataFrame, forest: Forest | None, least: float = 0.5) -> Dat
 
 
 def document_secrets(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_candidates, n_secrets, max_score (0 without secrets), spans_sha256 of the secrets' start-end pairs."""
+    """Per document: doc_id, n_candidates, n_secrets, max_score (0 without secrets), spans_sha256 of the secrets' start-end pairs.
+
+    Null and empty texts have no candidates; each row is judged by itself, repeated ones and those without a doc_id too.
+    """
     found = scan(documents.select("doc_id", "text", "source"), train(documents))
     spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.coalesce(F.array_max(F.transform("secrets", lambda s: s["score"])), F.lit(0.0)).alias("max_score"), F.sha2(spans.cast("binary"), 256).alias("spans_sha256"))
