@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -16,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset, in local mode only, a temporary one (tests)."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -40,38 +41,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of what has been staged and isn't referenced any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32(doc_id as text) mod 3 is 1; such rows never teach a model. A null id is held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
-def hash_sample(df: DataFrame, by: str, hashed: str, n: int) -> DataFrame:
-    """At most n rows (n <= 1000 keeps Spark's early group limit) of each value of by, those with the least hash of column hashed.
-
-    Counts of the values come first, so that only about four times as many rows as are wanted are shuffled; at most
-    64 values, the most frequent ones, are sampled.
-    """
-    sizes = df.groupBy(by).count().where(F.col(by).isNotNull()).orderBy(F.desc("count"), by).limit(64).collect()
-    if not sizes:
-        return df.limit(0)
-    h = F.xxhash64(hashed, F.lit("sample"))
-    share = F.pmod(h, F.lit(1 << 30)) / F.lit(1 << 30)
-    near = None
-    for value, count in sizes:
-        ok = (F.col(by) == value) & (share <= min(1.0, (4 * n + 100) / count))
-        near = ok if near is None else near | ok
-    order = Window.partitionBy(by).orderBy("_h")
-    return df.where(near).withColumn("_h", h).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_h", "_k")
-
-
 def distinct_sample(df: DataFrame, by: str, hashed: str, n: int) -> DataFrame:
-    """(by, hashed) for at most n distinct values (n <= 1000 as in hash_sample) of column hashed in each value of by, those with the least hash.
+    """(by, hashed) for at most n distinct values (n <= 1000 keeps Spark's early group limit) of column hashed in each value of by, those with the least hash.
 
     Only hashes are shuffled for the choice; the values that are broadcast are one row for each value of by.
     """

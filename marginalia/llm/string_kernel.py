@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, held_out
+from .common import held_out
 from .hashing import batches, mix, prefix_sums, span_hashes
 
 DECAY, SPAN = 0.35, 6
@@ -91,12 +91,6 @@ def unique_words(code: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nd
     return code[np.repeat(begin[index] - to[:-1], n) + np.arange(to[-1])], to, inverse
 
 
-def _size(n: np.ndarray) -> np.ndarray:
-    """A word's norm by its length with marks, at most 16: that of a word whose subsequences all differ."""
-    table = np.array([max(1e-9, sum(DECAY ** (2 * (b - 2)) * max(0, k - b) for _, b in GAPS)) for k in range(17)])
-    return np.sqrt(table[np.minimum(n, 16)])
-
-
 def subsequences(code: np.ndarray, begin: np.ndarray):
     """For each gap pattern: number of the word, key of the three characters, weight."""
     word = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
@@ -107,6 +101,23 @@ def subsequences(code: np.ndarray, begin: np.ndarray):
             yield word[at], c[at] << 12 | c[at + a] << 6 | c[at + b], DECAY ** (b - 2)
 
 
+def norms(code: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The root of each word's kernel value with itself: a subsequence that it has several times counts with the sum of its weights."""
+    out = np.zeros(len(begin) - 1)
+    for lo in range(0, len(out), 10_000):
+        hi = min(lo + 10_000, len(out))
+        parts = list(subsequences(code[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo]))
+        if parts:
+            at = np.concatenate([word.astype(np.int64) << 18 | key for word, key, _ in parts])
+            weight = np.repeat([w for *_, w in parts], [len(word) for word, *_ in parts])
+            order = np.argsort(at)
+            at, weight = at[order], weight[order]
+            heads = np.flatnonzero(np.diff(at, prepend=-1))
+            if len(heads):
+                out[lo:hi] = np.bincount(at[heads] >> 18, np.add.reduceat(weight, heads) ** 2, hi - lo)
+    return np.sqrt(np.maximum(out, 1e-9))
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # of each subsequence of three, from the landmarks
@@ -120,7 +131,7 @@ class Model:
             hi = min(lo + 50_000, len(total))
             for word, key, w in subsequences(code[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo]):
                 total[lo:hi] += np.bincount(word, self.weight[key] * w, hi - lo)
-        return total / _size(np.diff(begin)) + self.bias
+        return total / norms(code, begin) + self.bias
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
@@ -139,7 +150,7 @@ def _kernel(code, begin, columns: np.ndarray, basis: np.ndarray) -> np.ndarray:
             if len(word):
                 heads = np.flatnonzero(np.diff(word, prepend=-1))
                 out[lo + word[heads]] += np.add.reduceat(by_key[at] * np.float32(w), heads)
-    return out / _size(np.diff(begin)).astype(np.float32)[:, None]
+    return out / norms(code, begin).astype(np.float32)[:, None]
 
 
 def _pick(code, begin, rows):
@@ -182,12 +193,16 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0) -> t
 
 
 def fit(texts: list[str | None], toxic: np.ndarray, landmarks: int = 500, negatives: int = 6000, rounds: int = 6) -> Model | None:
-    """A model of labelled texts, or None where one of the labels is missing."""
+    """A model of labelled texts, or None where one of the labels is missing.
+
+    The sample that is fitted is bounded: at most negatives words of toxic texts, those of most texts, and as many of
+    clean ones, half drawn at random, the others those that the model before found worst.
+    """
     toxic = np.asarray(toxic, bool)
     if toxic.all() or not toxic.any():
         return None
     check = np.arange(len(toxic)) % 4 == 3  # these set the border between the scores, the others the model
-    if len(toxic) < 40 or not toxic[~check].any() or not toxic[check].any():
+    if not all(part.any() and not part.all() for part in (toxic[check], toxic[~check])):
         check = np.zeros(len(toxic), bool)
     parts, sizes, pairs, words = [], [], [], 0
     for lo in range(0, len(texts), 200):  # distinct words of a few texts at a time
@@ -240,7 +255,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, landmarks: int = 500, negati
         basis = np.zeros((len(marks), len(keys)), np.float32)
         for wd, key, w in subsequences(lc, lb):
             np.add.at(basis, (wd, np.searchsorted(keys, key)), w)
-        basis /= _size(np.diff(lb))[:, None]
+        basis /= norms(lc, lb)[:, None]
         value, vector = np.linalg.eigh(_kernel(lc, lb, keys, basis))
         white = vector[:, value > 1e-3] / np.sqrt(value[value > 1e-3])
         rows = np.concatenate((pos, neg))
@@ -278,7 +293,7 @@ def score_texts(df: DataFrame, model: Model | None) -> DataFrame:
 
     def of(it):
         m = shared.value
-        for b in batches(it, 1 << 20):
+        for b in batches(it):
             out = np.zeros(b.num_rows)
             if m is not None:
                 raw, at, owner = fold(b.column(place).to_pylist())
@@ -292,18 +307,43 @@ def score_texts(df: DataFrame, model: Model | None) -> DataFrame:
     return kept.mapInArrow(of, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def train(documents: DataFrame, labels: DataFrame, per_label: int = 1000) -> Model | None:
-    """A model from at most per_label labelled rows of each kind, chosen by hash of the id, held-out ids never.
+def train(documents: DataFrame, labels: DataFrame, per_label: int = 1000, most_bytes: int = 64 << 20) -> Model | None:
+    """A model from at most per_label labelled rows of each kind, and at most most_bytes of texts, chosen by hash of the id, held-out ids never.
 
-    A document with several labels is toxic if one is; null labels and ids and null texts don't count.
+    A document with several labels is toxic if one is; null labels and ids and null texts don't count; repeated rows
+    count once.
     """
-    known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = hash_sample(known, "toxic", "doc_id", per_label).select("doc_id", "toxic")
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").orderBy("doc_id").select("text", "toxic").toPandas()
-    return fit(list(rows["text"]), rows["toxic"].to_numpy() == 1) if len(rows) else None
+    known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    h = F.xxhash64("doc_id", F.lit("sample"))
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    near = F.pmod(h, F.lit(1 << 30)) <= F.when(F.col("toxic") == 1, _place(per_label, sizes.get(1, 0))).otherwise(_place(per_label, sizes.get(0, 0)))
+    some = [known.where(near & (F.col("toxic") == y)).orderBy(h, "doc_id").limit(per_label) for y in (0, 1)]
+    texts = documents.select("doc_id", "text").where("text is not null")
+    ids = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    # the driver sees lengths first, at most two rows a label for each that it asked for
+    lengths = ids.groupBy("doc_id", "toxic").agg(F.min(F.octet_length("text")).alias("n")).withColumn("_h", h).orderBy("_h", "doc_id").collect()
+    chosen, used = [], 0
+    for r in lengths:
+        if used + r["n"] <= most_bytes:
+            chosen.append((r["doc_id"], r["toxic"]))
+            used += r["n"]
+    if not chosen:
+        return None
+    wanted = documents.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
+    rows = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.octet_length("text"), "text")).alias("text")).orderBy("doc_id").select("text", "toxic").toPandas()
+    return fit(list(rows["text"]), rows["toxic"].to_numpy() == 1)
+
+
+def _place(n: int, rows: int) -> int:
+    """A bound of hashes below 2**30 that about four times n of so many rows stay under."""
+    return int(min(1, (4 * n + 100) / max(1, rows)) * (1 << 30))
 
 
 def document_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted (1 from 0.7)."""
+    """Per document: doc_id, held_out, score, predicted (1 from 0.7).
+
+    Null, empty and wordless texts have score 0; each row is scored by its own text, repeated ones alike; rows without a
+    doc_id are held out; without labels of both kinds all scores are 0. A score of 0.7 itself is predicted.
+    """
     scored = score_texts(documents.select("doc_id", held_out().alias("held_out"), "text"), train(documents, labels))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
