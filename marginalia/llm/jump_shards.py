@@ -35,16 +35,21 @@ def assign_shards(df: DataFrame, key: str, shards: int = 16, buckets: int = 1024
     """df with shard, slot (gapless from 0 in each shard) and grown_shard (the shard if one more is appended).
 
     Slots are dealt in two steps so that no task holds a shard: rows are numbered within (shard, hash bucket of the
-    key), and the buckets' first slots come from a table of at most shards * buckets counts, which is broadcast.
-    Repeated rows get slots of their own. Columns of df named like the added ones are replaced.
+    row), and the buckets' first slots come from a table of at most shards * buckets counts, which is broadcast.
+    Repeated rows get slots of their own. Columns of df named like the three added ones are replaced, others stay; a
+    null key has a shard of its own choice like any other.
     """
+    df = df.select(*[c for c in df.columns if c not in ("shard", "slot", "grown_shard")])
+    free = lambda name: name if name not in df.columns else free(name + "_")
+    bucket, own_, first_ = free("_bucket"), free("_own"), free("_first")
     order = [F.col(c) for c, kind in df.dtypes if c != key and not kind.startswith(("map", "variant"))]
-    placed = df.withColumns({"shard": shard_of(F.col(key), shards), "grown_shard": shard_of(F.col(key), shards + 1), "_bucket": F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(buckets)).cast("int")})
-    counts = df.select(shard_of(F.col(key), shards).alias("shard"), F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(buckets)).cast("int").alias("_bucket")).groupBy("shard", "_bucket").count()
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    own = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(F.col(key), *order)) - 1
-    return placed.withColumn("_own", own).join(F.broadcast(first), ["shard", "_bucket"]).withColumn("slot", (F.col("_first") + F.col("_own")).cast("long")).drop("_bucket", "_first", "_own")
+    at = F.pmod(F.xxhash64(F.col(key), *order, F.lit("slot")), F.lit(buckets)).cast("int")
+    placed = df.withColumns({"shard": shard_of(F.col(key), shards), "grown_shard": shard_of(F.col(key), shards + 1), bucket: at})
+    counts = df.select(shard_of(F.col(key), shards).alias("shard"), at.alias(bucket)).groupBy("shard", bucket).count()
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("shard", bucket, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(first_))
+    own = F.row_number().over(Window.partitionBy("shard", bucket).orderBy(F.col(key), *order)) - 1
+    return placed.withColumn(own_, own).join(F.broadcast(first), ["shard", bucket]).withColumn("slot", (F.col(first_) + F.col(own_)).cast("long")).drop(bucket, first_, own_)
 
 
 def document_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
