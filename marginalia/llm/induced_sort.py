@@ -14,9 +14,15 @@ import tempfile
 
 import numpy as np
 
+NONE = np.zeros((2, 0), np.int32)
+
 
 class Queues:
-    """A first-in first-out queue of (position, value) columns for each symbol; over budget entries in memory, all are written to a file."""
+    """A first-in first-out queue of (position, value) columns, 32 bits each, for each symbol.
+
+    Over budget entries in memory, all are written to a file without a name in the worker's own scratch folder: like
+    Spark's shuffle spill it is gone with the task, and a task that runs again elsewhere writes its own.
+    """
 
     def __init__(self, symbols: int, budget: int):
         self.parts: list[list] = [[] for _ in range(symbols)]
@@ -48,9 +54,9 @@ class Queues:
                 out.append(p)
             else:
                 self.file.seek(p[0])
-                out.append(np.frombuffer(self.file.read(p[1] * 16), np.int64).reshape(2, -1))
+                out.append(np.frombuffer(self.file.read(p[1] * 8), np.int32).reshape(2, -1))
         self.parts[symbol] = []
-        return np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        return np.concatenate(out, 1) if out else NONE
 
     def close(self) -> None:
         if self.file:
@@ -61,7 +67,7 @@ class Carried:
     """The least common-prefix value met since each symbol's last entry."""
 
     def __init__(self, symbols: int, depth: int):
-        self.since, self.begun, self.depth = np.full(symbols, depth), np.zeros(symbols, bool), depth
+        self.since, self.begun, self.depth = np.full(symbols, depth, np.int32), np.zeros(symbols, bool), np.int32(depth)
 
     def entries(self, values: np.ndarray, symbol: np.ndarray, index: np.ndarray, position: np.ndarray):
         """(symbol, its new entries) induced by a scanned block with these values, from its places index."""
@@ -120,7 +126,8 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int, b
     cut = np.searchsorted(t[seeds], np.arange(symbols + 1))
     packed = _packed(t)
     one = lambda a, b: _shared(packed, np.array([a]), np.array([b]), depth)[0]
-    common = np.concatenate(([0], _shared(packed, seeds[:-1], seeds[1:], depth)))
+    common = np.concatenate(([0], _shared(packed, seeds[:-1], seeds[1:], depth))).astype(np.int32)
+    seeds = seeds.astype(np.int32)
     rising, large, carried = Queues(symbols, budget), Queues(symbols, budget), Carried(symbols, depth)
     for c in range(symbols):
         now, last = rising.pop(c), None
@@ -130,7 +137,7 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int, b
             at = np.flatnonzero(now[0] > 0)
             front = now[0, at] - 1
             ok = t[front] >= c
-            again = np.zeros((2, 0), np.int64)
+            again = NONE
             for symbol, entries in carried.entries(now[1], t[front[ok]], at[ok], front[ok]):
                 if symbol == c:
                     again = entries
@@ -154,20 +161,20 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int, b
             at = np.flatnonzero(now[0] > 0)
             front = now[0, at] - 1
             ok = small[front] & (t[front] <= c)
-            again = np.zeros((2, 0), np.int64)
+            again = NONE
             for symbol, entries in carried.entries(now[1], t[front[ok]], at[ok], front[ok]):
                 if symbol == c:
                     again = entries
                 else:
                     falling.push(symbol, entries)
             now = again
-        first, down = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64), large.pop(c)
+        first, down = np.concatenate(out, 1) if out else NONE, large.pop(c)
         seam = one(first[0, -1], down[0, -1]) if first.shape[1] and down.shape[1] else 0
         blocks.push(2 * c, down)
         if first.shape[1]:
-            blocks.push(2 * c + 1, np.stack((first[0, ::-1], np.concatenate(([seam], first[1, :0:-1])))))
+            blocks.push(2 * c + 1, np.stack((first[0, ::-1], np.concatenate((np.array([seam], np.int32), first[1, :0:-1])))))
         if down.shape[1]:
-            back = np.stack((down[0, ::-1], np.concatenate(([seam], down[1, :0:-1]))))
+            back = np.stack((down[0, ::-1], np.concatenate((np.array([seam], np.int32), down[1, :0:-1]))))
             at = np.flatnonzero(back[0] > 0)
             front = back[0, at] - 1
             ok = t[front] < c
@@ -182,7 +189,7 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int, b
     blocks.close()
 
 
-def suffix_blocks(text: np.ndarray, depth: int, budget: int = 1 << 22):
+def suffix_blocks(text: np.ndarray, depth: int, budget: int = 1 << 18):
     """Blocks of (position, value) of text (symbols 0..256) in the order of their next depth symbols at least.
 
     value is the length, at most depth, of the prefix that a suffix shares with the one in front. The text is followed

@@ -43,6 +43,8 @@ def load(path: str = MODEL) -> Pieces:
     n = m.vocab_size()
     usable = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
     text = [m.id_to_piece(i).replace("▁", " ") for i in usable]
+    if any(len(t) > 31 for t in text):
+        raise ValueError("a piece has more than 31 characters: keys of edges are place * 32 + length")
     score = np.array([m.get_score(i) for i in usable])
     rank = np.unique(-score, return_inverse=True)[1].astype(np.int32)
     byte = np.full(256, -1, np.int32)
@@ -275,7 +277,7 @@ def encode(df: DataFrame, pieces: Pieces, text: str = "text", to: str = "ids") -
 
     def of(it):
         enc = Encoder(shared.value)
-        for b in batches(it, 1 << 20):
+        for b in batches(it):
             tokens, begin = enc.encode(b.column(place))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(tokens))], [*names, to])
 
