@@ -22,8 +22,8 @@ def ascii_fold(c: Column) -> Column:
 
 
 def sanitise(c: Column) -> Column:
-    """Without control characters (line feed and tab stay) and soft hyphens."""
-    return F.regexp_replace(c, "[\\x00-\\x08\\x0B-\\x1F\\x7F­]", "")
+    """Without control characters (line feed, carriage return and tab stay) and soft hyphens."""
+    return F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F­]", "")
 
 
 def key_text(c: Column) -> Column:
@@ -51,7 +51,7 @@ def layer(line: Column) -> Column:
     """blank, noise, handwritten or printed, by the shape of a line without white space at its ends."""
     t = F.regexp_replace(line, r"^\s+|\s+$", "")
     n = F.length(t)
-    noise = ((n <= 2) & t.rlike("^[A-Za-z0-9]$")) | t.rlike(r"^[A-Za-z]{1,3}\.{2,}") | ((n < 50) & (count_of(t, "[A-Za-z0-9]") / F.greatest(n, F.lit(1)) < 0.35) & t.rlike(r"[^\sA-Za-z0-9.,;=+\-()\[\]{}]"))
+    noise = t.rlike(r"(?i)\bfii+i+n\.?to\b|\bDopulation\b") | ((n <= 2) & t.rlike("^[A-Za-z0-9]$")) | t.rlike(r"^[A-Za-z]{1,3}\.{2,}") | ((n < 50) & (count_of(t, "[A-Za-z0-9]") / F.greatest(n, F.lit(1)) < 0.35) & t.rlike(r"[^\sA-Za-z0-9.,;=+\-()\[\]{}]"))
     chaos = (count_of(t, "[0-9]") >= 4) & (count_of(t, "[A-Za-z]") >= 4) & t.rlike("[0-9][A-Za-z][0-9]") & (n < 90)
     hand = (n >= 6) & (n <= 140) & (t.rlike("[!?.]{3,}") | (count_of(t, "[a-z][A-Z]") >= 3) | chaos | t.rlike(r"\S{36,}"))
     return F.when(n == 0, "blank").when(noise, "noise").when(hand, "handwritten").otherwise("printed")
@@ -83,14 +83,32 @@ def role_weight(role: Column) -> Column:
 
 
 #: Words of a file's name that tell its role, first match wins.
-FILE_ROLES = [("mark_scheme", r"mark scheme"), ("exam_guidance", r"guidance|advice|syllabus"), ("past_paper", r"past paper|exam paper|paper|exam"), ("problem_sheet", r"problem|exercise|sheet [0-9]|worksheet"), ("solution_sheet", r"\b(solutions?|answers?)\b"), ("formula_sheet", r"formula(e|s)?( sheet)?"), ("lecture_notes", r"notes?|lecture|chapter")]
+FILE_ROLES = [
+    ("lecture_notes", r"\b(chapter|notes?|lecture|lectures?)\b"),
+    ("exam_guidance", r"\b(format|guidance|syllabus)\b"),
+    ("mark_scheme", r"\b(mark scheme|marking scheme|marks? scheme)\b"),
+    ("past_paper", r"\b(past|paper|exam|mock)\b"),
+    ("problem_sheet", r"\b(problem sheet|problems?|worksheet|exercise sheet|ps)\b"),
+    ("solution_sheet", r"\b(solution|solutions|answers?|answer)\b"),
+    ("formula_sheet", r"\b(formula sheet|formulae|formulas)\b"),
+]
 
 
 def role_of_name(name: Column) -> Column:
-    n = F.regexp_replace(F.lower(name), "[_.-]+", " ")
+    n = F.regexp_replace(F.lower(name), "[_-]+", " ")
     return reduce(lambda c, rp: c.when(n.rlike(rp[1]), rp[0]), FILE_ROLES[1:], F.when(n.rlike(FILE_ROLES[0][1]), FILE_ROLES[0][0])).otherwise("other")
 
 
+def half_up(c: Column) -> Column:
+    """The nearest whole number, halves upwards, also below zero."""
+    return F.floor(c + 0.5)
+
+
+def role_counts(role: Column) -> Column:
+    """An aggregate: a map of each role to its number of rows, roles without rows at 0."""
+    return F.map_from_arrays(F.array(*[F.lit(r) for r, _ in ROLES]), F.array(*[F.count_if(role == r) for r, _ in ROLES]))
+
+
 def safe_name(name: Column) -> Column:
     return F.regexp_replace(F.trim(name), r"[^A-Za-z0-9._-]+", "-")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,8 +16,8 @@ def gate(rows: DataFrame, rules: list[tuple[Column, str, str]], decision: str =
 
 def report(gated: DataFrame, *by: str) -> DataFrame:
     """Rows and shares of decisions and reasons."""
-    total = gated.count()
-    return gated.groupBy(*by, "decision", "reason").agg(F.count("*").alias("rows")).withColumn("share", F.round(F.col("rows") / F.lit(max(1, total)), 6))
+    counts = gated.groupBy(*by, "decision", "reason").agg(F.count("*").alias("rows"))
+    return counts.withColumn("share", F.round(F.col("rows") / F.sum("rows").over(Window.partitionBy()), 6))  # a row for each decision and reason
 
 
 def acceptance(pack: DataFrame, tests: dict[str, Column]) -> DataFrame:

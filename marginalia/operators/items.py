@@ -12,9 +12,10 @@ CATEGORIES = [("mustKnowDefinitions", "definition"), ("coreTheorems", "theorem")
 
 
 def tab_counts(items: DataFrame) -> DataFrame:
-    """One row: how many items each status tab has; a missing decision means keep, deleted ones are only in their tab."""
+    """One row (checking: those that need review or are of low quality): how many items each status tab has; a missing decision means keep, deleted ones are only in their tab."""
     d, live = F.coalesce("decision", F.lit("keep")), ~F.coalesce("deleted", F.lit(False))
-    tabs = {"kept": live & (d == "keep"), "needs_review": live & (d == "review"), "rejected": live & (d == "reject"), "low_quality": live & (F.col("grade") == "low"), "deleted": ~live}
+    asked, low = d.isin("review", "needs_review"), F.coalesce(F.col("grade") == "low", F.lit(False))
+    tabs = {"kept": live & (d == "keep"), "checking": live & (asked | low), "needs_review": live & asked, "rejected": live & (d == "reject"), "low_quality": live & low, "deleted": ~live}
     return items.agg(*[F.count_if(c).alias(n) for n, c in tabs.items()])
 
 
@@ -44,8 +45,8 @@ def top_by_signal(candidates: DataFrame, group: str, score: Column, order: str,
 
 def round_robin(slots: DataFrame, choices: DataFrame) -> DataFrame:
     """slots(slot from 0) joined with choices(position from 0) in turn."""
-    n = choices.count()
-    return slots.withColumn("position", F.pmod(F.col("slot"), F.lit(max(1, n)))).join(choices, "position")
+    n = choices.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))
+    return slots.crossJoin(F.broadcast(n)).withColumn("position", F.pmod("slot", "_n")).drop("_n").join(choices, "position")  # one row
 
 
 def repeated_prompts(items: DataFrame, prompt: Column, least: int = 2) -> DataFrame:
@@ -71,3 +72,56 @@ def job_progress(log: DataFrame) -> DataFrame:
     share = F.floor(25 + 59 * F.coalesce(F.try_divide("chunk", "chunks"), F.lit(0)))
     percent = reduce(lambda c, s: c.when(F.col("stage") == s[0], s[1]), list(at.items())[1:], F.when(F.col("stage") == "extracting_text", 5)).otherwise(share).cast("int")
     return last.select("job_id", "stage", F.when(F.col("stage") == "completed", "completed").when(F.col("failed") > 0, "partial").otherwise("running").alias("status"), percent.alias("percent"), "completed", "failed")
+
+
+def with_changes(items: DataFrame, log: DataFrame, key: str = "item_id") -> DataFrame:
+    """items after a log(item_id, ts, change, title, text) of upsert, delete, restore, reject and purge: the last of each kind of change by time.
+
+    An upsert sets title and text where it has them and adds items that weren't there; purged items are gone.
+    """
+    last = lambda *kinds: F.max(F.when(F.col("change").isin(*kinds), F.struct("ts", "change", "title", "text")))
+    by = log.groupBy(key).agg(last("upsert").alias("u"), last("delete", "restore", "purge").alias("d"), last("reject", "upsert").alias("r"))
+    both = items.join(by, key, "full")
+    title, text = F.coalesce("u.title", "title"), F.coalesce("u.text", "text")
+    gone, rejected = F.col("d.change") == "delete", F.col("r.change") == "reject"
+    kept = both.where(~F.coalesce(F.col("d.change") == "purge", F.lit(False)))
+    return kept.withColumns({"title": title, "text": text, "deleted": F.coalesce(gone, "deleted", F.lit(False)), "decision": F.when(rejected, "reject").otherwise(F.coalesce("decision", F.lit("keep")))}).drop("u", "d", "r")
+
+
+#: Warnings that an item must be repaired for before it is reviewed.
+REPAIRS = r"Over-merged|Source location is missing|Question prompt|Title is unusually long|unrelated section|multiple major label"
+
+
+def reviewable(items: DataFrame, needs_review: bool = False, medium: bool = False, category_: str | None = None) -> DataFrame:
+    """Items that may be reviewed: decided, of high priority unless medium, of the category, worth a card, short, required, and without a repair to do."""
+    d = F.coalesce("decision", F.lit("keep"))
+    rules = [~F.coalesce("deleted", F.lit(False)), d != "reject", F.coalesce(F.col("standalone_value") != "low", F.lit(True)), F.length("answer") <= 1800, F.coalesce(F.col("importance") != "not_required", F.lit(True)), F.col("extraction_warning").isNull(), ~F.coalesce(F.exists("warnings", lambda w: w.rlike(REPAIRS)), F.lit(False))]
+    rules += [] if needs_review else [d == "keep"]
+    rules += [] if medium else [F.coalesce(F.col("priority_label").isin("very_high", "high"), F.lit(False)) | (F.coalesce("priority_score", F.lit(0)) >= 70)]
+    rules += [F.col("category") == category_] if category_ else []
+    return items.where(reduce(Column.__and__, rules))
+
+
+def error_code(code: Column, message: Column, stage: Column, chunk: Column) -> Column:
+    """The code of a failed job's error, by its own code, its message, its stage and whether a chunk failed."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    return F.when(code.isin("JOB_CANCELLED", "TEXT_EXTRACTION_FAILED"), code).when(low.rlike("rate|quota"), "OPENAI_RATE_LIMIT").when(low.rlike("timeout|timed out"), "OPENAI_TIMEOUT").when(stage == "merging_chunks", "MERGE_FAILED").when(chunk.isNotNull(), "CHUNK_FAILED").otherwise("PDF_PARSE_FAILED")
+
+
+def open_jobs(status: DataFrame, most: int = 10) -> DataFrame:
+    """job_id of the first most jobs by id that are neither completed nor cancelled."""
+    return status.where(~F.col("status").isin("completed", "cancelled")).select("job_id").distinct().orderBy("job_id").limit(most)
+
+
+def kept_status(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """chunks(job_id, chunk_id) with the status that known(job_id, chunk_id, status) has for them, pending for the others."""
+    return chunks.join(known.select("job_id", "chunk_id", "status"), ["job_id", "chunk_id"], "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+
+
+def drill(topics: DataFrame, count: int = 4, most: int = 6) -> DataFrame:
+    """n, topic, question: count questions that take the first most topics(title, position, importance) not of high importance in turn."""
+    weak = topics.where(F.coalesce(F.col("importance") != "high", F.lit(True))).orderBy("position").limit(most)
+    listed = weak.agg(F.array_sort(F.collect_list(F.struct("position", "title"))).alias("t"))  # at most most titles
+    each = listed.where(F.size("t") > 0).select("t", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("n"))
+    topic = F.col("t")[F.pmod(F.col("n"), F.size("t"))]["title"]
+    return each.select("n", topic.alias("topic"), F.concat(F.lit("Drill: explain "), topic, F.lit(" as if teaching a friend — include one pitfall.")).alias("question"))

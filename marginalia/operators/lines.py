@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 
 
 def lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line_index from 0, line, layer, confidence."""
-    each = documents.select(key, F.posexplode_outer(F.split(X.sanitise(F.col(text)), "\n")).alias("line_index", "line")).where("line is not null")
+    """key, line_index from 0, line, layer, confidence; a carriage return in front of a line feed isn't part of a line."""
+    each = documents.select(key, F.posexplode_outer(F.split(X.sanitise(F.regexp_replace(text, "\r\n", "\n")), "\n")).alias("line_index", "line")).where("line is not null")
     return each.withColumn("layer", X.layer(F.col("line"))).withColumn("confidence", X.layer_confidence(F.col("layer")))
 
 
 def layers(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and, for each layer, its lines' number and text in order."""
+    """key and, for each layer, its lines' number and text in order; blank lines keep their places in the printed text, but aren't counted."""
     kinds = ("printed", "handwritten", "noise")
-    kept = lines(documents, key).where("layer <> 'blank'").groupBy(key)
-    text = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("layer") == k, F.struct("line_index", "line")))), lambda s: s["line"]), "\n")
+    kept = lines(documents, key).groupBy(key)
+    end = F.regexp_replace("line", r"\s+$", "")
+    line = {"printed": F.when(F.col("layer") == "blank", "").when(F.col("layer") == "printed", F.col("line")), "handwritten": F.when(F.col("layer") == "handwritten", end), "noise": F.when(F.col("layer") == "noise", end)}
+    text = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(line[k].isNotNull(), F.struct("line_index", line[k].alias("t"))))), lambda s: s["t"]), "\n")
     return kept.agg(*[F.count_if(F.col("layer") == k).alias(f"n_{k}") for k in kinds], *[text(k).alias(f"{k}_text") for k in kinds])
 
 
@@ -27,6 +31,38 @@ def usable_text(layered: DataFrame, least: int = 80) -> DataFrame:
     return layered.withColumn("text", F.when(F.length("printed_text") >= least, F.col("printed_text")).otherwise(F.concat_ws("\n", "printed_text", "handwritten_text", "noise_text")))
 
 
+#: Where a glued line is broken, in order; the first list is for every text, the second for lines of LONG characters on.
+LABELS = "Definition|Theorem|Proposition|Lemma|Corollary|Remark|Example|Exercise|Algorithm"
+BREAKS = [(r"(?i)([^\n])\s*(\[Page\s+\d+\])", "$1\n$2"), (rf"(?i)([a-z0-9)\]}}])\s+((?:{LABELS})\s+\d+(?:\.\d+)*(?:\s*\([^)]*\))?)", "$1\n$2"), (r"(?i)([a-z0-9)\]}])\s+(Proof\s*[.:])", "$1\n$2"), (r"(?i)([a-z0-9)\]}])\s+(Chapter\s+\d+)\b", "$1\n$2"), (r"\n{3,}", "\n\n")]
+LONG = 200
+REFLOWS = [(r"(?i)([.!?][\"'”]?\s+)(Chapter\s+\d)", "$1\n$2"), (r"([.!?][\"'”]?\s+)(\d{1,2}\.\d{1,3}\s+[A-Z\u00C0-\u024F])", "$1\n$2"), (rf"(?i)([a-z0-9%)\]}}])\s+((?:{LABELS})\s+\d)", "$1\n$2"), (r"(?i)([a-z0-9%)\]}])\s+(Proof\s*[.:])", "$1\n$2")]
+
+
+def broken_lines(text: Column, rules: list[tuple[str, str]] = BREAKS) -> Column:
+    """text with a line break in front of page marks, labels, proofs and chapters that are glued to a line, and at most one blank line in a row."""
+    return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, F.regexp_replace(text, "\r\n", "\n"))
+
+
+def reflowed(text: Column) -> Column:
+    """text whose long lines are broken in front of chapters, numbered sections, labels and proofs; the others stay."""
+    one = lambda t: F.when(F.length(t) < LONG, t).otherwise(reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), REFLOWS, t))
+    return F.array_join(F.transform(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n"), one), "\n")
+
+
+#: What a light heading looks like.
+LIGHT = r"(?i)^(chapter|section|lecture|topic|\d+(\.\d+)*|[A-Z][A-Z\s]{5,})\b[:.)\-\s]*(.+)?$|^#+\s+"
+
+
+def light_headings(pages: DataFrame, *keys: str, most: int = 8) -> DataFrame:
+    """keys, headings: the first most lines of 4 to 120 characters of each page that look like headings; none: an empty array.
+
+    Word borders are ASCII's, see ascii_fold.
+    """
+    each = F.transform(F.split("text", r"\n+"), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    kept = pages.withColumn("_l", each).select(*keys, "_l", F.filter("_l", lambda t: F.length(t).between(4, 120) & X.ascii_fold(t).rlike(LIGHT)).alias("_h"))
+    return kept.select(*keys, F.coalesce(F.slice("_h", 1, most), F.array().cast("array<string>")).alias("headings"))
+
+
 def pages_of(documents: DataFrame, per_page: int = 8, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, page from 1, text, chars: every per_page lines of a document are a page."""
     n = F.lit(per_page)
@@ -46,8 +82,36 @@ def marked_pages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return parts.select(key, "k", F.coalesce(number.try_cast("int"), F.lit(1)).alias("page"), body.alias("text"), (number == "").alias("_none")).where("not _none or text <> ''").drop("_none", "k")
 
 
-def render(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, text: pages in order, each after its [Page N] mark."""
+def pages_or_whole(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """marked_pages, and page 1 with the whole text for documents without any mark or rule of pages.
+
+    A rule is a line "Page N" between two lines of three dashes or more; it is read like a mark.
+    """
+    rules = F.regexp_replace("text", r"(?:^|\n)-{3,}\nPage\s+([0-9]+)[^\n]*\n-{3,}\n", "\n[Page $1]\n")
+    return marked_pages(documents.select(key, rules.alias("text")), key)
+
+
+def pages_to_recognise(pages: DataFrame, key: str = "doc_id", most: int = 200) -> DataFrame:
+    """key, page of pages(key, page, text, images) whose text should be recognised from the image, at most most of a document.
+
+    Those with three images or fewer than 80 characters; all where a document's mean is below 120.
+    """
+    n = F.length(F.coalesce("text", F.lit("")))
+    mean = F.avg(n).over(Window.partitionBy(key))
+    asked = pages.withColumn("_mean", mean).where((F.col("_mean") < 120) | (F.coalesce("images", F.lit(0)) >= 3) | (n < 80))
+    return asked.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("page"))).where(F.col("_k") <= most).select(key, "page")
+
+
+def render(pages: DataFrame, key: str = "doc_id", source: str | None = None, first: int = 1, last: int | None = None) -> DataFrame:
+    """key, text: pages from first to last in order, each after its [Page N] mark; source is a column whose name goes before them."""
+    some = pages.where((F.col("page") >= first) & (F.col("page") <= last if last is not None else F.lit(True)))
+    if source:
+        body = render(some, key)
+        return body.join(pages.groupBy(key).agg(F.min(source).alias("_s")), key).select(key, F.concat(F.lit("["), "_s", F.lit("]\n\n"), "text").alias("text"))
+    return _rendered(some, key)
+
+
+def _rendered(pages: DataFrame, key: str) -> DataFrame:
     one = F.struct("page", F.concat(F.lit("[Page "), F.col("page").cast("string"), F.lit("]\n"), F.col("text")).alias("body"))
     return pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["body"]), "\n\n").alias("text"))
 

@@ -12,21 +12,35 @@ QUESTION_KINDS = [("State or define", r"\b(state|define|give the definition)\b")
 RANKS = ["unknown", "low", "medium", "high", "very_high"]
 
 
-def sentence_pairs(sentences: DataFrame, *keep: str) -> DataFrame:
-    """keep columns and phrase: each pair of neighbouring words, a space between them and no marks inside."""
-    worded = sentences.withColumn("words", F.split(X.ascii_fold(F.lower("sentence")), " "))
-    w = F.col("words")  # a column: in a lambda an expression is computed for each element
-    pair = lambda i: F.concat(F.regexp_replace(F.get(w, i), "^[^a-z0-9-]+", ""), F.lit(" "), F.regexp_replace(F.get(w, i + 1), "[^a-z0-9-]+$", ""))
-    pairs = F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), pair)))
-    return worded.select(*keep, F.explode_outer(pairs).alias("phrase")).where(F.col("phrase").rlike("^[a-z0-9-]+ [a-z0-9-]+$"))
+def bounded(names: DataFrame, most: int = 500) -> list[str]:
+    """The strings of a one-column table with at most most rows, in its order; more are an error, since they are put into every task's plan."""
+    got = [r[0] for r in names.limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"more than {most} names: join them by key instead")
+    return got
 
 
-def topic_evidence(sentences: DataFrame, topics: DataFrame, most: int = 5) -> DataFrame:
+def literals(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+
+
+def with_pairs(sentences: DataFrame) -> DataFrame:
+    """sentences with pairs: each pair of neighbouring words, a space between them and no marks at its ends."""
+    low = X.ascii_fold(F.lower("sentence"))
+    # marks are taken off both sides of all words at once: one pass over the sentence instead of two expressions for each word
+    sides = sentences.withColumns({"_l": F.split(F.regexp_replace(low, "(^| )[^a-z0-9 -]+", "$1"), " "), "_r": F.split(F.regexp_replace(low, "[^a-z0-9 -]+( |$)", "$1"), " ")})
+    pair = lambda i: F.concat_ws(" ", F.get("_l", i), F.get("_r", i + 1))
+    # _l and _r stay columns: in a lambda an expression is computed for each element
+    return sides.withColumn("pairs", F.when(F.size("_l") > 1, F.transform(F.sequence(F.lit(0), F.size("_l") - 2), pair)))
+
+
+def topic_evidence(sentences: DataFrame, topics: list[str], most: int = 5) -> DataFrame:
     """doc_id, role, phrase, sentence_index, sentence: the first most sentences of each document that hold a topic's two words.
 
-    An equi-join on the phrase; sentences meet topics only where they hold them.
+    The topics, a bounded list, are part of the plan, so only sentences that hold one become rows.
     """
-    hit = sentence_pairs(sentences, "doc_id", "role", "sentence_index", "sentence").join(topics.select("phrase"), "phrase")
+    held = with_pairs(sentences).select("doc_id", "role", "sentence_index", "sentence", "_l", "_r", F.array_intersect("pairs", literals(topics)).alias("held")).where(F.size("held") > 0)
+    hit = held.select("doc_id", "role", "sentence_index", "sentence", F.explode_outer("held").alias("phrase"))
     order = Window.partitionBy("doc_id", "phrase").orderBy("sentence_index")
     return hit.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
 

@@ -97,3 +97,21 @@ def block_spans(lines: DataFrame, start: str, stop: str, most_lines: int, most_c
 
     spans = docs.select(key, F.explode_outer(F.aggregate("rows", none.cast(kind), step, closed)).alias("b")).where("b is not null")
     return spans.select(key, F.col("b.first").alias("first_line"), F.col("b.last").alias("last_line"), F.col("b.text").alias("text"))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str, ties: list[str], name: str, buckets: int = 64) -> DataFrame:
+    """rows with name: their number from 1 within keys by the numeric column order, then ties.
+
+    Rows are numbered within ranges of order, whose bounds are quantiles, and each range begins after the rows of those
+    before it: no task holds all rows of a key, only those of one range of it.
+    """
+    marks = rows.agg(F.percentile_approx(order, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(10_000)).alias("_marks"))
+    ranged = rows.crossJoin(F.broadcast(marks)).withColumn("_range", F.size(F.filter("_marks", lambda m: m < F.col(order)))).drop("_marks")  # one row of at most buckets numbers
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranged.groupBy(*keys, "_range").count().withColumn("_first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order, *ties))
+    r, f = ranged.withColumn("_own", own).alias("r"), first.alias("f")
+    same = F.col("r._range") == F.col("f._range")
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}"))
+    return r.join(f, same).select("r.*", (F.col("f._first") + F.col("r._own")).alias(name)).drop("_range", "_own")

@@ -24,16 +24,33 @@ def _kind(t: Column, part: int) -> Column:
     return reduce(lambda c, r: c.when(t.rlike(r[2]), r[part]), HEADING_RULES[1:], out)
 
 
+#: Signs of lines that aren't headings, by the reason given, first match wins; and what the confidence of a kind is.
+FOOTER = r"(?i)\b(page\s+\d+\s+of\s+\d+|copyright|all\s+rights\s+reserved|lecture\s+notes\s+only)\b|©"
+AXIS = r"^[\d.,\s\-–—]{6,}$|^(0\.\d|1\.\d|-?\d+\.\d)\s+(0\.\d|1\.\d|-?\d+\.\d)(\s+(0\.\d|1\.\d|-?\d+\.\d)){2,}"
+STRONG = r"(?i)^(Chapter\s*\d+|(\d+\.){1,3}\d+\s+\S|Definition|(Lemma|Theorem|Proposition|Corollary|Problem)\s+\d+|Proof|Worked\s+example|Example|Exercise|Question|Solution|Remark|Algorithm)"
+CONFIDENCE = {"chapter": 0.9, "section": 0.84, "subsection": 0.84, "subsubsection": 0.84, "proof": 0.8, "theorem": 0.8, "definition": 0.8}
+
+
+def heading_noise(t: Column) -> Column:
+    """True for lines that hardly are headings: too long, mostly signs, footers, only marks, few letters."""
+    n = F.greatest(F.length(t), F.lit(1))
+    share = lambda p: X.count_of(t, p) / n
+    return (t == "") | (F.length(t) > 180) | ((share(r"[=∑∫√^_∇∂‰∞±]") > 0.22) & (F.length(t) > 80)) | (t.rlike(FOOTER) & (F.length(t) < 90)) | t.rlike(r"^[^\w\s]{3,}$") | ((F.length(t) > 40) & (share("[A-Za-z]") < 0.08))
+
+
 def headings(lines: DataFrame) -> DataFrame:
     """lines(doc_id, page, line_index, line, layer) that look like headings: kind, level, confidence and rejection_reason (null: accepted)."""
     t = F.trim("line")
-    n, digits, odd = F.length(t), X.count_of(t, "[0-9]"), X.count_of(t, r"[^A-Za-z0-9\s.,;:()\-]")
+    n = F.length(t)
+    share = lambda p: X.count_of(t, p) / F.greatest(n, F.lit(1))
+    body = (n >= 70) & ~t.rlike(r"(?i)^(theorem|lemma|definition|proposition|chapter)\b") & (((X.count_of(t, r"\S+") > 22) & t.rlike(r"[.;:]\s")) | ((n > 110) & t.rlike("^[a-z]") & (X.count_of(t, r",\s") >= 2)))
+    caption = t.rlike(r"(?i)^(figure|fig\.|table)\s+\d+")
     reason = X.first_match([
-        ("page_number", t.rlike(r"^(page\s+)?[0-9]{1,4}$")), ("ocr_noise", (F.col("layer") == "noise") & ~t.rlike(r"(?i)^(chapter|theorem|definition|lemma|proof)\b")), ("figure_axis_noise", t.rlike(r"^([-+0-9.]+\s+){3,}[-+0-9.]+$")),
-        ("table_caption_context", t.rlike(r"(?i)^table\s+[0-9]")), ("figure_caption_context", t.rlike(r"(?i)^fig(ure|\.)\s*[0-9]")), ("too_many_numbers", (digits >= 14) & (digits / F.greatest(n, F.lit(1)) > 0.35)), ("too_many_symbols", odd / F.greatest(n, F.lit(1)) > 0.28),
-        ("too_long", n > 180), ("body_sentence", (n >= 70) & (X.count_of(t, r"\S+") > 22) & t.rlike(r"[.;:]\s")),
+        ("page_number", t.rlike(r"^\s*\d{1,4}\s*$")), ("ocr_noise", (F.col("layer") == "noise") & ~t.rlike(STRONG)), ("figure_axis_noise", t.rlike(AXIS)),
+        ("table_caption_context", caption & t.rlike(r"(?i)^table\b")), ("figure_caption_context", caption), ("too_many_numbers", (X.count_of(t, r"\d") >= 14) & (share(r"\d") > 0.35)),
+        ("too_many_symbols", (share(r"[^A-Za-z0-9\s.,;:()\-]") > 0.28) & (X.count_of(t, r"\S*[A-Za-z]{3,}\S*") < 4)), ("footer_or_header", t.rlike(FOOTER) & (n < 100)), ("figure_axis_noise", heading_noise(t)), ("body_sentence", body),
     ], "")
-    base = F.when(F.col("kind") == "chapter", 0.9).when(F.col("kind").isin("section", "subsection", "subsubsection"), 0.84).when(F.col("kind").isin("proof", "theorem", "definition"), 0.8).otherwise(0.72)
+    base = reduce(lambda c, k: c.when(F.col("kind") == k[0], k[1]), CONFIDENCE.items(), F.when(F.lit(False), 0.0)).otherwise(0.72)
     found = lines.withColumns({"kind": _kind(t, 0), "level": _kind(t, 1), "rejection_reason": F.nullif(reason, F.lit(""))}).where("kind is not null")
     return found.withColumns({"line": t, "confidence": F.round(base - F.when(n > 120, 0.12).otherwise(0), 2)})
 
@@ -65,6 +82,53 @@ def section_headings(lines: DataFrame) -> DataFrame:
     return got.where("number <> ''").withColumn("title", F.regexp_replace("title", r"\s*\.{2,}\s*[0-9]*$", ""))
 
 
+#: Where the text of a section begins inside a title, what titles aren't, and labels that are models.
+BODY = r"(?i)\b(we introduce|we consider|recall that|this section|let\s+\w+\s+be)\b"
+NOT_TITLE = r"(?i)^(definition|theorem|lemma|proposition|corollary|remark|example|exercise|proof|algorithm)\b"
+MODEL = r"(?i)^(MA|AR|ARMA|ARCH|ARIMA|VAR|GLP|General\s+linear\s+process)\s*\([^)]{1,24}\)\s*$"
+
+
+def _title(c: Column) -> Column:
+    """A title without the body text glued to it, at most 160 characters."""
+    whole = X.collapse(c)
+    at = F.regexp_instr(whole, F.lit(BODY)) - 1
+    return F.when(at >= 12, F.trim(F.substring(whole, F.lit(1), at))).when(F.length(whole) > 160, F.concat(F.substring(whole, 1, 157), F.lit("…"))).otherwise(whole)
+
+
+def structural_headings(lines: DataFrame) -> DataFrame:
+    """doc_id, line_index, kind, label, title, level of chapters, numbered sections, worked examples and model labels.
+
+    A bare chapter takes the next line as its title. Numbers on lines of their own are sections from 1 to 60; a line has one heading.
+    """
+    w = Window.partitionBy("doc_id").orderBy("line_index")
+    t, nxt = F.trim("line"), F.trim(F.lead("line").over(w))
+    got = lines.withColumns({"t": t, "_next": nxt}).where(F.length("t") >= 4)
+    part = lambda p, k: F.regexp_extract("t", p, k)
+    chapter, bare = r"(?i)^Chapter\s+(\d{1,2}(?:\.\d+)?)\s*[.:]?\s+(.+)", r"(?i)^Chapter\s+(\d{1,2}(?:\.\d+)?)\s*$"
+    major, minor, worked = r"^(\d{1,2})\s+([A-Za-z0-9\u00C0-\u024F()].{3,180})$", r"^(\d{1,2}\.\d{1,2}(?:\.\d{1,2})?)\s+(.+)", r"(?i)^Worked\s+example\s*[.:]?\s*(.*)$"
+    follows = F.length("_next").between(4, 199) & ~F.col("_next").rlike(r"(?i)^\[Page\b|^\d+\.\d+|^Chapter\s+")
+    clean = lambda c: _title(F.regexp_replace(c, r"^[\s.:)-]+", ""))
+    row = lambda kind, label, title, level: F.struct(F.lit(kind).alias("kind"), label.alias("label"), title.alias("title"), (F.lit(level) if isinstance(level, int) else level).alias("level"))
+    named = lambda p: F.concat(F.lit("Chapter "), part(p, 1))
+    rest = F.trim(part(worked, 1))
+    is_major = F.col("t").rlike(major) & part(major, 1).try_cast("int").between(1, 60) & ~F.col("t").rlike(r"^\d{1,2}\.\d")
+    h = F.when(F.col("t").rlike(bare), F.when(follows, row("chapter", named(bare), _title(F.col("_next")), 1))).when(F.col("t").rlike(chapter), row("chapter", named(chapter), _title(part(chapter, 2)), 1))
+    h = h.when(is_major, row("section", part(major, 1), clean(part(major, 2)), 2)).when(F.col("t").rlike(minor), row("section", part(minor, 1), clean(part(minor, 2)), F.when(part(minor, 1).rlike(r"\..*\."), 3).otherwise(2)))
+    h = h.when(F.col("t").rlike(worked) & (F.length("t") < 220), row("section", F.lit("Worked example"), _title(F.when(F.length(rest) >= 4, rest).otherwise("Worked example")), 2)).when(F.col("t").rlike(MODEL) & (F.length("t") < 120), row("section", F.upper(part(MODEL, 1)), F.col("t"), 3))
+    found = got.select("doc_id", "line_index", h.alias("h")).where("h is not null").select("doc_id", "line_index", "h.*")
+    return found.where((F.length("title") >= 4) & ((F.col("kind") == "chapter") | ~F.col("title").rlike(NOT_TITLE)))
+
+
+def chapter_context(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """lines(doc_id, line_index) with chapter and chapter_title of the last chapter heading at or before them, and section, the last heading's label."""
+    marks = found.groupBy("doc_id", "line_index").agg(F.min(F.struct("level", "kind", "label", "title")).alias("h"))
+    w = Window.partitionBy("doc_id").orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
+    is_chapter = F.col("h.kind") == "chapter"
+    last = lambda c: F.last(c, True).over(w)
+    both = lines.join(marks, ["doc_id", "line_index"], "left")
+    return both.withColumns({"chapter": F.coalesce(last(F.when(is_chapter, F.col("h.label"))), F.lit("")), "chapter_title": F.coalesce(last(F.when(is_chapter, F.col("h.title"))), F.lit("")), "section": last(F.col("h.label"))}).drop("h")
+
+
 def version_key(number: Column) -> Column:
     """Sorts 3.10 after 3.9."""
     return F.transform(F.split(number, r"\."), lambda p: p.try_cast("int"))
@@ -132,16 +196,3 @@ def inline_cues(block_lines: DataFrame, *block: str) -> DataFrame:
     cap = reduce(lambda c, r: c.when(F.col("cue") == r[0], r[2]), CUES[1:], F.when(F.col("cue") == CUES[0][0], CUES[0][2]))
     few = once.withColumn("_k", F.row_number().over(Window.partitionBy(*block, "cue").orderBy("line_index"))).where(F.col("_k") <= cap)
     return few.groupBy(*block, "cue").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "line"))), lambda s: s["line"]).alias("lines"))
-
-
-def profile(lines: DataFrame) -> DataFrame:
-    """doc_id and what its lines show: module code, people, counts of formal results, notation, noise, and the document's type."""
-    t = F.trim("line")
-    n = lambda p: F.count_if(t.rlike(p))
-    got = lines.groupBy("doc_id").agg(
-        F.max(F.nullif(F.regexp_extract(t, r"\b([A-Z]{2,4}[0-9]{3,5})\b", 1), F.lit(""))).alias("code"), F.max(F.nullif(F.regexp_extract(t, r"(?i)(?:lecturer|instructor|author):?\s+(.{3,60})", 1), F.lit(""))).alias("person"),
-        n(r"(?i)^(theorem|lemma|proposition|corollary)\b").alias("theorems"), n(r"(?i)^definition\b").alias("definitions"), n(r"(?i)^proof\b").alias("proofs"), n(r"(?i)^(exercise|question|problem)\b").alias("questions"), n(r"(?i)^solution\b").alias("solutions"), n(r"[=∑∫√≤≥]").alias("notation"),
-        n(r"(?i)\b(marks?|hours|answer all)\b").alias("exam_words"), F.count_if(F.col("layer") == "noise").alias("noise"), F.count("*").alias("lines"),
-    )
-    kind = X.first_match([("solutions", F.col("solutions") >= 2), ("past_paper", (F.col("exam_words") >= 2) & (F.col("questions") >= 2)), ("problem_sheet", F.col("questions") >= 3), ("lecture_notes", (F.col("theorems") + F.col("definitions")) >= 2), ("formula_sheet", F.col("notation") > 0.4 * F.col("lines"))], "other")
-    return got.withColumns({"kind": kind, "has_proofs": F.col("proofs") > 0, "noisy": F.col("noise") > 0.2 * F.col("lines")})

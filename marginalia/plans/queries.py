@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def _pages(spark, d, *keep) -> DataFrame:
 
 ROLE = "CASE try_cast(regexp_extract(source, '^src([0-9]+)$', 1) AS INT) % 8 " + " ".join(f"WHEN {k} THEN '{r}'" for k, (r, _) in enumerate(X.ROLES)) + " ELSE 'other' END"
 WEIGHT = "CASE role " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in X.ROLES) + " ELSE 1 END"
-SANE = r"regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F\x{00AD}]', '', 'g')"
+SANE = r"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{00AD}]', '', 'g')"
 LINES = f"""lines AS (SELECT doc_id, i - 1 AS line_index, a[i] AS line FROM (SELECT doc_id, string_split({SANE}, chr(10)) AS a FROM documents), LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i))"""
 N = lambda t, p: f"len(regexp_extract_all({t}, '{p}'))"
 LAYERED = rf"""{LINES}, trimmed AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM lines), layered AS (SELECT *, CASE WHEN length(t) = 0 THEN 'blank'
@@ -52,7 +54,7 @@ PAGES = f"""pages_ AS (SELECT doc_id, page, array_to_string(a[(page - 1) * 8 + 1
 COLLAPSE = lambda c: rf"trim(regexp_replace({c}, '\s+', ' ', 'g'), ' ')"
 FOLD = lambda c: rf"regexp_replace({c}, '[^\x00-\x7F]', '|', 'g')"
 SENTENCES = rf"""sents AS (SELECT doc_id, source, i - 1 AS sentence_index, {COLLAPSE('a[i]')} AS sentence FROM (SELECT doc_id, source, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)) AS a FROM documents), LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i)), sentences AS (SELECT *, {ROLE} AS role FROM sents WHERE length(sentence) BETWEEN 20 AND 500)"""
-BIGRAMS = rf"""bigrams AS (SELECT regexp_replace(m, '\s+', ' ', 'g') AS phrase, count(*) AS hits FROM (SELECT unnest(regexp_extract_all({FOLD('lower(text)')}, '\b([a-z][a-z-]{{3,}})\s+([a-z][a-z-]{{3,}})\b')) AS m FROM documents WHERE lang = 'en') GROUP BY 1 HAVING count(*) >= 5)"""
+BIGRAMS = rf"""bigrams AS (SELECT regexp_replace(m, '\s+', ' ', 'g') AS phrase, count(*) AS hits FROM (SELECT unnest(regexp_extract_all({FOLD('lower(text)')}, '\b([a-z][a-z-]{{3,}})\s+([a-z][a-z-]{{3,}})\b')) AS m FROM documents) GROUP BY 1 HAVING count(*) >= 5)"""
 EVIDENCE = rf"""{SENTENCES}, {BIGRAMS}, topics AS (SELECT phrase FROM bigrams ORDER BY hits DESC, phrase LIMIT 80),
  words AS (SELECT *, string_split({FOLD('lower(sentence)')}, ' ') AS w FROM sentences),
  pairs AS (SELECT DISTINCT doc_id, role, sentence_index, regexp_replace(w[i], '^[^a-z0-9-]+', '') || ' ' || regexp_replace(w[i + 1], '[^a-z0-9-]+$', '') AS phrase FROM words, LATERAL (SELECT unnest(range(1, len(w))) AS i)),
@@ -69,7 +71,7 @@ def line_layers(spark, d):
     return lines.lines(_docs(spark, d)).groupBy("doc_id", "layer").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
-@query(f"WITH {LAYERED} SELECT doc_id, count(*) FILTER (layer = 'printed') AS n_printed, count(*) FILTER (layer = 'handwritten') AS n_handwritten, count(*) FILTER (layer = 'noise') AS n_noise, md5(coalesce(string_agg(line, chr(10) ORDER BY line_index) FILTER (layer = 'printed'), '')) AS printed_md5 FROM layered WHERE layer <> 'blank' GROUP BY 1")
+@query(f"WITH {LAYERED} SELECT doc_id, count(*) FILTER (layer = 'printed') AS n_printed, count(*) FILTER (layer = 'handwritten') AS n_handwritten, count(*) FILTER (layer = 'noise') AS n_noise, md5(coalesce(string_agg(CASE WHEN layer = 'blank' THEN '' ELSE line END, chr(10) ORDER BY line_index) FILTER (layer IN ('printed', 'blank')), '')) AS printed_md5 FROM layered GROUP BY 1")
 def layer_texts(spark, d):
     return lines.layers(_docs(spark, d)).select("doc_id", "n_printed", "n_handwritten", "n_noise", F.md5(F.col("printed_text").cast("binary")).alias("printed_md5"))
 
@@ -81,12 +83,12 @@ def sentence_counts(spark, d):
 
 @query(f"WITH {BIGRAMS} SELECT phrase, hits FROM bigrams")
 def bigram_topics(spark, d):
-    return lines.bigram_topics(_docs(spark, d).where("lang = 'en'"))
+    return lines.bigram_topics(_docs(spark, d))
 
 
 def _evidence(spark, d) -> DataFrame:
-    topics = bigram_topics(spark, d).orderBy(F.desc("hits"), "phrase").limit(80)
-    return priority.topic_evidence(lines.sentences(_roled(spark, d), keep=("role",)), topics)
+    topics = bigram_topics(spark, d).orderBy(F.desc("hits"), "phrase").select("phrase").limit(80)
+    return priority.topic_evidence(lines.sentences(_roled(spark, d), keep=("role",)), priority.bounded(topics))
 
 
 @query(f"WITH {EVIDENCE}, w AS (SELECT phrase, sum({WEIGHT})::BIGINT AS weight, count(*) AS sentences, count(DISTINCT doc_id) AS documents, bool_or(role IN ('past_paper', 'exam_guidance')) AS assessed FROM evidence GROUP BY 1) SELECT phrase, weight, sentences, documents, CASE WHEN weight >= 16 AND assessed THEN 'very_high' WHEN weight >= 10 OR (assessed AND weight >= 6) THEN 'high' WHEN weight >= 4 THEN 'medium' ELSE 'low' END AS label FROM w")
@@ -192,8 +194,8 @@ def render_documents(spark, d):
 
 @query(f"WITH {PAGES} SELECT doc_id, page, row_number() OVER (PARTITION BY source ORDER BY doc_id, page) AS flat_page FROM pages JOIN (SELECT doc_id, source FROM documents) USING (doc_id)")
 def flat_page_numbers(spark, d):
-    p = _pages(spark, d, "source")
-    return p.select("doc_id", F.col("page").cast("long").alias("page"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "page")).cast("long").alias("flat_page"))
+    got = spans.numbered(_pages(spark, d, "source"), ["source"], "doc_id", ["page"], "flat_page")
+    return got.select("doc_id", F.col("page").cast("long").alias("page"), "flat_page")
 
 
 @query("SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END) AS capped_md5 FROM documents")
@@ -218,7 +220,7 @@ NORMAL = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), '
 
 @query(f"SELECT doc_id, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS rank, count(*) OVER (PARTITION BY k) AS copies FROM (SELECT doc_id, substring({NORMAL('text')}, 1, 180) AS k FROM documents)")
 def dup_exact(spark, d):
-    got = similarity.first_by_key(_docs(spark, d), [F.substring(X.key_text(F.col("text")), 1, 180)], [F.col("doc_id")])
+    got = similarity.first_by_key(_docs(spark, d), F.substring(X.key_text(F.col("text")), 1, 180), "doc_id")
     return got.select("doc_id", F.col("rank").cast("long").alias("rank"), "copies")
 
 
@@ -309,7 +311,7 @@ def acceptance_matrix(spark, d):
     return gates.acceptance(pack, {"enough_items": c("n") >= 25, "several_languages": c("langs") >= 2, "half_high": c("high") >= 0.5, "mostly_unique": c("uniq") >= 0.8, "not_too_long": c("longest") <= 95000, "labels_good": c("q") >= 0.75, "few_toxic": c("t") <= 0.2})
 
 
-@query("WITH i AS (SELECT d.doc_id, length(text) AS n, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 0 THEN 'review' END AS decision, d.doc_id % 17 = 0 AS deleted FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT count(*) FILTER (NOT deleted AND coalesce(decision, 'keep') = 'keep') AS kept, count(*) FILTER (NOT deleted AND decision = 'review') AS needs_review, count(*) FILTER (NOT deleted AND decision = 'reject') AS rejected, count(*) FILTER (NOT deleted AND n > 0 AND n < 250) AS low_quality, count(*) FILTER (deleted) AS deleted FROM i")
+@query("WITH i AS (SELECT d.doc_id, length(text) AS n, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 0 THEN 'review' END AS decision, d.doc_id % 17 = 0 AS deleted FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT count(*) FILTER (NOT deleted AND coalesce(decision, 'keep') = 'keep') AS kept, count(*) FILTER (NOT deleted AND (decision = 'review' OR n < 250)) AS checking, count(*) FILTER (NOT deleted AND decision = 'review') AS needs_review, count(*) FILTER (NOT deleted AND decision = 'reject') AS rejected, count(*) FILTER (NOT deleted AND n > 0 AND n < 250) AS low_quality, count(*) FILTER (deleted) AS deleted FROM i")
 def status_tabs(spark, d):
     i = _items(spark, d).withColumns({"decision": F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 0, "review"), "deleted": F.pmod("doc_id", F.lit(17)) == 0})
     return items.tab_counts(i)
@@ -327,7 +329,7 @@ def latest_state(spark, d):
 
 @query("WITH c AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS position FROM benchmark), n AS (SELECT count(*) AS n FROM c) SELECT doc_id AS slot, item_id FROM documents, n JOIN c ON true WHERE position = doc_id % n")
 def practice_round_robin(spark, d):
-    c = _t(spark, d, "benchmark").select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("position"))
+    c = spans.numbered(_t(spark, d, "benchmark"), [], "item_id", [], "n").select("item_id", (F.col("n") - 1).alias("position"))
     return items.round_robin(_docs(spark, d).select(F.col("doc_id").alias("slot")), c).select("slot", "item_id")
 
 
@@ -403,13 +405,7 @@ def review_state_stream(spark, d):
     """The streaming state over the event table as a stream; equal to srs_state, see the tests."""
     from marginalia.streaming import review_state
 
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        import tempfile
-
-        own = tempfile.mkdtemp(prefix="spark-stream-")
-    import uuid
-
+    own = files.shared_dir(spark)
     name = f"review_state_{uuid.uuid4().hex}"
     source = _t(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
@@ -477,3 +473,6 @@ def cue_counts(spark, d):
 def over_long(spark, d):
     w = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).cast("long")
     return _docs(spark, d).select("doc_id", w.alias("n_words"), F.length("text").cast("long").alias("n")).where("n_words > 1200 or n > 95000")
+
+
+from marginalia.plans import course_queries  # noqa: E402, F401  registers more of them
