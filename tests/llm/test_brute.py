@@ -170,6 +170,111 @@ def test_toxic_words_are_found_disguised():
     assert all(score(t) < 0.7 for t in ("there on shati", "the er", "wolin"))
 
 
+def kernel(a, b):
+    """The subsequence kernel of two coded words, by all places of three characters."""
+    def features(w):
+        out = {}
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + string_kernel.SPAN)):
+                    out[w[i], w[j], w[k]] = out.get((w[i], w[j], w[k]), 0) + string_kernel.DECAY ** (k - i - 2)
+        return out
+
+    x, y = features(a), features(b)
+    return sum(v * y.get(k, 0) for k, v in x.items())
+
+
+def test_kernel_equals_brute_force():
+    raw, at, _ = string_kernel.fold(["stupid s.t.u.p.i.d stxupxid banananana mississippi ab an internationalisation"])
+    words = [tuple(raw[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+    keys = np.unique(np.concatenate([key for _, key, _ in string_kernel.subsequences(raw, at)]))
+    basis = np.zeros((len(words), len(keys)), np.float32)
+    for wd, key, w in string_kernel.subsequences(raw, at):
+        np.add.at(basis, (wd, np.searchsorted(keys, key)), w)
+    want = np.array([[kernel(a, b) for b in words] for a in words])
+    np.testing.assert_allclose(string_kernel.norms(raw, at) ** 2, np.maximum(want.diagonal(), 1e-9), rtol=1e-6)
+    got = string_kernel._kernel(raw, at, keys, basis)
+    np.testing.assert_allclose(got, want / np.sqrt(np.maximum(want.diagonal(), 1e-9))[:, None], rtol=1e-4, atol=1e-6)
+    assert words[0] == words[1] and got[0, 2] > 0.5 > got[0, 4]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_toxicity_held_out(spark):
+    """Of the held-out labelled documents of sf0.1; about a quarter of those labelled toxic hold no insult that the others have."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    got = string_kernel.document_toxicity(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.6 and n.get((0, 1), 0) / n[0, 0] <= 0.01
+
+
+def test_filters_equal_sets():
+    rng = np.random.default_rng(9)
+    members = {f"l{k}": rng.integers(0, 2**63, 500).astype(np.uint64) for k in range(70)}
+    filters = bloom_langid.BloomFilters(members, "l0")
+    asked = np.concatenate([members["l3"][:100], members["l69"][:100], rng.integers(0, 2**63, 2000).astype(np.uint64)])
+    mask = filters.languages(asked)
+    for k, lang in enumerate(filters.langs):
+        has = mask[k // 64] >> mask.dtype.type(k % 64) & mask.dtype.type(1) == 1
+        assert has[np.isin(asked, members[lang])].all() and has[~np.isin(asked, members[lang])].mean() < 0.01
+    score = filters.scores(asked, np.repeat([0, 1, 2], [100, 100, 2000]), 3)
+    assert filters.langs[score[0].argmax()] == "l3" and filters.langs[score[1].argmax()] == "l69" and abs(score[0].max() - 100) < 1 and score[2].max() < 20
+
+
+@pytest.mark.parametrize("width", [8, 64, 384])
+def test_links_of_vectors_of_any_width(spark, width):
+    rng = np.random.default_rng(width)
+    centres = rng.normal(size=(60, width))
+    x = np.concatenate([c + rng.normal(size=(12, width)) * s for c, s in zip(centres, np.linspace(0.05, 0.6, 60), strict=True)])
+    x[7], x[19] = x[6] * 2, x[18]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.array([root[row].min() for row in near])
+        if (new == root).all():
+            break
+        root = new
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_neardup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    links, found = near.sum(1) - 1, np.array([got[i][0] for i in range(len(x))])
+    assert links.sum() > 500 and (found <= links).all() and found.sum() >= 0.9 * links.sum()
+    assert np.mean([got[i][1] == root[i] for i in range(len(x))]) >= 0.9
+
+
+def test_large_sets_are_joined_exactly(spark):
+    rnd = random.Random(8)
+    base = [[f"w{rnd.randrange(100_000)}" for _ in range(n)] for n in (2000, 3000, 5000)]
+    docs, at = [], 0
+    for w in base:
+        for share in (0, 0.01, 0.02, 0.04, 0.05, 0.2):
+            v = list(w)
+            for _ in range(int(len(v) * share)):
+                v[rnd.randrange(len(v))] = f"x{rnd.randrange(100_000)}"
+            docs.append((at, " ".join(v)))
+            at += 1
+    for width, num, den in ((3, 9, 10), (5, 4, 5)):
+        sets = {i: {tuple(t.split()[k : k + width]) for k in range(len(t.split()) - width + 1)} for i, t in docs}
+        root = {i: i for i in sets}
+        for _ in range(4):
+            for a in sets:
+                for b in sets:
+                    if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                        root[a] = root[b] = min(root[a], root[b])
+        got = parity_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), width, num / den).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == root and len(set(root.values())) < len(root)
+
+
+def test_findings_held_out():
+    """Findings of kinds and places drawn anew: few false ones, most secrets."""
+    lex = secret_forest.Lexicon(np.zeros(16, np.uint64), np.log(np.full((26, 26), 1 / 26)))
+    rnd = random.Random(1)
+    place = lambda: " ".join("".join(rnd.choice("abcdefghiklmnorstu") for _ in range(rnd.randrange(3, 9))) for _ in range(40))
+    x, y = secret_forest.labelled([(place(), None) for _ in range(1500)], lex)
+    forest = secret_forest.Forest(x, y)
+    x, y = secret_forest.labelled([(place(), "src/a.py") for _ in range(600)], lex, seed=99)
+    said = forest.probability(x) >= 0.5
+    assert (said & (y == 1)).sum() / said.sum() >= 0.93 and said[y == 1].mean() >= 0.93
+
+
 @needs_data
 def test_secrets_and_licences_of_the_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

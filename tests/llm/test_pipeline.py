@@ -41,3 +41,27 @@ def test_stages(spark):
     for i, r in out.items():
         clean = re.sub(r'(?<=token = ")[0-9a-f]{40}|(?<=password=)[0-9a-f]{18}|AKIA[0-9A-Z]{16}', "[SECRET]", texts[i])
         assert r["text"] == clean and r["n_chars"] == len(clean) and r["round_trip"] and r["n_tokens"] == len(r["ids"]) > 0
+
+
+def test_stages_keep_odd_rows_and_clashing_columns(spark):
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    same = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(1, same, "en", "s", 1), (1, "a text of its own that shares an id with another", "en", "s", 2), (None, "a text without an id that has some words", "en", None, 3), (None, same, "en", "s", 4), (2, same, None, "s", 5), (3, None, "fr", "s", 6), (4, "", None, None, 7), (5, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "en", "s", 8), (2, same, None, "s", 5), (6, "word " * 30_000, "en", "s", 9)]
+    docs = spark.createDataFrame([(*r[:4], None, r[4]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, mark long")
+    own = {"lang_pred": "x", "score": "x", "secrets": "x", "redacted": "x", "n_candidates": "x", "ids": "x", "n_tokens": "x", "round_trip": "x", "decoded": "x", "node": "x", "row": "x", "known": "x", "clean": "x", "shared": "x", "h1": "x", "d": "x"}
+    docs = docs.withColumns({k: F.lit(v) for k, v in own.items()})
+    left = docs
+    for name, stage in p.STAGES[:-1]:
+        left = stage(spark, left, SF)
+        assert left.columns == docs.columns, name
+        left = spark.createDataFrame(left.collect(), docs.schema)
+    got = {r["mark"]: r for r in left.collect()}
+    # 4 and 5 are copies of 1; texts without a letter are rejected
+    assert sorted(got) == [1, 2, 3, 8, 9] and all(r[k] == "x" for r in got.values() for k in own)
+    assert got[8]["text"] == 'token = "[SECRET]"' and got[8]["n_chars"] == 18 and got[1]["n_chars"] == len(same)
+    last = p.tokens(spark, left, SF)
+    assert last.columns == [*docs.columns, "ids_", "n_tokens_", "round_trip_"] and last.where("round_trip_ and ids = 'x'").count() == 5
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
