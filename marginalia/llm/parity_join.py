@@ -22,7 +22,7 @@ from .common import discard, staged
 from .components import components
 from .hashing import batches, byte_batch, mix, prefix_sums, span_hashes, words_in
 
-SKETCH = 16  # longs of 64 bits: 1024 bits tell sets of up to about 2,400 shingles apart, the wide sketches larger ones
+SKETCH = 10  # longs of 64 bits: 640 bits tell sets of up to about 1,500 shingles apart, the wide sketches larger ones
 BAND = 1.75  # about the fewest keys a document: a wider band has more blocks, a narrower one sends more documents to two
 SHARE = 20_000  # a block key with more than this part of all keys is dealt to several tasks; there can't be more such keys
 
@@ -127,7 +127,7 @@ def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
 def _parity(h: np.ndarray, own: np.ndarray, longs: np.ndarray) -> np.ndarray:
     """Bit sketches of longs[d] words of 64 bits for each text d, one after the other: a shingle flips one bit."""
     at = np.cumsum(longs) - longs
-    bit = mix(h + np.uint64(99)) & (np.uint64(64) * longs[own].astype(np.uint64) - np.uint64(1))
+    bit = mix(h + np.uint64(99)) % (np.uint64(64) * longs[own].astype(np.uint64))
     return _xor_by(at[own] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)), int(longs.sum()))
 
 
@@ -189,11 +189,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.where(F.col("common") * q >= (F.col("a_n") + F.col("b_n") - F.col("common")) * p).select("a", "b").distinct()
 
 
-def _shared_blocks(held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """held(key, node) of the keys that decide: nodes(node, spared) leave out as many of their most frequent shared keys as they may.
+def _shared_blocks(held: DataFrame) -> DataFrame:
+    """held(key, node) of the keys of several nodes.
 
-    Linked sets share more keys than either leaves out, and of those they share the rarest stays with both; sets with
-    no more shared keys than that link with nothing. So a passage in very many documents makes no pairs by itself.
     Keys that hold more than one SHARE-th of all rows, by a sixteenth of the nodes, are cut into parts by the node's
     hash, so that no task gets a hot block; which keys those are changes nothing but the load.
     """
@@ -203,12 +201,18 @@ def _shared_blocks(held: DataFrame, nodes: DataFrame) -> DataFrame:
     dealt = held.join(F.broadcast(hot), "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("parts")), F.lit(0)))
     own = Window.partitionBy("key", "part")
     shared = dealt.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where((F.col("lo") < F.col("hi")) | F.col("parts").isNotNull())
-    shared = staged(shared.select("key", "node").distinct(), "parity-shared")
+    return staged(shared.select("key", "node").distinct(), "parity-shared")
+
+
+def _deciding(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """shared(key, node) without the most frequent keys of each node, as many as nodes(node, spared) say.
+
+    Linked sets share more keys than either leaves out, and of those they share the rarest stays with both; sets with
+    no more shared keys than that link with nothing. So a passage in very many documents makes no pairs by itself.
+    """
     sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("size")), "key").join(nodes, "node")
     frequent = Window.partitionBy("node").orderBy(F.desc("size"), F.desc("key"))
-    left = staged(sized.withColumn("k", F.row_number().over(frequent)).where(F.col("k") > F.col("spared")).select("key", "node"), "parity-live")
-    discard(shared)
-    return left
+    return staged(sized.withColumn("k", F.row_number().over(frequent)).where(F.col("k") > F.col("spared")).select("key", "node"), "parity-live")
 
 
 def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
@@ -232,9 +236,11 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     sketches = staged(first.select(F.col("doc_id").alias("node"), "n", "spared", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)]), "parity-sketches")
     # rows that share a doc_id are one node: the least of what they spare holds for all
     spared = sketches.groupBy("node").agg(F.min("spared").alias("spared"))
-    live = _shared_blocks(first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")), spared)
-    sketches = sketches.drop("spared")
+    shared = _shared_blocks(first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")))
     discard(keyed)
+    live = _deciding(shared, spared)
+    discard(shared)
+    sketches = sketches.drop("spared")
     p, q = t.numerator, t.denominator
     far = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in bits), F.lit(0))
     close = (F.least("a.n", "b.n") * q >= F.greatest("a.n", "b.n") * p) & (far * (q + p) <= (F.col("a.n") + F.col("b.n")) * (q - p))
@@ -243,7 +249,7 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     votes = live.join(least, "key").where("node <> lo").groupBy("node", "lo").count().groupBy("node").agg(F.max_by("lo", F.struct("count", "lo")).alias("lo"))
     ends = votes.join(sketches.alias("b"), "node").join(sketches.withColumnRenamed("node", "lo").alias("a"), "lo")
     pairs = ends.where(close).select(F.col("lo").alias("a"), F.col("node").alias("b"))
-    links, groups, sized, done = None, None, None, 0
+    links, groups, sized, left, done = None, None, None, None, 0
     while True:
         pairs = staged(pairs, "parity-pairs")
         if not pairs.isEmpty():  # arrays of shingles are made for the documents of close pairs only
@@ -263,7 +269,9 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
         rows = sized.where(F.col("size") > done)
         rows = rows.withColumn("comp", F.col("node")) if groups is None else rows.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        left = staged(rows.join(mixed, "key", "left_semi").join(sketches, "node"), "parity-left")
+        before, left = (left if done else None), staged(rows.join(mixed, "key", "left_semi").join(sketches, "node"), "parity-left")
+        if before is not None:
+            discard(before)
         if left.isEmpty():
             break
         sized = left.select("key", "node", "size", "place")
