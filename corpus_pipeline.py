@@ -42,15 +42,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id with others or have none are judged by their own texts; they yield to near copies with a
     doc_id of their own. Of rows that are alike in doc_id and text the least one, by all columns, stays.
     """
-    row = _unused(docs, "row")
+    row, other, mark = (_unused(docs, n) for n in ("row", "row_id", "row_shared"))
     own, rest = F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 62)  # ids from 2**62 on: rows without a doc_id of their own
-    shared = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null or doc_id >= 1L << 62").select("doc_id", F.lit(True).alias("shared"))
+    shared = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null or doc_id >= 1L << 62").select(F.col("doc_id").alias(other), F.lit(True).alias(mark))
     if shared.isEmpty():
         known = docs.withColumn(row, F.col("doc_id"))
     else:
-        d, s = docs.alias("d"), staged(shared, "pipeline-shared").alias("s")
-        marked = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
-        known = marked.select("d.*", F.when(F.col("s.shared"), rest + F.pmod(own, rest)).otherwise(F.col("d.doc_id")).alias(row))
+        marked = docs.join(staged(shared, "pipeline-shared"), F.col("doc_id").eqNullSafe(F.col(other)), "left")
+        known = marked.withColumn(row, F.when(F.col(mark), rest + F.pmod(own, rest)).otherwise(F.col("doc_id"))).drop(other, mark)
     groups = parity_join.similar_groups(known.select(F.col(row).alias("doc_id"), "text"), 5, Fraction(4, 5))
     first = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(row)).count()
     stay = known.join(first.where("count = 1").select(row), row, "left_semi").select(docs.columns)

@@ -99,6 +99,9 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = 10) -> D
 def without_leaks(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of documents in whose own text no item window occurs. Columns of documents stay as they are."""
     bad = find_windows(documents, items, window).where("start is not null").select(*ROW).distinct()
-    d, b = documents.alias("d"), bad.alias("b")
-    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.h1")) & (F.xxhash64(F.lit(1), "d.text") == F.col("b.h2"))
-    return d.join(b, same, "left_anti")
+    name = "leak"
+    while any(c.startswith(name) for c in documents.columns):
+        name += "_"
+    bad = bad.select(*[F.col(c).alias(f"{name}{c}") for c in ROW])
+    same = F.col("doc_id").eqNullSafe(F.col(f"{name}doc_id")) & (F.xxhash64("text") == F.col(f"{name}h1")) & (F.xxhash64(F.lit(1), "text") == F.col(f"{name}h2"))
+    return documents.join(bad, same, "left_anti")
