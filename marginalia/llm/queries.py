@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from . import bloom_langid, decontam, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, secret_forest, string_kernel, suffix_dedup
+from . import bloom_langid, decontam, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, secret_forest, string_kernel, suffix_dedup, text_density
 from .common import table
 from .license_texts import TEMPLATES
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_jaccard_join": lambda s, d: parity_join.similar_groups(table(s, d, "documents"), 3, Fraction(9, 10)),
     "op9_secret_scan": lambda s, d: secret_forest.document_secrets(table(s, d, "documents")),
     "op10_piece_codec": lambda s, d: piece_codec.document_tokens(table(s, d, "documents")),
+    "op11_text_density": lambda s, d: text_density.page_texts(table(s, d, "pages")),
 }
 
 ORACLES: dict[str, str] = {}
@@ -62,3 +63,9 @@ hits AS (SELECT DISTINCT doc_id, k, i, s FROM ds JOIN (SELECT DISTINCT k, s FROM
 wins AS (SELECT a.doc_id, a.k, a.i, count(DISTINCT b.s) AS c FROM hits a JOIN tn USING (k) JOIN hits b ON b.doc_id = a.doc_id AND b.k = a.k AND b.i >= a.i AND b.i < a.i + tn.n GROUP BY ALL),
 found AS (SELECT doc_id, name, max(c)::DOUBLE / any_value(size) AS share FROM wins JOIN tn USING (k) GROUP BY doc_id, k, name HAVING max(c)::DOUBLE / any_value(size) >= 0.8)
 SELECT d.doc_id, count(f.name) AS n_matches, coalesce(string_agg(DISTINCT f.name, ',' ORDER BY f.name), '') AS licenses, coalesce(max(share), 0) AS best FROM d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id"""
+
+# the given pages mark their article as such, without markup inside its blocks but b and br
+ORACLES["op11_text_density"] = r"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's'), '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(p|h1)>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM a)
+SELECT page_id, url, array_to_string(parts, chr(10)) AS text, length(array_to_string(parts, chr(10)))::BIGINT AS n_chars FROM b"""
