@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from . import bloom_langid, decontam, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, secret_forest, string_kernel, suffix_dedup, text_density
+from . import bloom_langid, decontam, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, prefix_trie, secret_forest, string_kernel, suffix_dedup, text_density
 from .common import table
 from .license_texts import TEMPLATES
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op9_secret_scan": lambda s, d: secret_forest.document_secrets(table(s, d, "documents")),
     "op10_piece_codec": lambda s, d: piece_codec.document_tokens(table(s, d, "documents")),
     "op11_text_density": lambda s, d: text_density.page_texts(table(s, d, "pages")),
+    "op13_prefix_trie": lambda s, d: prefix_trie.conversation_trie(table(s, d, "conversations")),
 }
 
 ORACLES: dict[str, str] = {}
@@ -69,3 +70,17 @@ ORACLES["op11_text_density"] = r"""
 WITH a AS (SELECT page_id, url, string_split_regex(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's'), '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(p|h1)>') AS parts FROM pages),
 b AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM a)
 SELECT page_id, url, array_to_string(parts, chr(10)) AS text, length(array_to_string(parts, chr(10)))::BIGINT AS n_chars FROM b"""
+
+# crc32 bit by bit; a node is the list of its turns
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, ({_CRC} % 9)::BIGINT AS h FROM t),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.own[1 : h.h], []), h.own[h.h + 1 :]) AS turns FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, turns[1 : d] AS k, d = len(turns) AS ended FROM c, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)),
+n AS (SELECT k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends FROM p GROUP BY k, d),
+kids AS (SELECT k[1 : depth - 1] AS k, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+w AS (SELECT n.*, coalesce(kids.n, 0) AS n_children, CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(n.k[depth].t) ELSE 0 END AS saved FROM n LEFT JOIN kids USING (k)),
+s AS (SELECT k[1 : d] AS k, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM w, LATERAL (SELECT unnest(range(0, depth + 1)) AS d) GROUP BY 1)
+SELECT w.conv_id, w.depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN s USING (k) LEFT JOIN n up ON w.depth > 0 AND up.k = w.k[1 : w.depth - 1]"""

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["op5_license_scan", "op6_benchmark_leaks"])
+@pytest.mark.parametrize("name", ["op5_license_scan", "op6_benchmark_leaks", "op11_text_density", "op13_prefix_trie"])
 def test_oracle(spark, name):
     duck = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
