@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from . import bloom_langid, decontam, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, prefix_trie, secret_forest, string_kernel, suffix_dedup, text_density
+from . import bloom_langid, decontam, jump_shards, license_scan, parity_join, piece_codec, pq_neardup, prefix_trie, secret_forest, string_kernel, suffix_dedup, text_density, token_alignment
 from .common import table
 from .license_texts import TEMPLATES
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op9_secret_scan": lambda s, d: secret_forest.document_secrets(table(s, d, "documents")),
     "op10_piece_codec": lambda s, d: piece_codec.document_tokens(table(s, d, "documents")),
     "op11_text_density": lambda s, d: text_density.page_texts(table(s, d, "pages")),
+    "op12_token_alignment": lambda s, d: token_alignment.document_alignment(table(s, d, "documents")),
     "op13_prefix_trie": lambda s, d: prefix_trie.conversation_trie(table(s, d, "conversations")),
 }
 
