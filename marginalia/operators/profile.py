@@ -174,35 +174,3 @@ def split_spans(spans: DataFrame, most: int = 12) -> DataFrame:
     each = spans.select("doc_id", "heading", "start", "end", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).alias("part"))
     start = F.col("start") + F.col("part") * most
     return each.select("doc_id", "heading", "part", start.alias("start"), F.least("end", start + most - 1).alias("end"))
-
-
-def chosen_blocks(semantic: DataFrame, aware: DataFrame, mapped: DataFrame, structural: DataFrame, graph: DataFrame, windows: DataFrame, documents: DataFrame) -> DataFrame:
-    """The block rows of one strategy for each of documents(doc_id, pages, headings, chapters), with strategy.
-
-    Semantic ones from two on, else page-aware ones with two chapters; fewer than three yield to more from the chapter
-    map, then, with fewer than four headings, to more structural ones, and to structural ones where there are none; on more
-    than 28 pages with fewer than ten blocks to more from the heading graph; on more than 30 pages with fewer than ten to
-    page windows, if these are five at least, unless four headings made three blocks. All six have the same columns, doc_id among them.
-    """
-    named = {"semantic": semantic, "aware": aware, "mapped": mapped, "structural": structural, "graph": graph, "windows": windows}
-    d = documents
-    for name, df in named.items():
-        d = d.join(df.groupBy("doc_id").agg(F.count("*").alias(f"_{name}")), "doc_id", "left").withColumn(f"_{name}", F.coalesce(f"_{name}", F.lit(0)))
-    n = lambda name: F.col(f"_{name}")
-    way = F.when(n("semantic") >= 2, "semantic").when(F.col("chapters") >= 2, "aware").otherwise("none")
-    d = d.withColumns({"w": way})
-
-    def count(column: str = "w") -> Column:
-        return reduce(lambda c, k: c.when(F.col(column) == k, n(k)), named, F.when(F.lit(False), 0)).otherwise(0)
-
-    steps = [
-        ("mapped", lambda c: (c < 3) & (F.col("chapters") >= 2) & (n("mapped") > c)),
-        ("structural", lambda c: (c < 3) & (F.col("headings") < 4) & (n("structural") > c)),
-        ("structural", lambda c: c == 0),
-        ("graph", lambda c: (F.col("pages") > 28) & (c < 10) & (F.col("headings") >= 4) & (n("semantic") < 2) & (n("graph") > c)),
-        ("windows", lambda c: ~((F.col("headings") >= 4) & (c >= 3)) & (F.col("pages") > 30) & (c < 10) & (n("windows") >= 5)),
-    ]
-    for name, holds in steps:
-        d = d.withColumn("w", F.when(holds(count()), name).otherwise(F.col("w")))
-    every = reduce(DataFrame.unionByName, [df.withColumn("strategy", F.lit(name)) for name, df in named.items()])
-    return every.join(d.select("doc_id", F.col("w").alias("strategy")), ["doc_id", "strategy"], "left_semi")

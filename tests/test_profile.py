@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import lines, profile, structure
+from marginalia.operators import blocks, lines, profile, structure
 
 
 def table(spark, *texts, per_page=8):
@@ -72,5 +72,5 @@ def test_spans_and_block_choice(spark):
     assert [(r["start"], r["end"]) for r in profile.split_spans(long_).where("heading = 'A'").orderBy("part").collect()] == [(3, 14), (15, 26), (27, 30)]
     rows = lambda *counts: spark.createDataFrame([(d, f"h{k}") for d, n in enumerate(counts) for k in range(n)], "doc_id long, heading string")
     docs = spark.createDataFrame([(0, 5, 9, 0), (1, 5, 9, 3), (2, 5, 1, 0), (3, 40, 9, 0), (4, 60, 0, 0)], "doc_id long, pages int, headings int, chapters int")
-    chosen = profile.chosen_blocks(rows(2, 0, 0, 1, 0), rows(0, 1, 0, 0, 0), rows(0, 4, 0, 0, 0), rows(0, 0, 3, 1, 0), rows(9, 0, 0, 6, 0), rows(0, 0, 0, 5, 5), docs)
+    chosen = blocks.chosen_blocks(rows(2, 0, 0, 1, 0), rows(0, 1, 0, 0, 0), rows(0, 4, 0, 0, 0), rows(0, 0, 3, 1, 0), rows(9, 0, 0, 6, 0), rows(0, 0, 0, 5, 5), docs)
     assert {(r["doc_id"], r["strategy"]) for r in chosen.collect()} == {(0, "semantic"), (1, "mapped"), (2, "structural"), (3, "graph"), (4, "windows")}
