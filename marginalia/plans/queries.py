@@ -475,4 +475,4 @@ def over_long(spark, d):
     return _docs(spark, d).select("doc_id", w.alias("n_words"), F.length("text").cast("long").alias("n")).where("n_words > 1200 or n > 95000")
 
 
-from marginalia.plans import course_queries  # noqa: E402, F401  registers more of them
+from marginalia.plans import course_queries, structure_queries  # noqa: E402, F401  register more of them
