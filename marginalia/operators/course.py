@@ -191,7 +191,8 @@ def question_patterns(lines: DataFrame, start: str = QUESTION_START, styles: lis
 
 def first_page_of(pages: DataFrame, terms: list[str]) -> DataFrame:
     """The first page (doc_id, page) in order that holds any of the terms."""
-    return with_names(pages, terms).where(F.size("held") > 0).agg(F.min(F.struct("doc_id", "page")).alias("p")).where("p is not null").select("p.doc_id", "p.page")
+    held = with_names(pages, terms).select("doc_id", "page", F.explode_outer("held").alias("name")).where("name is not null")
+    return held.agg(F.min(F.struct("doc_id", "page")).alias("p")).where("p is not null").select("p.doc_id", "p.page")
 
 
 def missing_seeds(seeds: DataFrame, items: DataFrame) -> DataFrame:

@@ -34,15 +34,57 @@ def with_pairs(sentences: DataFrame) -> DataFrame:
     return sides.withColumn("pairs", F.when(F.size("_l") > 1, F.transform(F.sequence(F.lit(0), F.size("_l") - 2), pair)))
 
 
-def topic_evidence(sentences: DataFrame, topics: list[str], most: int = 5) -> DataFrame:
+def _first_sentences(hits: DataFrame, most: int) -> DataFrame:
+    """doc_id, role, phrase, sentence_index, sentence of hits: the first most of each document and phrase, each once."""
+    first = F.slice(F.array_sort(F.collect_set(F.struct("sentence_index", "sentence"))), 1, most)
+    return hits.groupBy("doc_id", "role", "phrase").agg(first.alias("s")).select("doc_id", "role", "phrase", F.explode("s").alias("s")).select("doc_id", "role", "phrase", "s.sentence_index", "s.sentence")
+
+
+def topic_evidence(sentences: DataFrame, topics: DataFrame, most: int = 5) -> DataFrame:
     """doc_id, role, phrase, sentence_index, sentence: the first most sentences of each document that hold a topic's two words.
 
-    The topics, a bounded list, are part of the plan, so only sentences that hold one become rows.
+    topics(phrase) is joined, whatever its size. The pairs are made once for each sentence: they go through an outer explode, as
+    a filter on an array would be pushed below it and have its expressions computed for each element.
+    """
+    pair = with_pairs(sentences).select("doc_id", "role", "sentence_index", "sentence", F.explode_outer(F.array_distinct("pairs")).alias("phrase"))
+    return _first_sentences(pair.join(topics.select("phrase").distinct(), "phrase"), most)
+
+
+def phrase_key(text: Column) -> Column:
+    """text in lower case with single spaces; characters beyond ASCII as |, so that word borders are ASCII's."""
+    return X.ascii_fold(F.lower(X.collapse(text)))
+
+
+def phrases_held(rows: DataFrame, text: str, aliases: DataFrame, *keep: str) -> DataFrame:
+    """keep and phrase, once for each alias that the column text holds as whole words, in any case.
+
+    aliases(phrase, alias), of any number of words: the texts emit their runs of as many words as aliases have, and these
+    are joined to the aliases; only the numbers of words in use (one short row) go to all tasks. An alias without letters or
+    digits is held by nothing.
     """
-    held = with_pairs(sentences).select("doc_id", "role", "sentence_index", "sentence", "_l", "_r", F.array_intersect("pairs", literals(topics)).alias("held")).where(F.size("held") > 0)
-    hit = held.select("doc_id", "role", "sentence_index", "sentence", F.explode_outer("held").alias("phrase"))
-    order = Window.partitionBy("doc_id", "phrase").orderBy("sentence_index")
-    return hit.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
+    word, run = "[A-Za-z0-9_]+", F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+")
+    bare = F.regexp_replace(phrase_key(F.col("alias")), "^[^a-z0-9_]+|[^a-z0-9_]+$", "")
+    known = aliases.select("phrase", bare.alias("_alias")).where("_alias <> ''").distinct()
+    lengths = known.agg(F.coalesce(F.array_sort(F.collect_set(X.count_of(F.col("_alias"), word).cast("int"))), F.array().cast("array<int>")).alias("_lengths"))
+    # each array goes through an outer explode of its own, so that it is computed once for each row
+    parts = rows.select(*keep, F.explode_outer(F.array(F.regexp_extract_all(phrase_key(F.col(text)), run, F.lit(0)))).alias("_parts")).crossJoin(F.broadcast(lengths))
+    at = parts.select(*keep, "_parts", "_lengths", F.explode_outer(F.array(F.filter(F.sequence(F.lit(1), F.greatest(F.size("_parts"), F.lit(1))), lambda i: F.coalesce(F.get(F.col("_parts"), i - 1), F.lit("")).rlike("^[a-z0-9_]")))).alias("_at"))
+    runs = F.flatten(F.transform("_at", lambda i: F.transform("_lengths", lambda n: F.array_join(F.slice(F.col("_parts"), i, 2 * n - 1), ""))))
+    each = at.select(*keep, F.explode_outer(F.array_distinct(runs)).alias("_alias"))
+    return each.join(known, "_alias").drop("_alias")
+
+
+def alias_evidence(sentences: DataFrame, aliases: DataFrame, most: int = 5) -> DataFrame:
+    """doc_id, role, phrase, sentence_index, sentence: the first most sentences of each document that hold one of a topic's aliases(phrase, alias)."""
+    return _first_sentences(phrases_held(sentences, "sentence", aliases, "doc_id", "role", "sentence_index", "sentence"), most)
+
+
+def topic_sections(sections: DataFrame, aliases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """phrase, numbers: those of sections(doc_id, number, text) that hold an alias, of documents with evidence for the topic."""
+    numbered = sections.where("number is not null and number <> ''")
+    held = phrases_held(numbered, "text", aliases, "doc_id", "number")
+    seen = evidence.select("doc_id", "phrase").distinct()
+    return held.join(seen, ["doc_id", "phrase"], "left_semi").groupBy("phrase").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
 
 
 def priority_label(weight: Column, assessed: Column) -> Column:

@@ -88,7 +88,7 @@ def bigram_topics(spark, d):
 
 def _evidence(spark, d) -> DataFrame:
     topics = bigram_topics(spark, d).orderBy(F.desc("hits"), "phrase").select("phrase").limit(80)
-    return priority.topic_evidence(lines.sentences(_roled(spark, d), keep=("role",)), priority.bounded(topics))
+    return priority.topic_evidence(lines.sentences(_roled(spark, d), keep=("role",)), topics)
 
 
 @query(f"WITH {EVIDENCE}, w AS (SELECT phrase, sum({WEIGHT})::BIGINT AS weight, count(*) AS sentences, count(DISTINCT doc_id) AS documents, bool_or(role IN ('past_paper', 'exam_guidance')) AS assessed FROM evidence GROUP BY 1) SELECT phrase, weight, sentences, documents, CASE WHEN weight >= 16 AND assessed THEN 'very_high' WHEN weight >= 10 OR (assessed AND weight >= 6) THEN 'high' WHEN weight >= 4 THEN 'medium' ELSE 'low' END AS label FROM w")
@@ -439,7 +439,7 @@ def merged_priorities(spark, d):
 def assessed_coverage(spark, d):
     e = _evidence(spark, d).where(F.col("role").isin("past_paper", "problem_sheet", "exam_guidance"))
     topics = bigram_topics(spark, d).orderBy(F.desc("hits"), "phrase").limit(80).select(F.col("phrase").alias("topic"))
-    return topics.join(e, F.col("topic") == F.col("phrase"), "left").agg(F.count_distinct("topic").alias("topics"), F.count_distinct("phrase").alias("assessed"), F.count_distinct("role").alias("roles"))
+    return topics.join(e.select("phrase", "role").distinct(), F.col("topic") == F.col("phrase"), "left").agg(F.count_distinct("topic").alias("topics"), F.count_distinct("phrase").alias("assessed"), F.count_distinct("role").alias("roles"))
 
 
 @query(f"WITH {REVIEWS} SELECT item_id, event_id, rating, k AS newest FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, event_id DESC) AS k FROM reviews)")

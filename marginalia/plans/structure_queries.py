@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators import blocks, lines
-from marginalia.plans.queries import COLLAPSE, LINES, _docs, query
+from marginalia.functions import text as X
+from marginalia.operators import blocks, lines, priority
+from marginalia.plans.queries import COLLAPSE, FOLD, LINES, SENTENCES, WEIGHT, _docs, _roled, query
 
 HEADED = f"""{LINES}, paged AS (SELECT doc_id, line_index, line_index // 3 + 1 AS page, line FROM lines WHERE line IS NOT NULL),
 heads AS (SELECT *, 1 + length(line) % 5 AS level, CASE length(line) % 5 WHEN 0 THEN 'chapter' WHEN 3 THEN CASE WHEN length(line) % 2 = 0 THEN 'theorem' ELSE 'definition' END WHEN 4 THEN 'proof' ELSE 'section' END AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS position FROM paged WHERE length(line) BETWEEN 4 AND 58),
@@ -136,3 +137,28 @@ def block_strategy(spark, d):
     built = [blocks.heading_blocks(paged, heads), blocks.page_aware_blocks(paged, heads, chapters), blocks.chapter_blocks(paged, chapters), blocks.heading_blocks(paged, heads, 12, blocks.BUDGET), blocks.heading_blocks(paged, heads, 10), blocks.window_blocks(paged)]
     got = blocks.chosen_blocks(*[b.select("doc_id", "heading", "level", "start", "end", "text") for b in built], numbers)
     return got.groupBy("doc_id", "strategy").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+TRIGRAMS = rf"""grams AS (SELECT m AS alias, count(*) AS hits FROM (SELECT unnest(regexp_extract_all({FOLD("lower(text)")}, '\b[a-z]{{4,}} [a-z]{{4,}} [a-z]{{4,}}\b')) AS m FROM documents) GROUP BY 1 HAVING count(*) >= 3),
+ aliases AS (SELECT regexp_extract(alias, '^([a-z]+)', 1) AS phrase, alias FROM (SELECT * FROM grams ORDER BY hits DESC, alias LIMIT 60))"""
+
+
+def _aliases(spark, d) -> DataFrame:
+    """Topics named by the first word of frequent runs of three words, which are their aliases."""
+    found = _docs(spark, d).select(F.explode_outer(F.regexp_extract_all(X.ascii_fold(F.lower("text")), F.lit(r"\b[a-z]{4,} [a-z]{4,} [a-z]{4,}\b"), F.lit(0))).alias("alias")).where("alias is not null")
+    top = found.groupBy("alias").agg(F.count("*").alias("hits")).where("hits >= 3").orderBy(F.desc("hits"), "alias").limit(60)
+    return top.select(F.regexp_extract("alias", "^([a-z]+)", 1).alias("phrase"), "alias")
+
+
+@query(rf"""WITH {SENTENCES}, {TRIGRAMS}, hit AS (SELECT DISTINCT doc_id, role, phrase, sentence_index FROM sentences, aliases WHERE regexp_matches({FOLD("lower(sentence)")}, '\b' || alias || '\b')),
+ first AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, phrase ORDER BY sentence_index) <= 5),
+ {LINES}, sections AS (SELECT DISTINCT phrase, doc_id, (line_index + 1)::VARCHAR AS number FROM lines, aliases WHERE regexp_matches({FOLD("lower(" + COLLAPSE("line") + ")")}, '\b' || alias || '\b')),
+ numbers AS (SELECT phrase, string_agg(number, ',' ORDER BY number) AS numbers FROM (SELECT DISTINCT phrase, number FROM sections WHERE (doc_id, phrase) IN (SELECT (doc_id, phrase) FROM first)) GROUP BY 1)
+SELECT phrase, sum({WEIGHT})::BIGINT AS weight, count(*) AS sentences, count(DISTINCT doc_id) AS documents, coalesce(any_value(numbers), '') AS sections FROM first LEFT JOIN numbers USING (phrase) GROUP BY 1""")
+def topic_aliases(spark, d):
+    """Evidence for topics by aliases of three words, with the numbers of the sections (here: lines) that hold one."""
+    aliases = _aliases(spark, d)
+    found = priority.alias_evidence(lines.sentences(_roled(spark, d), keep=("role",)), aliases)
+    sections = lines.lines(_docs(spark, d)).select("doc_id", (F.col("line_index") + 1).cast("string").alias("number"), F.col("line").alias("text"))
+    got = priority.topic_priorities(found).join(priority.topic_sections(sections, aliases, found), "phrase", "left")
+    return got.select("phrase", "weight", "sentences", "documents", F.coalesce(F.array_join("numbers", ","), F.lit("")).alias("sections"))
