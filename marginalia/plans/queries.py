@@ -395,12 +395,12 @@ def role_union(spark, d):
     return _roled(spark, d).groupBy("role").agg(F.count("*").alias("documents"), F.sum(X.role_weight(F.col("role"))).alias("weight"))
 
 
-@query()
+@query(f"SELECT doc_id AS item_id, json_merge_patch('{{}}', to_json({{'item_id': doc_id, 'kind': {KIND}, 'grade': CASE WHEN length(text) = 0 OR text IS NULL THEN 'failed' WHEN length(text) < 250 THEN 'low' WHEN length(text) < 1500 THEN 'medium' ELSE 'high' END, 'lang': lang, 'quality': quality}}))::VARCHAR AS json FROM documents LEFT JOIN labels USING (doc_id)")
 def export_json(spark, d):
     return files.as_json(_items(spark, d).select("item_id", "kind", "grade", "lang", "quality"), "item_id")
 
 
-@query()
+@query(f"WITH {STATE} SELECT item_id, rating, reviews, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, strftime(due_ts, '%Y-%m-%d %H:%M:%S') AS due_ts FROM state")
 def review_state_stream(spark, d):
     """The streaming state over the event table as a stream; equal to srs_state, see the tests."""
     from marginalia.streaming import review_state
@@ -409,7 +409,7 @@ def review_state_stream(spark, d):
     name = f"review_state_{uuid.uuid4().hex}"
     source = _t(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    return review_state.run_to_files(review_state.live_state(stream), f"{own}/{name}-state", f"{own}/{name}")
+    return _plain(review_state.run_to_files(review_state.live_state(stream), f"{own}/{name}-state", f"{own}/{name}"), "last_ts", "due_ts")
 
 
 FLAGS = ["paper", "sheet", "guidance", "solutions"]

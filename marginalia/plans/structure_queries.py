@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import blocks, lines, priority
-from marginalia.plans.queries import COLLAPSE, FOLD, LINES, SENTENCES, WEIGHT, _docs, _roled, query
+from marginalia.operators import blocks, lines, priority, similarity
+from marginalia.plans.queries import COLLAPSE, FOLD, KIND, LINES, NORMAL, PAGES, SENTENCES, WEIGHT, _docs, _items, _pages, _roled, _t, query
+from marginalia.sources import files
 
 HEADED = f"""{LINES}, paged AS (SELECT doc_id, line_index, line_index // 3 + 1 AS page, line FROM lines WHERE line IS NOT NULL),
 heads AS (SELECT *, 1 + length(line) % 5 AS level, CASE length(line) % 5 WHEN 0 THEN 'chapter' WHEN 3 THEN CASE WHEN length(line) % 2 = 0 THEN 'theorem' ELSE 'definition' END WHEN 4 THEN 'proof' ELSE 'section' END AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS position FROM paged WHERE length(line) BETWEEN 4 AND 58),
@@ -162,3 +163,43 @@ def topic_aliases(spark, d):
     sections = lines.lines(_docs(spark, d)).select("doc_id", (F.col("line_index") + 1).cast("string").alias("number"), F.col("line").alias("text"))
     got = priority.topic_priorities(found).join(priority.topic_sections(sections, aliases, found), "phrase", "left")
     return got.select("phrase", "weight", "sentences", "documents", F.coalesce(F.array_join("numbers", ","), F.lit("")).alias("sections"))
+
+
+@query(f"""WITH raw AS (SELECT 'd' || doc_id AS id, {KIND} AS type, regexp_extract(text, '[0-9]{{4}}') AS number, substring({NORMAL("text")}, 1, 30) AS title, text AS statement, length(text) % 7 AS score FROM documents
+ UNION ALL SELECT 'b' || item_id, 'benchmark', '', '', text, length(text) % 5 FROM benchmark),
+i AS (SELECT id, score, nullif(number, '') AS number, type, nullif({NORMAL("title")}, '') AS title, nullif({NORMAL("statement")}, '') AS c, list_sort(list_distinct(string_split({NORMAL("statement")}, ' '))) AS w, -score AS r FROM raw),
+classes AS (SELECT c, any_value(w) AS w, min((r, id)) AS best FROM i WHERE c IS NOT NULL GROUP BY c), ids AS (SELECT *, row_number() OVER () AS n FROM classes),
+held AS (SELECT a.n AS a, b.n AS b FROM ids a JOIN ids b ON a.n <> b.n AND length(a.c) < length(b.c) AND contains(b.c, a.c)),
+words AS (SELECT n, len(w) AS size, unnest(w) AS t FROM ids), common AS (SELECT a.n AS a, b.n AS b, count(*) AS k, any_value(a.size) AS x, any_value(b.size) AS y FROM words a JOIN words b ON a.t = b.t AND a.n < b.n AND least(a.size, b.size) > 0.88 * greatest(a.size, b.size) GROUP BY ALL),
+near AS (SELECT a, b FROM common WHERE k::DOUBLE / (x + y - k) > 0.88),
+linked AS (SELECT a AS n, b AS m, 2 AS k FROM held UNION ALL SELECT b, a, 2 FROM held UNION ALL SELECT n, n, 2 FROM ids UNION ALL SELECT a, b, 3 FROM near UNION ALL SELECT b, a, 3 FROM near),
+found AS (SELECT i.id, i.r, ids.best AS o, 2 AS k FROM i JOIN ids x ON x.c = i.c JOIN linked l ON l.n = x.n AND l.k = 2 JOIN ids ON ids.n = l.m UNION ALL SELECT i.id, i.r, ids.best, 3 FROM i JOIN ids x ON x.c = i.c JOIN linked l ON l.n = x.n AND l.k = 3 JOIN ids ON ids.n = l.m
+ UNION ALL SELECT i.id, i.r, (SELECT min((r, id)) FROM i j WHERE j.type = i.type AND j.number = i.number), 0 FROM i WHERE number IS NOT NULL UNION ALL SELECT i.id, i.r, (SELECT min((r, id)) FROM i j WHERE j.title = i.title), 1 FROM i WHERE title IS NOT NULL),
+best AS (SELECT id, min((o, k)) AS f FROM found WHERE o < (r, id) GROUP BY 1)
+SELECT i.id, f[1][2] AS duplicate_of, CASE f[2] WHEN 0 THEN 'number' WHEN 1 THEN 'title' WHEN 2 THEN 'containment' WHEN 3 THEN 'similarity' END AS duplicate_reason FROM i LEFT JOIN best USING (id)""")
+def dup_items(spark, d):
+    """Documents and benchmark items that yield to a better row of the same number, title or statement; here a document's number is its first of four digits, its title its beginning."""
+    text = F.col("text")
+    docs = _items(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("kind").alias("type"), F.regexp_extract(text, "[0-9]{4}", 0).alias("number"), F.substring(X.key_text(text), 1, 30).alias("title"), text.alias("statement"), (F.length(text) % 7).alias("score"))
+    asked = _t(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.lit("benchmark").alias("type"), F.lit("").alias("number"), F.lit("").alias("title"), text.alias("statement"), (F.length(text) % 5).alias("score"))
+    return similarity.without_duplicates(docs.unionByName(asked)).select("id", "duplicate_of", "duplicate_reason")
+
+
+@query(f"""WITH {PAGES}, c AS (SELECT doc_id, (page - 1) // 2 AS k, min(page)::INT AS a, max(page)::INT AS b, sum(chars)::BIGINT AS chars, list(regexp_extract(text, '^[^\\n]*') ORDER BY page) FILTER (regexp_matches(text, '^[A-Za-z ]{{4,58}}[.](\\n|$)')) AS headings FROM pages GROUP BY ALL),
+stats AS (SELECT doc_id, list({{'chunkId': 'chunk-' || k, 'pages': [a, b], 'chars': chars, 'estimatedTokens': ceil(chars / 4)::BIGINT, 'headings': coalesce(headings, [])}} ORDER BY a) AS s FROM c GROUP BY 1),
+i AS (SELECT doc_id, {KIND} AS kind, CASE WHEN length(text) >= 1500 THEN 'kept' WHEN length(text) >= 250 THEN 'needs_review' ELSE 'rejected' END AS status, length(text) < 250 AS short, text IS NULL AS missing FROM documents)
+SELECT i.doc_id AS job_id, to_json({{'jobId': i.doc_id, 'mode': CASE WHEN short THEN 'fast' ELSE 'standard' END, 'file': {{'name': 'document ' || i.doc_id, 'role': kind}}, 'chunkStats': coalesce(s, []), 'resultCounts': {{'items': (status = 'kept')::BIGINT, 'needsReviewItems': (status = 'needs_review')::BIGINT, 'rejectedItems': (status = 'rejected')::BIGINT,
+ 'definitions': (status = 'kept' AND kind = 'definition')::BIGINT, 'formulas': (status = 'kept' AND kind = 'formula')::BIGINT, 'proofs': (status = 'kept' AND kind = 'proof')::BIGINT, 'methods': 0::BIGINT}}, 'warnings': CASE WHEN short THEN ['short text'] ELSE [] END}})::VARCHAR AS json FROM i LEFT JOIN stats USING (doc_id)""")
+def debug_documents(spark, d):
+    """One JSON a document: its windows of two pages with their headings, its item and its warnings."""
+    docs, n = _items(spark, d), F.length("text")
+    mode, file = F.when(n < 250, "fast").otherwise("standard"), F.struct(F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("name"), F.col("kind").alias("role"))
+    jobs = docs.select(F.col("doc_id").alias("job_id"), mode.alias("mode"), file.alias("file"))
+    pages = _pages(spark, d).select(F.col("doc_id").alias("job_id"), "page", "text", F.length("text").alias("chars"), F.concat(F.lit("chunk-"), F.floor((F.col("page") - 1) / 2).cast("string")).alias("chunk_id"))
+    size = F.sum("chars").cast("long")
+    chunks = pages.groupBy("job_id", "chunk_id").agg(F.min("page").cast("int").alias("first_page"), F.max("page").cast("int").alias("last_page"), size.alias("chars"), F.ceil(size / 4).cast("long").alias("tokens"))
+    headings = pages.where(F.col("text").rlike(r"^[A-Za-z ]{4,58}[.](\n|$)")).select("job_id", "chunk_id", F.col("page").alias("position"), F.regexp_extract("text", r"^[^\n]*", 0).alias("heading"))
+    status = F.when(n >= 1500, "kept").when(n >= 250, "needs_review").otherwise("rejected")
+    items = docs.select(F.col("doc_id").alias("job_id"), status.alias("status"), "kind")
+    warnings = docs.where(n < 250).select(F.col("doc_id").alias("job_id"), F.lit("short text").alias("warning"))
+    return files.debug_documents(jobs, chunks, items, warnings, headings)
