@@ -31,7 +31,7 @@ EXAMPLE = re.compile(r"(?i)(example|sample|dummy|placeholder|changeme|your[_\-]|
 IDENTIFIER = re.compile(r"(?i)(commit|checksum|sha-?\d*|md5|digest|uuid|revision|version|etag|build|hash|isbn|serial|order|ticket|phone|tel|card)")
 KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|AIza[0-9A-Za-z_\-]{35}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk-[A-Za-z0-9_\-]{20,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*|-----BEGIN [A-Z ]*PRIVATE KEY-----.*)$", re.S)
 #: Candidates: key blocks, values given to a credential's name, and runs of characters of keys.
-BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,10000}?-----END [A-Z ]{0,30}PRIVATE KEY-----")
+BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,}?-----END [A-Z ]{0,30}PRIVATE KEY-----")
 GIVEN = re.compile(rf"(?i)(?:{CREDENTIALS})[\w\-.]{{0,24}}[\"']?\s{{0,3}}(?::=|=>|[=:])\s{{0,3}}[\"'`]?([^\s\"'`<>;,]{{8,}})")
 SHAPE = re.compile(r"[A-Za-z0-9_\-+/=.@:~%$#]{8,}")
 INSIDE = re.compile(r"^([A-Za-z][\w\-.]{1,40}?)[=:](?=[^=/])")
@@ -172,7 +172,9 @@ class Forest:
                 loss = (cut + 1) * left * (1 - left) + (len(y) - cut - 1) * right * (1 - right)
                 k = loss.argmin()
                 if best is None or loss[k] < best[0]:
-                    best = (loss[k], f, (v[cut[k]] + v[cut[k] + 1]) / 2)
+                    low, high = v[cut[k]], v[cut[k] + 1]
+                    middle = low + (high - low) / 2
+                    best = (loss[k], f, middle if middle < high else low)  # between neighbouring doubles there is none
         if best is None:
             return p
         go = x[:, best[1]] <= best[2]
