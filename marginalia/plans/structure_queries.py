@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import blocks, lines, priority, similarity
+from marginalia.operators import blocks, lines, priority, rewriting, similarity
 from marginalia.plans.queries import COLLAPSE, FOLD, KIND, LINES, NORMAL, PAGES, SENTENCES, WEIGHT, _docs, _items, _pages, _roled, _t, query
 from marginalia.sources import files
 
@@ -203,3 +203,26 @@ def debug_documents(spark, d):
     items = docs.select(F.col("doc_id").alias("job_id"), status.alias("status"), "kind")
     warnings = docs.where(n < 250).select(F.col("doc_id").alias("job_id"), F.lit("short text").alias("warning"))
     return files.debug_documents(jobs, chunks, items, warnings, headings)
+
+
+# stand-ins: later rules meet what earlier ones left, two belong to a language as their profile
+REWRITES = [("marks", None, "&&&|%%%", "#"), ("sharps", None, "#+", " "), ("spaces", None, " {2,}", " "), ("the", "en", "\\bthe ([a-z]+)", "$1 the"), ("que", "fr", "\\bque\\b", "qui"), ("ing", None, "([a-z]+)ing\\b", "$1ed"), ("thed", None, "ted the", "tthe")]
+
+
+def _rewrite_sql() -> str:
+    steps, t = [], "r0"
+    for k, (name, of, pattern, new) in enumerate(REWRITES):
+        fits = "true" if of is None else f"lang = '{of}'"
+        new = new.replace("$1", "\\1")
+        steps.append(f"r{k + 1} AS (SELECT doc_id, lang, CASE WHEN {fits} THEN regexp_replace(t, '{pattern}', '{new}', 'g') ELSE t END AS t, list_append(hits, {{'rule': '{name}', 'hits': CASE WHEN {fits} THEN len(regexp_extract_all(t, '{pattern}')) ELSE 0 END}}) AS hits FROM {t})")
+        t = f"r{k + 1}"
+    return "WITH r0 AS (SELECT doc_id, lang, regexp_replace(text, '[^\\x00-\\x7F]', '|', 'g') AS t, CAST([] AS STRUCT(rule VARCHAR, hits BIGINT)[]) AS hits FROM documents), " + ", ".join(steps) + f" SELECT doc_id, md5(t) AS text_md5, h.rule AS rule, h.hits::BIGINT AS hits FROM (SELECT doc_id, t, unnest(hits) AS h FROM {t}) WHERE h.hits > 0"
+
+
+@query(_rewrite_sql())
+def rewrite_hits(spark, d):
+    """Hits of each rule in each document, and the text that the rules leave."""
+    rules = rewriting.rules_table(spark, [(k, name, of, pattern, new, False) for k, (name, of, pattern, new) in enumerate(REWRITES)])
+    docs = _docs(spark, d).select("doc_id", X.ascii_fold(F.col("text")).alias("text"), "lang")
+    done = rewriting.rewritten(docs, rules, profile="lang")
+    return done.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.explode_outer("hits").alias("h")).where("h is not null").select("doc_id", "text_md5", "h.rule", F.col("h.hits").cast("long").alias("hits"))
