@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import blocks, lines, priority, rewriting, similarity
-from marginalia.plans.queries import COLLAPSE, FOLD, KIND, LINES, NORMAL, PAGES, SENTENCES, WEIGHT, _docs, _items, _pages, _roled, _t, query
+from marginalia.operators import blocks, lines, priority, rewriting, similarity, topics
+from marginalia.plans.queries import BIGRAMS, COLLAPSE, FOLD, KIND, LINES, NORMAL, PAGES, SENTENCES, WEIGHT, _docs, _items, _pages, _roled, _t, bigram_topics, query
 from marginalia.sources import files
 
 HEADED = f"""{LINES}, paged AS (SELECT doc_id, line_index, line_index // 3 + 1 AS page, line FROM lines WHERE line IS NOT NULL),
@@ -226,3 +226,70 @@ def rewrite_hits(spark, d):
     docs = _docs(spark, d).select("doc_id", X.ascii_fold(F.col("text")).alias("text"), "lang")
     done = rewriting.rewritten(docs, rules, profile="lang")
     return done.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.explode_outer("hits").alias("h")).where("h is not null").select("doc_id", "text_md5", "h.rule", F.col("h.hits").cast("long").alias("hits"))
+
+
+FITS = lambda c: f"length({c}) BETWEEN 5 AND 72 AND {c} NOT IN ({', '.join(repr(x) for x in topics.STOP_PHRASES)}) AND (len(regexp_extract_all({c}, '\\S+')) <= 5 OR regexp_matches({c}, '[=∫∑]')) AND NOT regexp_matches({c}, '" + "|".join(p.replace("(?i)", "") for p in topics.NO_TOPIC) + "')"
+BARE = lambda c: f"trim(regexp_replace({COLLAPSE(c)}, '^[0-9.)\\s]+', ''), ' ')"
+
+
+@query(f"""WITH {HEADED}, titles AS (SELECT DISTINCT doc_id, trim(line, ' ') AS line FROM heads WHERE length(trim(line, ' ')) > 2), bare AS (SELECT doc_id, {BARE("line")} AS b FROM titles),
+named AS (SELECT doc_id, lower(CASE WHEN len(w) > 5 THEN array_to_string(w[1:5], ' ') ELSE b END) AS topic, 2 AS w FROM (SELECT doc_id, b, list_filter(string_split_regex(b, '\\s+'), lambda x: length(x) > 1) AS w FROM bare) WHERE length(b) BETWEEN 4 AND 70),
+pairs AS (SELECT doc_id, regexp_replace(m, '\\s+', ' ', 'g') AS topic, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({FOLD("lower(substring(text, 1, 220000))")}, '\\b([a-z][a-z-]{{3,}})\\s+([a-z][a-z-]{{3,}})\\b')) AS m FROM documents) GROUP BY ALL),
+both_ AS (SELECT doc_id, topic, w FROM named UNION ALL SELECT doc_id, topic, 1 FROM pairs WHERE n >= 5 AND topic NOT IN ({", ".join(repr(x) for x in topics.STOP_PAIRS)})),
+top AS (SELECT * FROM (SELECT doc_id, topic, sum(w)::BIGINT AS weight FROM both_ WHERE {FITS("topic")} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, length(topic) DESC, topic) <= 80),
+h AS (SELECT doc_id, page, lower({BARE("line")}) AS n, lower({COLLAPSE("line")}) AS f FROM heads), j AS (SELECT t.*, h.page, h.n IS NOT NULL AND length(n) >= 4 AND (contains(n, topic) OR contains(topic, substring(n, 1, 24))) AS names, coalesce(contains(f, substring(topic, 1, 16)), false) AS held FROM top t LEFT JOIN h USING (doc_id)),
+g AS (SELECT doc_id, topic, any_value(weight) AS weight, count(DISTINCT page) FILTER (names) AS n, coalesce(string_agg(DISTINCT page::VARCHAR, ',' ORDER BY page::VARCHAR) FILTER (names), '') AS pages, count(*) FILTER (held) AS w FROM j GROUP BY ALL)
+SELECT doc_id, topic, weight, pages, round(CASE WHEN n > 0 THEN c ELSE least(c, 0.36) END, 4) AS confidence FROM (SELECT *, least(0.95::DOUBLE, 0.42::DOUBLE + 0.07::DOUBLE * least(5, w) + CASE WHEN n > 1 THEN 0.06::DOUBLE ELSE 0 END) AS c FROM g)""")
+def document_topics(spark, d):
+    """Each document's topics with the pages of the headings that name them."""
+    docs = _docs(spark, d).select("doc_id", X.ascii_fold(F.lower("text")).alias("text"))
+    heads = _heads(_paged(spark, d))
+    got = topics.topic_pages(topics.document_topics(docs, heads), heads)
+    return got.select("doc_id", "topic", "weight", F.array_join(F.array_sort(F.col("pages").cast("array<string>")), ",").alias("pages"), "confidence")
+
+
+TERMS = f"{BIGRAMS}, terms AS (SELECT phrase AS topic, row_number() OVER (ORDER BY hits DESC, phrase) AS position FROM (SELECT * FROM bigrams ORDER BY hits DESC, phrase LIMIT 40))"
+
+
+def _terms(spark, d) -> DataFrame:
+    top = bigram_topics(spark, d).orderBy(F.desc("hits"), "phrase").limit(40)
+    return top.select(F.col("phrase").alias("topic"), F.row_number().over(Window.orderBy(F.desc("hits"), "phrase")).alias("position"))  # 40 rows
+
+
+def _course_sentences(spark, d) -> DataFrame:
+    found = lines.sentences(_roled(spark, d), keep=("role", "lang")).where("role in ('exam_guidance', 'lecture_notes', 'past_paper')")
+    return found.select(F.coalesce("lang", F.lit("none")).alias("course"), "role", "doc_id", "sentence_index", "sentence")
+
+
+@query(f"""WITH {SENTENCES}, {TERMS}, s AS (SELECT coalesce(d.lang, 'none') AS course, s.role, s.doc_id, s.sentence_index, s.sentence FROM sentences s JOIN documents d USING (doc_id) WHERE role IN ('exam_guidance', 'lecture_notes', 'past_paper')),
+guided AS (SELECT DISTINCT course FROM s WHERE role = 'exam_guidance'), hit AS (SELECT s.*, topic FROM s JOIN terms ON contains(lower(sentence), topic)),
+first AS (SELECT *, row_number() OVER (PARTITION BY course, topic ORDER BY doc_id, sentence_index) AS k FROM (SELECT * FROM hit WHERE role = 'exam_guidance' OR course NOT IN (SELECT course FROM guided))),
+e AS (SELECT course, topic, md5(string_agg(sentence, '|' ORDER BY k)) AS evidence_md5 FROM first WHERE k <= 5 GROUP BY ALL), n AS (SELECT course, topic, bool_or(role = 'exam_guidance') AS core FROM hit GROUP BY ALL)
+SELECT course, topic, CASE WHEN core THEN 'core' ELSE 'supporting' END AS importance, coalesce(evidence_md5, md5('')) AS evidence_md5, 'definition_recall' AS likely_use FROM n LEFT JOIN e USING (course, topic)""")
+def knowledge_map(spark, d):
+    """Core and supporting topics of each language's documents with their evidence."""
+    got = topics.knowledge_map(_course_sentences(spark, d), _terms(spark, d))
+    return got.select("course", "topic", "importance", F.md5(F.array_join("evidence", "|").cast("binary")).alias("evidence_md5"), "likely_use")
+
+
+@query(f"""WITH {SENTENCES}, {TERMS}, {PAGES}, s AS (SELECT coalesce(d.lang, 'none') AS course, s.role, s.sentence FROM sentences s JOIN documents d USING (doc_id) WHERE role IN ('exam_guidance', 'lecture_notes', 'past_paper')),
+n AS (SELECT course, topic, position, CASE WHEN bool_or(role = 'exam_guidance') THEN 'core' ELSE 'supporting' END AS importance FROM s JOIN terms ON contains(lower(sentence), topic) GROUP BY ALL),
+sec AS (SELECT coalesce(d.lang, 'none') AS course, p.doc_id, p.page, p.text FROM pages p JOIN documents d USING (doc_id)), m AS (SELECT doc_id, page, min((position, importance)) AS m FROM sec JOIN n ON n.course = sec.course AND contains(lower(text), topic) GROUP BY ALL)
+SELECT course, doc_id, page::BIGINT AS page, md5(trim(regexp_replace(substring(text, 1, 240), '\\s+', ' ', 'g'), ' ')) AS summary_md5, coalesce(m[2], 'unknown') AS importance FROM sec LEFT JOIN m USING (doc_id, page)""")
+def structure_map(spark, d):
+    """Sections (here: pages) with the importance of the first topic that they hold."""
+    terms = _terms(spark, d)
+    courses = _docs(spark, d).select("doc_id", F.coalesce("lang", F.lit("none")).alias("course"))
+    sections = _pages(spark, d).join(courses, "doc_id").select("course", "doc_id", F.col("page").cast("string").alias("number"), F.lit("").alias("title"), "text", F.col("page").alias("start"), F.col("page").alias("end"))
+    got = topics.structure_map(sections, topics.knowledge_map(_course_sentences(spark, d), terms), terms)
+    return got.select("course", "doc_id", F.col("start").cast("long").alias("page"), F.md5(F.col("summary").cast("binary")).alias("summary_md5"), "importance")
+
+
+@query(f"""WITH {SENTENCES}, {TERMS}, hit AS (SELECT DISTINCT doc_id, topic FROM sentences JOIN terms ON regexp_matches({FOLD("lower(sentence)")}, '\\b' || topic || '\\b')),
+w AS (SELECT a.topic, b.topic AS related, count(*) AS weight FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.topic <> b.topic GROUP BY ALL)
+SELECT topic, related, weight, k::BIGINT AS k FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, related) AS k FROM w) WHERE k <= 5""")
+def related_topics(spark, d):
+    """For each topic the five that most documents hold with it."""
+    aliases = _terms(spark, d).select(F.col("topic").alias("phrase"), F.col("topic").alias("alias"))
+    held = priority.phrases_held(lines.sentences(_docs(spark, d)), "sentence", aliases, "doc_id").select(F.col("doc_id").alias("id"), F.col("phrase").alias("topic"))
+    return topics.related_topics(held).withColumn("k", F.col("k").cast("long"))
