@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import blocks, lines, priority, rewriting, similarity, topics
+from marginalia.operators import blocks, collectors, lines, priority, rewriting, similarity, topics
 from marginalia.plans.queries import BIGRAMS, COLLAPSE, FOLD, KIND, LINES, NORMAL, PAGES, SENTENCES, WEIGHT, _docs, _items, _pages, _roled, _t, bigram_topics, query
 from marginalia.sources import files
 
@@ -293,3 +293,13 @@ def related_topics(spark, d):
     aliases = _terms(spark, d).select(F.col("topic").alias("phrase"), F.col("topic").alias("alias"))
     held = priority.phrases_held(lines.sentences(_docs(spark, d)), "sentence", aliases, "doc_id").select(F.col("doc_id").alias("id"), F.col("phrase").alias("topic"))
     return topics.related_topics(held).withColumn("k", F.col("k").cast("long"))
+
+
+@query(rf"""WITH RECURSIVE {LINES}, l AS (SELECT doc_id, line_index, line_index // 12 AS page, trim(line, ' ') AS t FROM lines WHERE line IS NOT NULL), f AS (SELECT *, length(t) BETWEEN 8 AND 500 AND regexp_matches(t, '[=_/0-9]') AND NOT regexp_matches(t, '^[=≤≥<>]') AS s, length(t) BETWEEN 1 AND 500 AND (regexp_matches(t, '[=_/0-9]') OR regexp_matches(t, '^[=+\-]')) AS c FROM l),
+walk AS (SELECT doc_id, page, line_index, t, CASE WHEN s THEN line_index END AS first FROM f WHERE line_index % 12 = 0 UNION ALL SELECT n.doc_id, n.page, n.line_index, n.t, CASE WHEN n.c AND w.first IS NOT NULL AND n.line_index - w.first < 8 THEN w.first WHEN n.s THEN n.line_index END FROM walk w JOIN f n ON n.doc_id = w.doc_id AND n.page = w.page AND n.line_index = w.line_index + 1)
+SELECT doc_id, (page + 1)::BIGINT AS page, first::BIGINT AS first_line, max(line_index)::BIGINT AS last_line, md5(string_agg(t, chr(10) ORDER BY line_index)) AS text_md5 FROM walk WHERE first IS NOT NULL GROUP BY doc_id, page, first""")
+def formula_runs(spark, d):
+    """Runs of lines with signs of a formula; here digits and a few marks stand in for these."""
+    paged = lines.lines(_docs(spark, d)).select("doc_id", (F.floor(F.col("line_index") / 12) + 1).cast("int").alias("page"), "line_index", "line")
+    got = collectors.formula_runs(paged, "[=_/0-9]")
+    return got.select("doc_id", F.col("page").cast("long").alias("page"), F.col("first_line").cast("long").alias("first_line"), F.col("last_line").cast("long").alias("last_line"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
