@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import blocks, collectors, lines, priority, rewriting, similarity, topics
+from marginalia.operators import blocks, collectors, contents, lines, priority, rewriting, similarity, topics
 from marginalia.plans.queries import BIGRAMS, COLLAPSE, FOLD, KIND, LINES, NORMAL, PAGES, SENTENCES, WEIGHT, _docs, _items, _pages, _roled, _t, bigram_topics, query
 from marginalia.sources import files
 
@@ -303,3 +303,19 @@ def formula_runs(spark, d):
     paged = lines.lines(_docs(spark, d)).select("doc_id", (F.floor(F.col("line_index") / 12) + 1).cast("int").alias("page"), "line_index", "line")
     got = collectors.formula_runs(paged, "[=_/0-9]")
     return got.select("doc_id", F.col("page").cast("long").alias("page"), F.col("first_line").cast("long").alias("first_line"), F.col("last_line").cast("long").alias("last_line"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"""WITH {HEADED}, t AS (SELECT doc_id, position, 'Title ' || trim(regexp_replace({FOLD("line")}, '[^A-Za-z]+', ' ', 'g'), ' ') || ' end' AS title, position + 1 AS page FROM heads WHERE position <= 40),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, CASE WHEN position % 3 = 2 THEN 'u' || (position // 3 + 1) ELSE position::VARCHAR END AS label, lead(page) OVER (PARTITION BY doc_id ORDER BY position) AS nxt FROM t)
+SELECT doc_id, position::BIGINT AS position, label, title, page::BIGINT AS first_page, CASE WHEN nxt IS NULL THEN 60 ELSE nxt - 1 END::BIGINT AS last_page FROM n WHERE n >= 2""")
+def contents_entries(spark, d):
+    """Contents printed from each document's first 40 headings (leaders, page below, without number) and read again."""
+    tree = blocks.heading_tree(_heads(_paged(spark, d))).where("position <= 40")
+    title = F.concat(F.lit("Title "), F.trim(F.regexp_replace(X.ascii_fold(F.col("line")), "[^A-Za-z]+", " ")), F.lit(" end"))
+    k, page = F.col("position").cast("string"), (F.col("position") + 1).cast("string")
+    row = F.when(F.col("position") % 3 == 0, F.concat_ws(" ", k, title, F.lit("......"), page)).when(F.col("position") % 3 == 1, F.concat(k, F.lit(" "), title, F.lit("\n"), page)).otherwise(F.concat_ws(" ", title, F.lit("......"), page))
+    text = F.concat(F.lit("Contents\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", row.alias("t")))), lambda s: s["t"]), "\n"))
+    first = tree.groupBy("doc_id").agg(text.alias("text")).select("doc_id", F.lit(1).alias("page"), "text")
+    pages = first.unionByName(first.select("doc_id", F.lit(60).alias("page"), F.lit("").alias("text")))
+    got = contents.contents_entries(pages)
+    return got.select("doc_id", F.col("position").cast("long").alias("position"), "label", "title", F.col("start").cast("long").alias("first_page"), F.col("end").cast("long").alias("last_page"))
