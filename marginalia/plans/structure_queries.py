@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import blocks, collectors, contents, lines, priority, rewriting, similarity, topics
+from marginalia.operators import blocks, collectors, contents, lines, priority, profile, profiles, rewriting, similarity, topics
 from marginalia.plans.queries import BIGRAMS, COLLAPSE, FOLD, KIND, LINES, NORMAL, PAGES, SENTENCES, WEIGHT, _docs, _items, _pages, _roled, _t, bigram_topics, query
 from marginalia.sources import files
 
@@ -319,3 +319,22 @@ def contents_entries(spark, d):
     pages = first.unionByName(first.select("doc_id", F.lit(60).alias("page"), F.lit("").alias("text")))
     got = contents.contents_entries(pages)
     return got.select("doc_id", F.col("position").cast("long").alias("position"), "label", "title", F.col("start").cast("long").alias("first_page"), F.col("end").cast("long").alias("last_page"))
+
+
+_SPOKEN = " OR ".join(f"(regexp_matches(t, '{p}')" + (f" AND length(t) < {most})" if most else ")") for p, most in profile.NO_TITLE)
+_PART = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for name, p in profile.FRONT) + " ELSE '' END"
+
+
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, line_index, line_index // 3 + 1 AS page, {FOLD("line")} AS line FROM lines WHERE line IS NOT NULL), c AS (SELECT *, {COLLAPSE("line")} AS t FROM l),
+f AS (SELECT doc_id, max(page)::BIGINT AS pages, count(*) AS lines, {", ".join(f"bool_or(regexp_matches(trim(line, ' '), '{p}')) AS {k}" for k, p in profile.FLAGS.items())}, sum(len(regexp_extract_all(line, '=')))::BIGINT AS formula_signs FROM l GROUP BY 1),
+p AS (SELECT *, {_PART} AS part, trim(regexp_replace(t, '(?i)\\b(Department|Faculty)\\s+of.+$', ''), ' ') AS cut FROM c WHERE t <> '' AND page <= 8),
+ok AS (SELECT doc_id, min((page, line_index, substring(CASE WHEN length(cut) >= 10 THEN cut ELSE t END, 1, 120))) AS v FROM p WHERE length(t) BETWEEN 10 AND 160 AND NOT ({_SPOKEN}) AND NOT regexp_matches(t, '{profile.NUMBERED}') AND part NOT IN ('department', 'institution', 'contact', 'instructor', 'admin') GROUP BY 1),
+notes AS (SELECT doc_id, least(24, count(*))::BIGINT AS n FROM p WHERE part IN ('department', 'institution', 'contact', 'instructor', 'admin') GROUP BY 1)
+SELECT d.doc_id, f.pages, f.lines, {", ".join(f"f.{k}" for k in profile.FLAGS)}, formula_signs, v[3] AS front_title, coalesce(notes.n, 0) AS admin_notes FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN ok USING (doc_id) LEFT JOIN notes USING (doc_id)""")
+def document_profiles(spark, d):
+    """The wide profile of each document; of its columns those that SQL can give too."""
+    docs = _docs(spark, d).withColumn("text", X.ascii_fold(F.col("text")))
+    paged = lines.lines(docs).withColumn("page", (F.floor(F.col("line_index") / 3) + 1).cast("int"))
+    got = profiles.document_profiles(paged, docs.select("doc_id", F.lit("").alias("name")))
+    title = F.when(F.col("reason") == "explicit_front_matter_title", F.col("title"))
+    return got.select("doc_id", F.col("pages").cast("long").alias("pages"), "lines", *profile.FLAGS, "formula_signs", title.alias("front_title"), F.size("admin_notes").cast("long").alias("admin_notes"))

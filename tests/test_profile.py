@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import blocks, lines, profile, structure
+from marginalia.operators import blocks, lines, profile, profiles, structure
 
 
 def table(spark, *texts, per_page=8):
@@ -74,3 +74,14 @@ def test_spans_and_block_choice(spark):
     docs = spark.createDataFrame([(0, 5, 9, 0), (1, 5, 9, 3), (2, 5, 1, 0), (3, 40, 9, 0), (4, 60, 0, 0)], "doc_id long, pages int, headings int, chapters int")
     chosen = blocks.chosen_blocks(rows(2, 0, 0, 1, 0), rows(0, 1, 0, 0, 0), rows(0, 4, 0, 0, 0), rows(0, 0, 3, 1, 0), rows(9, 0, 0, 6, 0), rows(0, 0, 0, 5, 5), docs)
     assert {(r["doc_id"], r["strategy"]) for r in chosen.collect()} == {(0, "semantic"), (1, "mapped"), (2, "structural"), (3, "graph"), (4, "windows")}
+
+
+def test_wide_profile(spark):
+    """One row a file with all parts; a file without lines has a title from its name."""
+    toc = "Contents\nRandom walks and games ........ 1\nMarkov chains of it ........ 2\nPoisson processes now ........ 3\n" + "\n".join(f"plain line {k} of the text" for k in range(30))
+    got = {r.doc_id: r for r in profiles.document_profiles(table(spark, NOTES, toc), spark.createDataFrame([(0, "a.pdf"), (1, "toc_file.pdf"), (2, "no_lines-here.pdf")], "doc_id long, name string")).collect()}
+    assert len(got) == 3 and got[0]["title"] == "MATH 60046 Autumn 2023" and got[0]["type"] == "lecture_notes" and got[0]["people"] == ["Prof. A Person"]
+    assert got[0]["admin_notes"][:2] == ["Department of Mathematics", "University of Somewhere"] and {n.meaning: n.hits for n in got[0]["notation"]} == {"Time series value at time t": 1, "Mean": 2}
+    assert [(c.title, c.start) for c in got[1]["chapters"]] == [("Random walks and games", 1), ("Markov chains of it", 2), ("Poisson processes now", 3)] and got[1]["chapter_source"] == "contents" and got[1]["contents_found"] and not got[1]["contents_failed"] and got[1]["warnings"] == []
+    last = got[2]
+    assert (last["title"], last["reason"], last["pages"], last["chapters"], last["topics"], last["confidence"]) == ("no lines here", "document_file_fallback", None, [], [], 0.63)
