@@ -306,7 +306,7 @@ def repeated_prompts(spark, d):
 @query("WITH p AS (SELECT count(*) AS n, count(DISTINCT lang) AS langs, count(*) FILTER (length(text) >= 1500)::DOUBLE / count(*) AS high, count(DISTINCT text)::DOUBLE / count(*) AS uniq, max(length(text)) AS longest FROM documents), l AS (SELECT avg(quality) AS q, avg(toxic) AS t FROM labels) SELECT unnest(['enough_items', 'several_languages', 'half_high', 'mostly_unique', 'not_too_long', 'labels_good', 'few_toxic']) AS test, unnest([n >= 25, langs >= 2, high >= 0.5, uniq >= 0.8, longest <= 95000, q >= 0.75, t <= 0.2]) AS passed FROM p, l")
 def acceptance_matrix(spark, d):
     n = F.length("text")
-    pack = _docs(spark, d).agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), F.avg((n >= 1500).cast("int")).alias("high"), (F.count_distinct("text") / F.count("*")).alias("uniq"), F.max(n).alias("longest")).crossJoin(_t(spark, d, "labels").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t")))
+    pack = _docs(spark, d).agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), F.avg((n >= 1500).cast("int")).alias("high"), (F.count_distinct(F.sha2("text", 256)) / F.count("*")).alias("uniq"), F.max(n).alias("longest")).crossJoin(_t(spark, d, "labels").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t")))
     c = F.col
     return gates.acceptance(pack, {"enough_items": c("n") >= 25, "several_languages": c("langs") >= 2, "half_high": c("high") >= 0.5, "mostly_unique": c("uniq") >= 0.8, "not_too_long": c("longest") <= 95000, "labels_good": c("q") >= 0.75, "few_toxic": c("t") <= 0.2})
 
