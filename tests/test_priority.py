@@ -41,4 +41,4 @@ def test_no_expression_is_repeated_for_each_word(spark):
     plan = priority.topic_priorities(priority.topic_evidence(sentences, topics))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= 4 and not re.search(r"lambdafunction\([^\n]*regexp_(replace|extract)[^\n]*lambda", plan)
     held = priority.phrases_held(sentences, "sentence", topics.selectExpr("phrase", "phrase as alias"), "doc_id")._jdf.queryExecution().optimizedPlan().toString()
-    assert held.count("regexp_extract_all(") == 1
+    assert held.count("[A-Za-z0-9_]+|[^A-Za-z0-9_]+, 0)") == 1  # the texts are cut once; the aliases' words are counted elsewhere
