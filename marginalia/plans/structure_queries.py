@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import blocks, collectors, contents, lines, priority, profile, profiles, rewriting, similarity, topics
+from marginalia.operators import blocks, collectors, contents, formulas, lines, priority, profile, profiles, rewriting, similarity, topics
 from marginalia.plans.queries import BIGRAMS, COLLAPSE, FOLD, KIND, LINES, NORMAL, PAGES, SENTENCES, WEIGHT, _docs, _items, _pages, _roled, _t, bigram_topics, query
 from marginalia.sources import files
 
@@ -338,3 +338,17 @@ def document_profiles(spark, d):
     got = profiles.document_profiles(paged, docs.select("doc_id", F.lit("").alias("name")))
     title = F.when(F.col("reason") == "explicit_front_matter_title", F.col("title"))
     return got.select("doc_id", F.col("pages").cast("long").alias("pages"), "lines", *profile.FLAGS, "formula_signs", title.alias("front_title"), F.size("admin_notes").cast("long").alias("admin_notes"))
+
+
+_NUMBER = lambda p: f"len(regexp_extract_all(t, '{p}'))"
+
+
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, trim({FOLD("line")}, ' ') AS t FROM lines), c AS (SELECT *, length(t) AS n, {_NUMBER("\\S+")} AS w, {_NUMBER(formulas.DENSE)}::DOUBLE / greatest(1, {_NUMBER("\\S+")}) AS density, CASE WHEN contains(t, '=') THEN substring(t, instr(t, '=') + 1) ELSE '' END AS after FROM l WHERE t <> ''),
+r AS (SELECT doc_id, CASE WHEN n NOT BETWEEN 6 AND 500 THEN 'length' WHEN NOT regexp_matches(t, '{formulas.FIRST}') THEN 'no_sign' WHEN NOT regexp_matches(t, '{formulas.SECOND}') THEN 'no_second_sign' WHEN regexp_matches(t, '{formulas.CONTINUED}') THEN 'continuation' WHEN regexp_matches(t, '{formulas.DOTS}') THEN 'run_of_dots' WHEN {_NUMBER("[.]{2,}")} >= 3 THEN 'many_dots'
+ WHEN after <> '' AND length(regexp_replace(after, '[\\s.0-9·,]', '', 'g')) = 0 THEN 'numbers_only' WHEN regexp_matches(t, '{formulas.DECIMALS}') THEN 'row_of_decimals' WHEN regexp_matches(t, '{formulas.MATRIX_ROW}') THEN 'matrix_row' WHEN regexp_matches(t, '{formulas.STEP}') THEN 'step' WHEN w > 18 AND density < 0.12 THEN 'sparse'
+ WHEN w > 14 AND density < 0.18 AND NOT regexp_matches(t, '{formulas.KNOWN}') THEN 'rather_sparse' WHEN length(regexp_extract(t, '{formulas.PROSE}'))::DOUBLE / n > 0.55 THEN 'prose' WHEN regexp_matches(t, '{formulas.FIVE_WORDS}') AND w > 10 AND {_NUMBER(formulas.SPANS)} < 2 THEN 'reference' ELSE 'accepted' END AS reason FROM c)
+SELECT doc_id, reason, count(*) AS n_lines FROM r GROUP BY ALL""")
+def formula_rejections(spark, d):
+    """How many lines of each document are formulas, and why the others aren't."""
+    got = formulas.judged_lines(lines.lines(_docs(spark, d)).select("doc_id", X.ascii_fold(F.col("line")).alias("line")))
+    return got.groupBy("doc_id", F.coalesce("rejection", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n_lines"))
