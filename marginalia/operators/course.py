@@ -189,6 +189,26 @@ def question_patterns(lines: DataFrame, start: str = QUESTION_START, styles: lis
     return starts.join(chosen, ["doc_id", "position"]).select("doc_id", F.col("position").cast("long").alias("position"), style.alias("style"), F.substring("body", 1, 360).alias("evidence"), practice.alias("practice"))
 
 
+def distinct_patterns(patterns: DataFrame, most: int = 8, least: float = 0.82) -> DataFrame:
+    """patterns(doc_id, position, evidence, ...) without those more similar than least to one that stays before them, the first most of a document.
+
+    Similar are sets of words of three characters on; two without such words aren't. A fold over a document's patterns that holds
+    at most most of them.
+    """
+    row = F.struct("position", X.token_set(F.col("evidence")).alias("w"))
+    kind = "array<struct<position:bigint,w:array<string>>>"
+
+    def step(kept, r):
+        def near(k):
+            common = F.size(F.array_intersect(k["w"], r["w"]))
+            return F.coalesce(common / F.nullif(F.size(F.array_union(k["w"], r["w"])), F.lit(0)) > least, F.lit(False))
+
+        return F.when((F.size(kept) >= most) | F.exists(kept, near), kept).otherwise(F.concat(kept, F.array(F.struct(r["position"].cast("long").alias("position"), r["w"].alias("w")))))
+
+    kept = patterns.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("doc_id", F.explode_outer(F.aggregate("rows", F.array().cast(kind), step)).alias("b"))
+    return patterns.join(kept.where("b is not null").select("doc_id", F.col("b.position").alias("position")), ["doc_id", "position"], "left_semi")
+
+
 def first_page_of(pages: DataFrame, terms: list[str]) -> DataFrame:
     """The first page (doc_id, page) in order that holds any of the terms."""
     held = with_names(pages, terms).select("doc_id", "page", F.explode_outer("held").alias("name")).where("name is not null")

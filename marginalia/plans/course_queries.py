@@ -118,6 +118,17 @@ def question_patterns(spark, d):
     return got.select("doc_id", "position", "style", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"), F.md5(F.col("practice").cast("binary")).alias("practice_md5"))
 
 
+@query(rf"""WITH RECURSIVE l AS (SELECT doc_id, i, {COLLAPSE("a[i]")} AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i)), p AS (SELECT doc_id, t, row_number() OVER w AS position, {COLLAPSE("concat_ws(' ', t, lead(t, 1) OVER w, lead(t, 2) OVER w)")} AS body FROM l WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ s AS (SELECT * FROM p WHERE regexp_matches(t, '{START}') AND length(body) >= 24), walk AS (SELECT doc_id, min(position) AS position FROM s GROUP BY 1 UNION ALL SELECT w.doc_id, (SELECT min(position) FROM s WHERE s.doc_id = w.doc_id AND s.position >= w.position + 3) AS position FROM walk w WHERE w.position IS NOT NULL),
+ found AS (SELECT doc_id, position, list_distinct(list_filter(string_split({NORMAL("substring(body, 1, 360)")}, ' '), lambda w: length(w) > 2)) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS k FROM walk JOIN s USING (doc_id, position)),
+ fold AS (SELECT doc_id, k, [w] AS kept, true AS stays, position FROM found WHERE k = 1 UNION ALL SELECT f.doc_id, f.k, CASE WHEN z.near THEN z.kept ELSE list_append(z.kept, f.w) END, NOT z.near, f.position FROM (SELECT o.*, n.w, coalesce(list_bool_or(list_transform(o.kept, lambda x: len(list_intersect(x, n.w))::DOUBLE / nullif(len(list_distinct(list_concat(x, n.w))), 0) > 0.82)), false) AS near FROM fold o JOIN found n ON n.doc_id = o.doc_id AND n.k = o.k + 1) z JOIN found f ON f.doc_id = z.doc_id AND f.k = z.k + 1 )
+ SELECT doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS n FROM fold WHERE stays) WHERE n <= 8""")
+def distinct_patterns(spark, d):
+    """The first eight patterns of each document without near copies."""
+    table = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_index", "line"))
+    return course.distinct_patterns(course.question_patterns(table, START, STYLES)).select("doc_id", "position")
+
+
 @query(f"WITH c AS (SELECT conv_id AS doc_id, turn, CASE WHEN role = 'user' THEN (turn // 4)::VARCHAR || '.' || turn END AS number, 'turn ' || turn % 3 AS title FROM conversations), k AS (SELECT *, CASE WHEN number IS NOT NULL THEN (turn // 4)::VARCHAR END AS c FROM c) SELECT doc_id, coalesce(c, title) AS chapter, coalesce('Chapter ' || c, title) AS title, min(turn) AS start, max(turn) AS \"end\", count(*) AS sections FROM k GROUP BY ALL")
 def chapter_groups(spark, d):
     """Turns of conversations stand for sections: those of the user are numbered, the others have a title only."""

@@ -143,3 +143,14 @@ def test_unlabelled_and_distinctions(spark):
     text = "Here weak forms are not the same, whereas strict forms of it always hold for all of us. Other."
     got = candidates.distinction_sentences(docs(spark, text)).collect()
     assert [r["text"] for r in got] == ["weak forms are not the same, whereas strict forms of it always hold for all of us."]
+
+
+def test_distinct_patterns(spark):
+    """Near copies of a pattern that stays go, those of one that went don't count, and the cap counts those that stay."""
+    base = "alpha beta gamma delta epsilon zeta theta kappa lambda sigma"
+    one, two = base + " omega", base.replace("alpha", "other")
+    rows = [(0, 3, base), (0, 9, one), (0, 12, two), (0, 20, "a b"), (0, 25, "a b"), (0, 30, None), (1, 1, one)] + [(2, k, f"word{k // 2} only{k // 2}") for k in range(24)]
+    got = course.distinct_patterns(spark.createDataFrame(rows, "doc_id long, position long, evidence string"))
+    # one is 10 of 11 words like base; two 9 of 11, which is less than .82; without long words nothing is similar
+    assert sorted((r.doc_id, r.position) for r in got.collect()) == [(0, 3), (0, 12), (0, 20), (0, 25), (0, 30), (1, 1)] + [(2, k) for k in range(0, 16, 2)]
+    assert got.limit(0).collect() == []
