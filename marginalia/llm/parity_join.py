@@ -10,11 +10,12 @@ then the sets themselves. Nothing is dropped: see _emit for empty blocks.
 
 from __future__ import annotations
 
+import gc
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +23,7 @@ from .common import discard, staged
 from .components import components
 from .hashing import batches, byte_batch, mix, prefix_sums, span_hashes, words_in
 
-SKETCH = 10  # longs of 64 bits: 640 bits tell sets of up to about 1,500 shingles apart, the wide sketches larger ones
+SKETCH = 16  # longs of 64 bits: 1,024 bits tell sets of up to about 2,500 shingles apart, the wide sketches larger ones
 BAND = 1.75  # about the fewest keys a document: a wider band has more blocks, a narrower one sends more documents to two
 SHARE = 20_000  # a block key with more than this part of all keys is dealt to several tasks; there can't be more such keys
 
@@ -189,6 +190,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.where(F.col("common") * q >= (F.col("a_n") + F.col("b_n") - F.col("common")) * p).select("a", "b").distinct()
 
 
+def _swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is staged and no longer referred to; otherwise they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _shared_blocks(held: DataFrame) -> DataFrame:
     """held(key, node) of the keys of several nodes.
 
@@ -238,8 +245,10 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     spared = sketches.groupBy("node").agg(F.min("spared").alias("spared"))
     shared = _shared_blocks(first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")))
     discard(keyed)
+    _swept(documents.sparkSession)
     live = _deciding(shared, spared)
     discard(shared)
+    _swept(documents.sparkSession)
     sketches = sketches.drop("spared")
     p, q = t.numerator, t.denominator
     far = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in bits), F.lit(0))
@@ -257,6 +266,7 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
             sets = staged(_sets(docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi"), width), "parity-sets")
             found = staged(_verified(pairs, sets, t), "parity-links")
             discard(sets)
+            _swept(documents.sparkSession)
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 groups = staged(components(links, "parity-components"), "parity-groups")
@@ -272,6 +282,7 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
         before, left = (left if done else None), staged(rows.join(mixed, "key", "left_semi").join(sketches, "node"), "parity-left")
         if before is not None:
             discard(before)
+        _swept(documents.sparkSession)
         if left.isEmpty():
             break
         sized = left.select("key", "node", "size", "place")
