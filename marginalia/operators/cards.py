@@ -226,6 +226,7 @@ def relevance_filter(items: DataFrame) -> DataFrame:
     text = F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in ("title", "statement", "answer", "raw")])
     low = F.lower(text)
     asked = F.col("support") >= 4
+    #: Names of central objects, and words that define.
     named = low.rlike(r"\b(semivariogram|variogram|covariance function|likelihood|blup|kriging predictor|kriging|poisson intensity|conditional distribution|local characteristic|random field|stationary|isotropic|gaussian)\b")
     central = named | ((F.col("type") == "definition") & s.rlike(r"(?i)\b(is|are|called|defined|denotes)\b"))
     trap = low.rlike(TRAP) & low.rlike(TRAP_OF)

@@ -65,6 +65,7 @@ def early_title(lines: DataFrame, pages: int = 8) -> DataFrame:
     t = F.regexp_replace(X.collapse(F.regexp_replace(F.regexp_replace(X.collapse(F.col("line")), r"(?i)^(.{11,}?)\b(Department|Faculty|School|Institute)\s+of\b.*$", "$1"), r"(?i)^(.{13,}?)\b(Professor|Prof\.|Dr\.)\s+[A-Z].*$", "$1")), r"[,\s–-]+$", "")
     some = lines.where(F.col("page").between(1, pages) & (F.length(F.trim("line")) >= 4) & ~F.trim("line").rlike(SKIPPED)).withColumn("t", t)
     n = F.length("t")
+    #: Shapes of lines that can't be titles, and the points of the others.
     fits = n.between(8, 180) & (X.count_of(F.col("t"), r"\S+") <= 22) & (X.count_of(F.col("t"), "=") < 2) & ~((X.count_of(F.col("t"), "[∫∑∏√∂∇]") >= 2) & (n > 40)) & ~F.col("t").rlike(r"(?i)\b(theorem|lemma|proposition|definition)\s+\d|^\d+\.\d+") & ~(F.col("t").rlike(r"(?i)^(lecture\s+notes|module\s+handout|course\s+notes|autumn|spring|summer|term|year|20\d{2})") & (n < 30)) & (X.count_of(F.col("t"), "[A-Za-z]") / F.greatest(n, F.lit(1)) >= 0.45)
     module = r"\b[A-Z]{2,6}\s*\d{3,5}[A-Z]?\b"
     score = F.lit(3) + F.when(n.between(16, 90), 2).otherwise(0) + F.when(F.col("t").rlike(r"[—–-].{4,}") & F.col("t").rlike(module), 1).otherwise(0) - F.when(F.col("t").rlike(r"^[A-Z]{2,6}\s*\d{2,5}\b") & (n < 48) & ~F.col("t").rlike(r"(?i)\b(lecture|course|modelling|modeling|analysis|theory|methods)\b"), 4).otherwise(0)
@@ -101,6 +102,7 @@ def flags(lines: DataFrame) -> DataFrame:
     rows = lambda p: F.count_if(t.rlike(p))
     early = lambda p: F.coalesce(F.bool_or((F.col("page") <= 18) & t.rlike(p)), F.lit(False))
     short = F.length(t) <= 180
+    #: The patterns, points and borders of a document's type, from here to the rules of kind.
     solved = F.sum(F.when(~short | t.rlike("(?i)worked\\s+example"), 0).when(t.rlike(r"(?i)^solutions?\s+to\b"), 2).when(t.rlike(r"(?i)^solutions?\s*[.:]?\s*$"), 3).when(t.rlike(r"(?i)^solution\s+\d+[.:)]"), 2).when(t.rlike(r"(?i)^answers?\s*[.:]?\s*$"), 2).when(t.rlike(r"(?i)mark\s+scheme|examiner\s+report|official\s+solutions"), 4).otherwise(0))
     by = lines.groupBy("doc_id").agg(
         F.max("page").alias("pages"), F.count("*").alias("lines"), F.sum(F.length("line") + 1).alias("_size"), *[any_(p).alias(k) for k, p in FLAGS.items()], n("[=∑∫∇∂′″√〈〉]").alias("formula_signs"), n("[=∫∑∏√∂∇]").alias("_signs"), n(r"(?i)\b(the|and|therefore|because|however)\b").alias("_prose"),
