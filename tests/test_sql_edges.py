@@ -20,3 +20,8 @@ def both(spark, tmp_path, name, texts):
 def test_all_chapters_of_a_long_document(spark, tmp_path):
     got, want = both(spark, tmp_path, "chapter_blocks", ["\n".join(f"line {k:05d}" for k in range(720)), "one line."])
     assert got == want and len(got) == 720
+
+
+def test_contents_of_headings_without_letters(spark, tmp_path):
+    got, want = both(spark, tmp_path, "contents_entries", ["A heading\n12345 6\nAnother one\n....\nThe last"])
+    assert got == want and [r[-1] for r in got].count("Title end") == 2
