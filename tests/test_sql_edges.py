@@ -25,3 +25,9 @@ def test_all_chapters_of_a_long_document(spark, tmp_path):
 def test_contents_of_headings_without_letters(spark, tmp_path):
     got, want = both(spark, tmp_path, "contents_entries", ["A heading\n12345 6\nAnother one\n....\nThe last"])
     assert got == want and [r[-1] for r in got].count("Title end") == 2
+
+
+def test_noise_at_the_border(spark, tmp_path):
+    # answer and raw text are empty lines of the judged text: 31 odd characters of 104, not of 102
+    got, want = both(spark, tmp_path, "relevance_filter", ["Ñ" * 31 + " " + "a" * 65, "Ñ" * 32 + " " + "a" * 64])
+    assert got == want and [r[1] for r in got] == ["kept", "parse_noise"]
