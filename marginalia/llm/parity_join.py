@@ -238,13 +238,16 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     keyed = staged(features(docs, width, t), "parity-keys")
     nodes = staged(keyed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "parity-nodes")
     members = staged(keyed.select("doc_id", "n", "s1", "s2").join(nodes, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node")), "parity-members")
-    first = keyed.join(nodes.select("n", "s1", "s2", F.col("node").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi")
+    # staged, as the look at hot blocks, the blocks and the sketches would each shuffle all keys for this join
+    first = staged(keyed.join(nodes.select("n", "s1", "s2", F.col("node").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi"), "parity-first")
+    discard(keyed)
+    _swept(documents.sparkSession)
     bits = [f"w{k}" for k in range(SKETCH)]
     sketches = staged(first.select(F.col("doc_id").alias("node"), "n", "spared", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)]), "parity-sketches")
     # rows that share a doc_id are one node: the least of what they spare holds for all
     spared = sketches.groupBy("node").agg(F.min("spared").alias("spared"))
     shared = _shared_blocks(first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")))
-    discard(keyed)
+    discard(first)
     _swept(documents.sparkSession)
     live = _deciding(shared, spared)
     discard(shared)

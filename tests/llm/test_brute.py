@@ -74,6 +74,18 @@ def test_a_passage_of_very_many_documents_is_not_sorted_whole(spark, monkeypatch
     assert max(sizes, default=0) <= 10_000
 
 
+def test_keys_are_shuffled_once_for_their_nodes(spark, monkeypatch):
+    plans, whole = [], parity_join._shared_blocks
+
+    def watched(held):
+        plans.append(held._jdf.queryExecution().optimizedPlan().toString())
+        return whole(held)
+
+    monkeypatch.setattr(parity_join, "_shared_blocks", watched)
+    parity_join.similar_groups(spark.createDataFrame([(i, f"a b c d e f g h{i % 3}") for i in range(9)], "doc_id long, text string"), 3, 0.5)
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
 def test_jaccard_groups_are_exact(spark):
     rnd = random.Random(5)
     base = [[f"w{rnd.randrange(60)}" for _ in range(rnd.choice((6, 40, 150)))] for _ in range(12)]
