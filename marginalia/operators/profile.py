@@ -20,7 +20,7 @@ CODE = r"\b([A-Z]{2,10}\d{3,6}[A-Z]?|[A-Z]{3,10}\s*\d{3,6}[A-Z]?)\b"
 #: Parts of the front matter by the line that has them, first match wins.
 FRONT = [("department", r"(?i)^(department|faculty|school)\s+of\b"), ("institution", r"(?i)^(imperial|university|college)\b"), ("contact", r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"), ("instructor", r"(?i)^(professor|prof\.|dr\.)\s+"), ("term", r"(?i)\b(autumn|spring|summer|winter|term)\s+\d{4}\b|\b20\d{2}\s*[-–]\s*20\d{2}\b"), ("admin", r"(?i)\b(moodle|blackboard|canvas)\b|\bassessment\b|\bcourse\s+materials\b")]
 #: Lines that early titles skip, and the points of a title line (pattern, points); length and page give more.
-SKIPPED = r"(?i)^\[Page\s*\d+|^\[Source\b|^contents?$|^table\s+of\s+contents$|^module\s+code|^credits?:|^version\s+\d|^last\s+updated|^(chapter|section)\s+\d+|^page\s+\d+\s+of\s+\d+|^(department|faculty|school|institute)\s+of\b|^(imperial|university|college|london|oxford|cambridge|mit|harvard)\b"
+SKIPPED = r"(?i)^(?:\[Page\s*\d+|\[Source\b|contents?$|table\s+of\s+contents$|module\s+code|credits?:|version\s+\d|last\s+updated|(chapter|section)\s+\d+|page\s+\d+\s+of\s+\d+|(department|faculty|school|institute)\s+of\b|(imperial|university|college|london|oxford|cambridge|mit|harvard)\b)"
 POINTS = [(r"(?i)\b(analysis|statistics|probability|calculus|algebra|geometry|series|inference|modelling|modeling)\b", 2), (r"(?i)^(time\s+series|spatial|stochastic|numerical|bayesian)\b", 2)]
 #: Signs of a document's parts, each a flag.
 FLAGS = {
@@ -29,6 +29,11 @@ FLAGS = {
 }
 #: Notation with what it probably means.
 NOTATION = [(r"\bX_t\b", "Time series value at time t"), ("μ", "Mean"), (r"\\mu\b", "Mean (LaTeX)"), ("σ", "Std dev / innovation scale"), (r"\\sigma\b", "Std dev (LaTeX)"), (r"(?i)\bs_tau\b|\bs_τ\b|γ\s*\(\s*τ\s*\)", "Autocovariance at lag τ"), (r"(?i)\brho_tau\b|ρ_τ|\brho\s*_\s*τ", "Autocorrelation at lag τ"), (r"(?i)\b(ε_t|epsilon_t)\b", "White-noise / innovation term"), (r"\bΦ\(B\)|\\Phi\(B\)", "AR polynomial in backshift"), (r"\bΘ\(B\)|\\Theta\(B\)", "MA polynomial in backshift"), (r"\bB\b(?=\s*\))", "Backshift operator")]
+#: Words, in lower case, of which a text has one if the pattern matches it. They are looked for first: a pattern costs as much as dozens of words.
+NEEDED = {p: words for (p, _), words in zip(NO_TITLE, ["@", "room office", "moodle blackboard canvas", "assessment", "course", "department faculty school", "lecture module", "prof dr.", "sw7 w12 post uk", "[page", "fig table", "mark minutes", "instructions answer attempt"], strict=True)}
+NEEDED |= {p: words for (_, p), words in zip(FRONT, ["department faculty school", "imperial university college", "@", "prof dr.", "autumn spring summer winter term 20", "moodle blackboard canvas assessment course"], strict=True)}
+NEEDED |= {p: words for p, words in zip(FLAGS.values(), ["example", "exercise problem question", "proof show lemma theorem proposition corollary", "algorithm pseudocode", "definition called defined", "lemma", "proposition", "theorem", "proof", "example instance", "contents"], strict=True)}
+ADMIN = ("department", "institution", "contact", "instructor", "admin")
 NOISE_WORDS = r"(?i)\b(T\s+is\s+z|Dopulation|fii+i+n\.?to|antititin|poputation|varience|covarance)\b"
 
 
@@ -37,33 +42,58 @@ def _first(found: Column, value: Column) -> Column:
     return F.min(F.when(found, F.struct("page", "line_index", value.alias("v"))))["v"]
 
 
-def front_matter(lines: DataFrame, pages: int = 8) -> DataFrame:
-    """doc_id, code, department, institution, contact, instructor, term, title, title_page, chapter, chapter_title of the first pages.
+def _with_text(lines: DataFrame, text: Column) -> DataFrame:
+    """lines with t, the text, and low, t in lower case.
+
+    They go through outer explodes, so that they are computed once for each line: filters and aggregates on a plain column
+    compute it again for each use.
+    """
+    return lines.withColumn("t", F.explode_outer(F.array(text))).withColumn("low", F.explode_outer(F.array(F.lower("t"))))
+
+
+def _any_word(words: str) -> Column:
+    return reduce(Column.__or__, [F.contains(F.col("low"), F.lit(w)) for w in words.split()])
+
+
+def matches(pattern: str) -> Column:
+    """Whether pattern matches t, of lines with t and low."""
+    return _any_word(NEEDED[pattern]) & F.col("t").rlike(pattern)
+
+
+def front_matter(lines: DataFrame, pages: int = 8, most: int = 24) -> DataFrame:
+    """doc_id, code, department, institution, contact, instructor, term, title, title_page, chapter, chapter_title, people, admin_notes of the first pages.
 
     The title is the first line of 10 to 160 characters that nothing speaks against; what follows "Department of" is cut.
+    people are the lines that name people, admin_notes the first most that are of administration, in order.
     """
-    t = X.collapse(F.col("line"))
-    some = lines.where(F.col("page").between(1, pages)).withColumns({"t": t, "_next": X.collapse(F.lead("line").over(Window.partitionBy("doc_id", "page").orderBy("line_index")))}).where("t <> ''")
-    n = F.length("t")
-    spoken = reduce(Column.__or__, [F.col("t").rlike(p) & ((n < most) if most else F.lit(True)) for p, most in NO_TITLE])
-    part = X.first_match([(name, F.col("t").rlike(p)) for name, p in FRONT], "")
-    cut = F.trim(F.regexp_replace("t", r"(?i)\b(Department|Faculty)\s+of.+$", ""))
+    nxt = F.lead("line").over(Window.partitionBy("doc_id", "page").orderBy("line_index"))
+    some = _with_text(lines.where(F.col("page").between(1, pages)).withColumn("_next", X.collapse(nxt)), X.collapse(F.col("line"))).where("t <> ''").withColumn("_part", X.first_match([(name, matches(p)) for name, p in FRONT], ""))
+    n, part = F.length("t"), F.col("_part")
+    spoken = reduce(Column.__or__, [matches(p) & ((n < most) if most else F.lit(True)) for p, most in NO_TITLE])
+    cut = F.when(_any_word("department faculty"), F.trim(F.regexp_replace("t", r"(?i)\b(Department|Faculty)\s+of.+$", ""))).otherwise(F.col("t"))
     title = F.when(F.length(cut) >= 10, cut).otherwise(F.col("t"))
-    titled = (n.between(10, 160)) & ~spoken & ~F.col("t").rlike(NUMBERED) & ~part.isin("department", "institution", "contact", "instructor", "admin")
+    titled = (n.between(10, 160)) & ~spoken & ~F.col("t").rlike(NUMBERED) & ~part.isin(*ADMIN)
     banner, bare = r"(?i)^Chapter\s*(\d+(?:\.\d+)?)\s*[.:]?\s+(.+)$", r"(?i)^Chapter\s*(\d+(?:\.\d+)?)\s*$"
     chapter = F.when(F.col("t").rlike(bare), F.struct(F.regexp_extract("t", bare, 1).alias("n"), F.when(F.length("_next").between(6, 119) & ~F.col("_next").rlike(r"^\d+\.\d+"), F.col("_next")).alias("t"))).when(F.col("t").rlike(banner), F.struct(F.regexp_extract("t", banner, 1).alias("n"), F.substring(F.regexp_extract("t", banner, 2), 1, 120).alias("t")))
-    marked = some.withColumns({"_part": part, "_ok": titled, "_title": F.substring(title, 1, 120), "_code": F.upper(F.regexp_replace(F.nullif(F.regexp_extract("t", CODE, 1), F.lit("")), r"\s+", "")), "_chapter": chapter})
+    # only what is asked for of a line goes on to be sorted by document
+    marked = some.withColumns({"_said": F.when(part != "", F.col("t")), "_title": F.when(titled, F.substring(title, 1, 120)), "_code": F.upper(F.regexp_replace(F.nullif(F.regexp_extract("t", CODE, 1), F.lit("")), r"\s+", "")), "_chapter": chapter})
+    spot = F.struct("page", "line_index", "_said")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["_said"])
     by = marked.groupBy("doc_id").agg(
-        _first(F.col("_code").isNotNull(), F.col("_code")).alias("code"), *[_first(F.col("_part") == p, F.col("t")).alias(p) for p, _ in FRONT if p != "admin"],
-        F.min(F.when(F.col("_ok"), F.struct("page", "line_index", F.col("_title").alias("v")))).alias("_t"), _first(F.col("_chapter").isNotNull(), F.col("_chapter")).alias("_c"),
+        _first(F.col("_code").isNotNull(), F.col("_code")).alias("code"), *[_first(F.col("_part") == p, F.col("_said")).alias(p) for p, _ in FRONT if p != "admin"],
+        F.min(F.when(F.col("_title").isNotNull(), F.struct("page", "line_index", F.col("_title").alias("v")))).alias("_t"), _first(F.col("_chapter").isNotNull(), F.col("_chapter")).alias("_c"),
+        listed(F.when(part == "instructor", spot)).alias("people"), F.slice(listed(F.when(part.isin(*ADMIN), spot)), 1, most).alias("admin_notes"),
     )
-    return by.select("doc_id", "code", *[p for p, _ in FRONT if p != "admin"], F.col("_t.v").alias("title"), F.col("_t.page").alias("title_page"), F.col("_c.n").alias("chapter"), F.col("_c.t").alias("chapter_title"))
+    return by.select("doc_id", "code", *[p for p, _ in FRONT if p != "admin"], F.col("_t.v").alias("title"), F.col("_t.page").alias("title_page"), F.col("_c.n").alias("chapter"), F.col("_c.t").alias("chapter_title"), "people", "admin_notes")
 
 
 def early_title(lines: DataFrame, pages: int = 8) -> DataFrame:
     """doc_id, title, score, confidence, page: the best-scored line of the first pages; ties: the longer one, then the first."""
-    t = F.regexp_replace(X.collapse(F.regexp_replace(F.regexp_replace(X.collapse(F.col("line")), r"(?i)^(.{11,}?)\b(Department|Faculty|School|Institute)\s+of\b.*$", "$1"), r"(?i)^(.{13,}?)\b(Professor|Prof\.|Dr\.)\s+[A-Z].*$", "$1")), r"[,\s–-]+$", "")
-    some = lines.where(F.col("page").between(1, pages) & (F.length(F.trim("line")) >= 4) & ~F.trim("line").rlike(SKIPPED)).withColumn("t", t)
+    some = _with_text(lines.where(F.col("page").between(1, pages) & (F.length(F.trim("line")) >= 4) & ~F.trim("line").rlike(SKIPPED)), X.collapse(F.col("line")))
+    bare = X.collapse(F.regexp_replace(F.regexp_replace("t", r"(?i)^(.{11,}?)\b(Department|Faculty|School|Institute)\s+of\b.*$", "$1"), r"(?i)^(.{13,}?)\b(Professor|Prof\.|Dr\.)\s+[A-Z].*$", "$1"))
+    some = some.withColumn("t", F.explode_outer(F.array(F.when(_any_word("department faculty school institute prof dr."), bare).otherwise(F.col("t"))))).drop("low")
+    # what can end in a mark, or in one before a line's end, as $ has it
+    some = some.withColumn("t", F.explode_outer(F.array(F.when(F.right("t", F.lit(1)).rlike(r"[,\s–\x{85}\x{2028}\x{2029}-]"), F.regexp_replace("t", r"[,\s–-]+$", "")).otherwise(F.col("t")))))
     n = F.length("t")
     #: Shapes of lines that can't be titles, and the points of the others.
     fits = n.between(8, 180) & (X.count_of(F.col("t"), r"\S+") <= 22) & (X.count_of(F.col("t"), "=") < 2) & ~((X.count_of(F.col("t"), "[∫∑∏√∂∇]") >= 2) & (n > 40)) & ~F.col("t").rlike(r"(?i)\b(theorem|lemma|proposition|definition)\s+\d|^\d+\.\d+") & ~(F.col("t").rlike(r"(?i)^(lecture\s+notes|module\s+handout|course\s+notes|autumn|spring|summer|term|year|20\d{2})") & (n < 30)) & (X.count_of(F.col("t"), "[A-Za-z]") / F.greatest(n, F.lit(1)) >= 0.45)
@@ -74,20 +104,20 @@ def early_title(lines: DataFrame, pages: int = 8) -> DataFrame:
     return best.select("doc_id", F.trim("b.t").alias("title"), F.col("b.score").alias("score"), F.round(F.least(F.lit(0.95), F.lit(0.42) + F.col("b.score") * 0.06), 2).alias("confidence"), (-F.col("b.p")).alias("page"))
 
 
-def chosen_title(front: DataFrame, early: DataFrame, headings: DataFrame, files: DataFrame) -> DataFrame:
-    """doc_id, title, reason for each row of files(doc_id, name): front matter, a sure early line, the first chapter heading, an early line, the file's name.
+def chosen_title(front: DataFrame, early: DataFrame, headings: DataFrame, files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, title, reason and the columns keep of front for each row of files(doc_id, name): front matter, a sure early line, the first chapter heading, an early line, the file's name.
 
     headings(doc_id, page, line_index, line, kind, rejection_reason) are those of structure.headings.
     """
     first = headings.where("kind = 'chapter' and rejection_reason is null").groupBy("doc_id").agg(F.min(F.struct("page", "line_index", F.substring(X.collapse(F.col("line")), 1, 160).alias("v")))["v"].alias("_h"))
     stem = F.trim(F.regexp_replace(F.regexp_replace("name", r"\.[^.]+$", ""), "[_-]+", " "))
-    every = files.select("doc_id", F.when(F.length(stem).between(4, 119), stem).alias("_f")).join(front.select("doc_id", F.col("title").alias("_m")), "doc_id", "left").join(early.select("doc_id", F.col("title").alias("_e"), F.col("confidence").alias("_c"), F.col("page").alias("_p")), "doc_id", "left").join(first, "doc_id", "left")
+    every = files.select("doc_id", F.when(F.length(stem).between(4, 119), stem).alias("_f")).join(front.select("doc_id", F.col("title").alias("_m"), *keep), "doc_id", "left").join(early.select("doc_id", F.col("title").alias("_e"), F.col("confidence").alias("_c"), F.col("page").alias("_p")), "doc_id", "left").join(first, "doc_id", "left")
     sure = F.col("_e").isNotNull() & (F.col("_c") >= 0.48) & (F.col("_p") <= 14)
     ranked = [(F.col("_m").isNotNull(), "_m", "explicit_front_matter_title"), (sure, "_e", "early_page_title_inference"), (F.length("_h") >= 6, "_h", "first_top_level_heading_candidate"), (F.col("_e").isNotNull(), "_e", "early_page_title_inference_weak"), (F.col("_f").isNotNull(), "_f", "document_file_fallback")]
     title, reason = F.when(F.lit(False), ""), F.when(F.lit(False), "")
     for holds, column, why in ranked:
         title, reason = title.when(holds, F.col(column)), reason.when(holds, why)
-    return every.select("doc_id", title.alias("title"), reason.otherwise("no_reliable_title").alias("reason"))
+    return every.select("doc_id", title.alias("title"), reason.otherwise("no_reliable_title").alias("reason"), *keep)
 
 
 def flags(lines: DataFrame) -> DataFrame:
@@ -96,16 +126,18 @@ def flags(lines: DataFrame) -> DataFrame:
     The type weighs structure (chapters, sections), cues of lecture notes, exam words, questions with marks, headings of
     solutions and the share of signs, in the order of the rules below.
     """
-    t = F.trim("line")
-    any_ = lambda p: F.coalesce(F.bool_or(t.rlike(p)), F.lit(False))
+    lines, t = _with_text(lines, F.trim("line")), F.col("t")
+    any_ = lambda p: F.coalesce(F.bool_or(matches(p) if p in NEEDED else t.rlike(p)), F.lit(False))
     n = lambda p: F.coalesce(F.sum(X.count_of(t, p)), F.lit(0))
+    # signs other than = are beyond ASCII, so that a text without either has none
+    signs = lambda p: F.coalesce(F.sum(F.when(F.contains(t, F.lit("=")) | (F.octet_length(t) > F.length(t)), X.count_of(t, p)).otherwise(0)), F.lit(0))
     rows = lambda p: F.count_if(t.rlike(p))
     early = lambda p: F.coalesce(F.bool_or((F.col("page") <= 18) & t.rlike(p)), F.lit(False))
     short = F.length(t) <= 180
     #: The patterns, points and borders of a document's type, from here to the rules of kind.
     solved = F.sum(F.when(~short | t.rlike("(?i)worked\\s+example"), 0).when(t.rlike(r"(?i)^solutions?\s+to\b"), 2).when(t.rlike(r"(?i)^solutions?\s*[.:]?\s*$"), 3).when(t.rlike(r"(?i)^solution\s+\d+[.:)]"), 2).when(t.rlike(r"(?i)^answers?\s*[.:]?\s*$"), 2).when(t.rlike(r"(?i)mark\s+scheme|examiner\s+report|official\s+solutions"), 4).otherwise(0))
     by = lines.groupBy("doc_id").agg(
-        F.max("page").alias("pages"), F.count("*").alias("lines"), F.sum(F.length("line") + 1).alias("_size"), *[any_(p).alias(k) for k, p in FLAGS.items()], n("[=∑∫∇∂′″√〈〉]").alias("formula_signs"), n("[=∫∑∏√∂∇]").alias("_signs"), n(r"(?i)\b(the|and|therefore|because|however)\b").alias("_prose"),
+        F.max("page").alias("pages"), F.count("*").alias("lines"), F.sum(F.length("line") + 1).alias("_size"), *[any_(p).alias(k) for k, p in FLAGS.items()], signs("[=∑∫∇∂′″√〈〉]").alias("formula_signs"), signs("[=∫∑∏√∂∇]").alias("_signs"), n(r"(?i)\b(the|and|therefore|because|however)\b").alias("_prose"),
         rows(r"(?i)^chapter\s+\d").alias("_chapters"), rows(r"^\d{1,2}(\.\d{1,2}){1,2}\s+\S").alias("_sections"), early(r"(?i)\bchapter\s+\d+").alias("_c1"), early(r"(?i)\d+\.\d+\s+[a-z]").alias("_c2"), any_(r"(?i)\b(lecture\s+notes|course\s+notes|module\s+handout)\b").alias("_c3"), early(r"(?i)\b(imperial|department|faculty)\b").alias("_c4"),
         early(r"(?i)\bcontents\b").alias("_toc"), any_(r"\d{1,2}\s+[A-Za-z].{6,120}(\.{2,}|…|\s{4,})\s*\d{1,3}$").alias("_leaders"), n(r"(?i)\b\d+\s*(marks?|pts?)\b").alias("_marks"), rows(r"(?i)^(question|problem)\s+\d{1,2}\s*[.:)]").alias("_questions"), any_(r"(?i)\b(marks?|points?)\b").alias("_points"),
         any_(r"(?i)\b(total\s+marks|minutes\s+allowed|time\s+allowed|candidate\s+number|desk\s+number)\b").alias("_exam1"), any_(r"(?i)\b(final\s+exam|examination|past\s+paper)\b").alias("_exam2"), any_(r"(?i)\b(problem\s+sheet|homework\s*\d|assignment\s*\d|due\s+date)\b").alias("_sheet"), solved.alias("_solved"), any_(r"(?i)\b(answer\s+key|official\s+solutions)\b").alias("_key"),

@@ -9,19 +9,6 @@ from marginalia.functions import text as X
 
 from . import contents, profile, structure, topics
 
-ADMIN = ("department", "institution", "contact", "instructor", "admin")
-
-
-def front_notes(lines: DataFrame, pages: int = 8, most: int = 24) -> DataFrame:
-    """doc_id, people, admin_notes: the lines of the first pages that name people, and the first most that are of administration, in order."""
-    t = X.collapse(F.col("line"))
-    some = lines.where(F.col("page").between(1, pages)).withColumn("t", t).where("t <> ''")
-    part = X.first_match([(name, F.col("t").rlike(p)) for name, p in profile.FRONT], "")
-    marked = some.withColumn("_part", part).where(F.col("_part").isin(*ADMIN))
-    spot = F.struct("page", "line_index", "t")
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["t"])
-    return marked.groupBy("doc_id").agg(listed(F.when(F.col("_part") == "instructor", spot)).alias("people"), F.slice(listed(spot), 1, most).alias("admin_notes"))
-
 
 def chapter_map(lines: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, position, title, start, end, source: chapters from markers, or where these are fewer than two from the contents."""
@@ -41,7 +28,8 @@ def document_profiles(lines: DataFrame, files: DataFrame) -> DataFrame:
     """
     found = structure.headings(lines)
     front, early = profile.front_matter(lines), profile.early_title(lines)
-    titles = profile.chosen_title(front, early, found, files)
+    # titles carry the rest of the front matter, so that it is read once
+    titles = profile.chosen_title(front, early, found, files, tuple(c for c in front.columns if c not in ("doc_id", "title")))
     chapters = chapter_map(lines, found)
     spot = F.struct("position", "title", "start", "end")
     mapped = chapters.groupBy("doc_id").agg(F.array_sort(F.collect_list(spot)).alias("chapters"), F.first("source").alias("chapter_source"))
@@ -54,9 +42,8 @@ def document_profiles(lines: DataFrame, files: DataFrame) -> DataFrame:
     noise = profile.noise_pages(lines).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "score", "examples"))).alias("noise_pages"))
     toc = chapters.where("source = 'contents'").select("doc_id").distinct().withColumn("contents_found", F.lit(True))
     failed = profile.contents_failed(lines, chapters).withColumn("contents_failed", F.lit(True))
-    front_ = front.drop("title").join(front_notes(lines), "doc_id", "left")
     out = files.select("doc_id", "name")
-    for part in (titles, profile.flags(lines), front_, mapped, named, signs, noise, toc, failed):
+    for part in (titles, profile.flags(lines), mapped, named, signs, noise, toc, failed):
         out = out.join(part, "doc_id", "left")
     kinds = {f.name: f.dataType for f in out.schema.fields}
     lists = ("people", "admin_notes", "chapters", "topics", "notation", "noise_pages")

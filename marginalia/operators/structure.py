@@ -16,12 +16,14 @@ HEADING_RULES = [
     ("worked_example", 4, r"(?i)^worked\s+example"), ("example", 4, r"(?i)^example\b"), ("exercise", 4, r"(?i)^exercise\b"), ("question", 4, r"(?i)^(question\b|problem\s+[0-9])"), ("solution", 4, r"(?i)^solution\b"), ("algorithm", 4, r"(?i)^algorithm\b"), ("remark", 4, r"(?i)^remark\b"),
     ("exercise", 4, r"(?i)^(show|check)\s+that\b|^derive\b|^determine\s+whether\b"), ("section", 2, r"^(?=.{8,72}$)(?!.*[0-9]{4})[A-Z][A-Z0-9]+(\s+[A-Z0-9]+){1,9}$"),
 ]
+#: Fixed value: what the first three characters of a line match if one of the rules does; it spares most lines the rules.
+STARTS = r"(?i)^(cha|def|lem|pro|the|cor|wor|exa|exe|que|sol|alg|rem|sho|che|der|det)|^[0-9]|^[A-Z][A-Z0-9]"
 FORMAL = ("definition", "lemma", "proposition", "theorem", "corollary")
 
 
 def _kind(t: Column, part: int) -> Column:
     out = F.when(t.rlike(HEADING_RULES[0][2]), HEADING_RULES[0][part])
-    return reduce(lambda c, r: c.when(t.rlike(r[2]), r[part]), HEADING_RULES[1:], out)
+    return F.when(F.left(t, F.lit(3)).rlike(STARTS), reduce(lambda c, r: c.when(t.rlike(r[2]), r[part]), HEADING_RULES[1:], out))
 
 
 #: Signs of lines that aren't headings, by the reason given, first match wins; and what the confidence of a kind is.

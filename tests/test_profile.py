@@ -85,3 +85,35 @@ def test_wide_profile(spark):
     assert [(c.title, c.start) for c in got[1]["chapters"]] == [("Random walks and games", 1), ("Markov chains of it", 2), ("Poisson processes now", 3)] and got[1]["chapter_source"] == "contents" and got[1]["contents_found"] and not got[1]["contents_failed"] and got[1]["warnings"] == []
     last = got[2]
     assert (last["title"], last["reason"], last["pages"], last["chapters"], last["topics"], last["confidence"]) == ("no lines here", "document_file_fallback", None, [], [], 0.63)
+
+
+def test_words_and_starts_miss_no_match(spark):
+    """Whatever a pattern matches holds one of its words, and a heading starts as one does."""
+    parts = ["Department of", "faculty OF x", "School of", "University", "a.b+c@d-e.org", "Prof. A", "DR. B", "professor C", "Autumn 2023", "term 1999", "2023 - 2024", "Moodle", "assessment", "course  materials", "Office b123", "room 12", "lecture notes", "Module handout", "SW7", "w12", "postcode", "POSTAL", "uk 3", "[page", "Fig. 3", "figure 1", "table 2", "mark", "Marks", "minutes allowed", "Instructions", "answer all", "attempt", "Worked Example", "example: a", "EXAMPLE (b)", "example 3", "for instance", "Exercise 2", "problem 3", "question4", "Proof.", "show that", "lemma 1", "Theorem 2", "proposition 3", "corollary 4", "algorithm 5", "pseudocode", "definition 1", "is called", "is defined as", "Contents", "chapter 2", "Chapter 3. Ab", "1.2.3.4 x", "1.2.3 x", "1.2 x", "3 Abcdef", "Remark", "Solution", "check that", "derive", "determine whether", "AB CD EF GH", "É", "\u212a"]
+    texts = [q.strip() for p in parts for o in ["", *parts[::7]] for q in (p, f"{p} {o}", f"{o} {p}", p.upper(), p.lower())]
+    rows = profile._with_text(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, line string"), F.trim("line")).cache()
+    patterns = list(profile.NEEDED)
+    seen = rows.agg(*[F.count_if(F.col("t").rlike(p)) for p in patterns]).first()
+    kept = rows.agg(*[F.count_if(profile.matches(p)) for p in patterns]).first()
+    assert list(seen) == list(kept) and min(seen) > 0
+    rules = rows.agg(*[F.count_if(F.col("t").rlike(r[2]) & ~F.left("t", F.lit(3)).rlike(structure.STARTS)) for r in structure.HEADING_RULES], *[F.count_if(F.col("t").rlike(r[2])) for r in structure.HEADING_RULES]).first()
+    assert set(rules[: len(structure.HEADING_RULES)]) == {0} and min(rules[len(structure.HEADING_RULES) :]) > 0
+
+
+def test_a_line_is_collapsed_once(spark):
+    """In the optimized plans the texts that patterns look at aren't computed again for each use, and front matter is read once."""
+    got = table(spark, NOTES)
+    early = profile.early_title(got)._jdf.queryExecution().optimizedPlan().toString()
+    assert early.count("regexp_replace") <= 12
+    docs = spark.createDataFrame([(0, NOTES)], "doc_id long, text string")
+    paged = lines.lines(docs).withColumn("page", F.lit(1))
+    files = docs.select("doc_id", F.lit("a").alias("name"))
+    wide = profiles.document_profiles(paged, files).select("doc_id", "title", "contact", F.size("admin_notes").alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert wide.count("posexplode") <= 3  # front matter, early titles, headings
+
+
+def test_titles_that_end_in_marks(spark):
+    ends = [",", " -", ", –", "-\u2028", "\u0085", ".", "", " Dr. Who", " school of"]
+    got = {r.doc_id: r.title for r in profile.early_title(table(spark, *[f"A theory of many small things{e}" for e in ends])).collect()}
+    head = "A theory of many small things"
+    assert [got[k] for k in range(len(ends))] == [head, head, head, head + "\u2028", head + "\u0085", head + ".", head, head, head]
