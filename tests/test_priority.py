@@ -3,6 +3,9 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from marginalia.functions import text as X
 from marginalia.operators import priority
 
 SENTENCES = "doc_id long, role string, sentence_index int, sentence string"
@@ -42,3 +45,27 @@ def test_no_expression_is_repeated_for_each_word(spark):
     assert plan.count("regexp_replace") <= 4 and not re.search(r"lambdafunction\([^\n]*regexp_(replace|extract)[^\n]*lambda", plan)
     held = priority.phrases_held(sentences, "sentence", topics.selectExpr("phrase", "phrase as alias"), "doc_id")._jdf.queryExecution().optimizedPlan().toString()
     assert held.count("[A-Za-z0-9_]+|[^A-Za-z0-9_]+, 0)") == 1  # the texts are cut once; the aliases' words are counted elsewhere
+
+
+def test_pairs_equal_the_rule_in_any_marks(spark):
+    """Marks at both ends of words, alone, in a row and inside words: the pairs are those of the rule, word by word."""
+    random.seed(5)
+    texts = ["".join(random.choice(["ab", "Zq", "7", " ", " ", "-", ".", "(", "'", "|", "é", "\x7f", "[", "{", "_", "--x", "!? "]) for _ in range(random.randrange(1, 24))) for _ in range(500)] + ["", " ", "one", "a b", "! !", "( a ) ( b )"]
+    got = priority.with_pairs(spark.createDataFrame([(0, "r", k, t) for k, t in enumerate(texts)], SENTENCES)).select("sentence_index", "pairs").collect()
+    for k, pairs in got:
+        w = re.sub(r"[^\x00-\x7F]", "|", texts[k].lower()).split(" ")
+        want = [re.sub("^[^a-z0-9-]+", "", a) + " " + re.sub("[^a-z0-9-]+$", "", b) for a, b in zip(w, w[1:])]
+        assert (pairs or []) == want, texts[k]
+
+
+def test_word_pairs_equal_the_rule(spark):
+    random.seed(6)
+    texts = ["".join(random.choice(["abcd", "ab", "word-", "-", " ", " ", "  ", "\n", "x", "1", "_", ".", "|", "long-word", "Z"]) for _ in range(random.randrange(1, 30))) for _ in range(500)]
+    got = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", F.regexp_extract_all("t", F.lit(X.WORD_PAIR), F.lit(0)).alias("m")).collect()
+    assert all(r.m == [m.group(0) for m in re.finditer(r"\b([a-z][a-z-]{3,})\s+([a-z][a-z-]{3,})\b", texts[r.k], re.A)] for r in got)
+    assert sum(len(r.m) for r in got) > 50
+
+
+def test_classes_of_marks_and_words_are_tables():
+    """No range stands in the classes that every character of a text is compared with: they cost several times as much."""
+    assert not re.search(r"[a-z0-9]-[a-z0-9]", priority.MARKS) and "a-z-" not in X.WORD_PAIR
