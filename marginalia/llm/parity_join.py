@@ -11,7 +11,9 @@ then the sets themselves. Nothing is dropped: see _emit for empty blocks.
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from .hashing import batches, byte_batch, mix, prefix_sums, span_hashes, words_i
 SKETCH = 16  # longs of 64 bits: 1,024 bits tell sets of up to about 2,500 shingles apart, the wide sketches larger ones
 BAND = 1.75  # about the fewest keys a document: a wider band has more blocks, a narrower one sends more documents to two
 SHARE = 20_000  # a block key with more than this part of all keys is dealt to several tasks; there can't be more such keys
+TURNS = 4  # all keys are shuffled in so many turns, by hash: of what is shuffled one turn's share is on disk at a time
 
 
 def _is_word() -> np.ndarray:
@@ -196,8 +199,22 @@ def _swept(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _shared_blocks(held: DataFrame) -> DataFrame:
-    """held(key, node) of the keys of several nodes.
+def _staged_in_turns(parts: Iterator[DataFrame], label: str) -> list[DataFrame]:
+    """Each of parts staged before the next one is begun; what one shuffled is deleted by then."""
+    done = []
+    for part in parts:
+        done.append(staged(part, label))
+        _swept(part.sparkSession)
+    return done
+
+
+def _turns(*column: str) -> list[Column]:
+    """Conditions of which each row fulfils one, by the hash of column."""
+    return [F.pmod(F.xxhash64(*column), F.lit(TURNS)) == k for k in range(TURNS)]
+
+
+def _shared_blocks(held: DataFrame) -> list[DataFrame]:
+    """held(key, node) of the keys of several nodes, in parts by key.
 
     Keys that hold more than one SHARE-th of all rows, by a sixteenth of the nodes, are cut into parts by the node's
     hash, so that no task gets a hot block; which keys those are changes nothing but the load.
@@ -205,10 +222,15 @@ def _shared_blocks(held: DataFrame) -> DataFrame:
     some = held.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0)
     total = some.count()
     hot = some.groupBy("key").agg(F.count("*").alias("c")).where((F.col("c") * SHARE > total) & (F.col("c") > 64)).select("key", F.ceil(F.col("c") * SHARE / F.lit(max(1, total))).cast("int").alias("parts"))
-    dealt = held.join(F.broadcast(hot), "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("parts")), F.lit(0)))
+    hot = staged(hot, "parity-hot")
     own = Window.partitionBy("key", "part")
-    shared = dealt.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where((F.col("lo") < F.col("hi")) | F.col("parts").isNotNull())
-    return staged(shared.select("key", "node").distinct(), "parity-shared")
+
+    def shared(turn: Column) -> DataFrame:
+        dealt = held.where(turn).join(F.broadcast(hot), "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("parts")), F.lit(0)))
+        several = dealt.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where((F.col("lo") < F.col("hi")) | F.col("parts").isNotNull())
+        return several.select("key", "node").distinct()
+
+    return _staged_in_turns((shared(t) for t in _turns("key")), "parity-shared")
 
 
 def _deciding(shared: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -239,18 +261,20 @@ def similar_groups(documents: DataFrame, width: int = 5, threshold: float | Frac
     nodes = staged(keyed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "parity-nodes")
     members = staged(keyed.select("doc_id", "n", "s1", "s2").join(nodes, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node")), "parity-members")
     # staged, as the look at hot blocks, the blocks and the sketches would each shuffle all keys for this join
-    first = staged(keyed.join(nodes.select("n", "s1", "s2", F.col("node").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi"), "parity-first")
+    chosen = nodes.select("n", "s1", "s2", F.col("node").alias("doc_id"))
+    firsts = _staged_in_turns((keyed.where(t).join(chosen.where(t), ["doc_id", "n", "s1", "s2"], "left_semi") for t in _turns("doc_id")), "parity-first")
     discard(keyed)
-    _swept(documents.sparkSession)
+    first = reduce(DataFrame.unionByName, firsts)
     bits = [f"w{k}" for k in range(SKETCH)]
     sketches = staged(first.select(F.col("doc_id").alias("node"), "n", "spared", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(bits)]), "parity-sketches")
     # rows that share a doc_id are one node: the least of what they spare holds for all
     spared = sketches.groupBy("node").agg(F.min("spared").alias("spared"))
     shared = _shared_blocks(first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")))
-    discard(first)
-    _swept(documents.sparkSession)
-    live = _deciding(shared, spared)
-    discard(shared)
+    for part in firsts:
+        discard(part)
+    live = _deciding(reduce(DataFrame.unionByName, shared), spared)
+    for part in shared:
+        discard(part)
     _swept(documents.sparkSession)
     sketches = sketches.drop("spared")
     p, q = t.numerator, t.denominator

@@ -302,3 +302,21 @@ def test_secrets_and_licences_of_the_given_documents(spark):
 def test_held_out_follows_the_checksum(spark):
     got = spark.range(300).withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+
+
+def test_keys_are_shuffled_in_turns(spark, monkeypatch):
+    """No turn has most of the sets or of the keys that several sets have, and none is lost: what is shuffled at once stays a part."""
+    made, whole = [], parity_join.staged
+
+    def watched(df, label):
+        out = whole(df, label)
+        made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(parity_join, "staged", watched)
+    texts = [" ".join(f"w{i % 40}_{k}" for k in range(60)) + f" x{i}" for i in range(200)]
+    got = parity_join.similar_groups(spark.createDataFrame([*enumerate(texts), (500, texts[3])], "doc_id long, text string"), 3, 4 / 5)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i % 40 for i in range(200)} | {500: 3}
+    for label, total in (("parity-first", 200), ("parity-shared", None)):
+        rows = [n for name, n in made if name == label]
+        assert len(rows) == parity_join.TURNS and max(rows) < 0.5 * sum(rows) and sum(rows) in (total or sum(rows),)
