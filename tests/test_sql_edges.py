@@ -3,6 +3,7 @@
 import duckdb
 
 from marginalia.plans.queries import ORACLES, QUERIES
+from marginalia.sources import files
 
 
 def both(spark, tmp_path, name, texts):
@@ -31,3 +32,15 @@ def test_noise_at_the_border(spark, tmp_path):
     # answer and raw text are empty lines of the judged text: 31 odd characters of 104, not of 102
     got, want = both(spark, tmp_path, "relevance_filter", ["Ñ" * 31 + " " + "a" * 65, "Ñ" * 32 + " " + "a" * 64])
     assert got == want and [r[1] for r in got] == ["kept", "parse_noise"]
+
+
+def test_block_strategies_in_turns(spark, tmp_path, monkeypatch):
+    """Documents are taken in turns, and of their blocks only the lengths are kept."""
+    seen, staged = [], files.staged
+    monkeypatch.setattr(files, "FEW", 0)
+    monkeypatch.setattr(files, "staged", lambda df, label: seen.append((label, df.columns)) or staged(df, label))
+    line = "a line of text that is too long to be a heading, as it has more than so many characters"
+    texts = ["\n".join(line if (k * (d + 3)) % 5 else f"heading {'x' * (k % (d + 2))}" for k in range(20 * d + 1)) for d in range(9)]
+    got, want = both(spark, tmp_path, "block_strategy", [*texts, "", line])
+    assert got == want and len(got) >= 8
+    assert [label for label, _ in seen].count("strategies") == files.TURNS and {c for label, cols in seen if label == "block-sizes" for c in cols} == {"doc_id", "way", "chars"}
