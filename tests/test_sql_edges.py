@@ -44,3 +44,9 @@ def test_block_strategies_in_turns(spark, tmp_path, monkeypatch):
     got, want = both(spark, tmp_path, "block_strategy", [*texts, "", line])
     assert got == want and len(got) >= 8
     assert [label for label, _ in seen].count("strategies") == files.TURNS and {c for label, cols in seen if label == "block-sizes" for c in cols} == {"doc_id", "way", "chars"}
+
+
+def test_whole_texts_of_long_blocks(spark, tmp_path):
+    long_ = "\n".join("a long line of one block and its words " * 60 for _ in range(55))
+    got, want = both(spark, tmp_path, "block_strategy", [f"one heading\n{long_}\nits sibling\n{long_}", "A line."])
+    assert got == want and max(r[0] for r in got) > 2 * 120_000
