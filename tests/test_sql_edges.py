@@ -50,3 +50,8 @@ def test_whole_texts_of_long_blocks(spark, tmp_path):
     long_ = "\n".join("a long line of one block and its words " * 60 for _ in range(55))
     got, want = both(spark, tmp_path, "block_strategy", [f"one heading\n{long_}\nits sibling\n{long_}", "A line."])
     assert got == want and max(r[0] for r in got) > 2 * 120_000
+
+
+def test_topics_at_the_end_of_long_texts(spark, tmp_path):
+    got, want = both(spark, tmp_path, "document_topics", ["ab cd ef\n" * 25_000 + "later pairs\n" * 6, "plain words " * 6])
+    assert got == want and {"later pairs", "plain words"} <= {r[3] for r in got}
